@@ -64,6 +64,7 @@ def _exploded(spark, sf_dir):
 
 
 def _numbered(lines):
+    """Lines with their place in the files; only for word lists, which are bounded."""
     number = F.row_number().over(W.orderBy("file", "position")).cast("bigint")
     return lines.select(number.alias("n"), F.col("value").alias("line"))
 
@@ -90,7 +91,7 @@ def s9_write_lemma_dict(spark, sf_dir):
     path = scratch_path(spark, "lemma-dict")
     inverted = L.alphabetic_lemmas(L.invert_lemmas(I.lemma_lookup(spark, sf_dir)))
     S.write_lemma_dict(inverted, path)
-    return _numbered(read_positioned(spark, path))
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 def s10_read_lemma_dict(spark, sf_dir):
@@ -273,7 +274,7 @@ ORACLES = {
     + "SELECT row_number() OVER (ORDER BY word) AS n, word AS line FROM stop",
     "s8_read_lemma_json": with_(*LEMMAS) + "SELECT form, lemma FROM lemmas",
     "s9_write_lemma_dict": with_(*LEMMAS, _ALPHA_INVERTED)
-    + "SELECT row_number() OVER (ORDER BY lemma) AS n, lemma || ' -> ' || lemma || ' ' || forms AS line FROM alpha",
+    + "SELECT lemma || ' -> ' || lemma || ' ' || forms AS line FROM alpha",
     "s10_read_lemma_dict": with_(*LEMMAS)[:-1]
     + ", entries AS (SELECT form, lemma FROM lemmas "
     f"WHERE regexp_matches(lemma, {_ALPHA}) AND regexp_matches(form, {_ALPHA}) "
