@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import IDF, IDFModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import TopicParams
 from corpusloom.operators import vocab as V
 from corpusloom.operators.lookups import name_terms
+from corpusloom.session import write_scratch
 
 
 @dataclass
@@ -23,21 +24,21 @@ class TopicModel:
 
     model: LDAModel
     vocab: DataFrame
-    terms: list[str]
+    vectorizer: CountVectorizerModel
     settings: TopicParams
     idf: IDFModel | None = None
 
-    def features(self, docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    def features(self, docs: DataFrame) -> DataFrame:
         """Add the vectors the model was trained on."""
-        counted = V.vectorize(docs, self.terms, tokens)
+        counted = self.vectorizer.transform(docs)
         return self.idf.transform(counted) if self.idf else counted
 
-    def mixtures(self, docs: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
+    def mixtures(self, docs: DataFrame, key: str = "doc_id") -> DataFrame:
         """``(key, topicDistribution, dominant_topic)``.
 
         Shares sum to 1. A document without known terms has shares of 0 and no dominant topic.
         """
-        scored = self.model.transform(self.features(docs, tokens))
+        scored = self.model.transform(self.features(docs))
         shares = scored.select(key, vector_to_array("topicDistribution").alias("topicDistribution"))
         best = F.array_max("topicDistribution")
         return shares.withColumn(
@@ -45,13 +46,13 @@ class TopicModel:
             F.when(best > 0, F.array_position("topicDistribution", best).cast("int") - 1),
         )
 
-    def quality(self, docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    def quality(self, docs: DataFrame) -> DataFrame:
         """One row: log likelihood, log perplexity and perplexity.
 
         The log perplexity is the negated log likelihood per token, so one inference pass over
         the corpus serves all three.
         """
-        features = self.features(docs, tokens)
+        features = self.features(docs)
         column = self.settings.features_col
         likelihood = self.model.logLikelihood(features)
         mass = features.select(Summarizer.sum(F.col(column)).alias("mass")).first()["mass"]
@@ -100,10 +101,10 @@ def fit_topics(
     vectors are shuffled: hashing and sorting them by document key balances the tasks and makes
     the fit repeatable.
     """
-    partitions = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
     kept = docs.select(key, tokens).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_docs = kept.count()
+        partitions = max(kept.sparkSession.sparkContext.defaultParallelism, kept.rdd.getNumPartitions())
         if vocab is None:
             vocab = V.build_vocab(
                 kept,
@@ -115,10 +116,9 @@ def fit_topics(
                 tokens=tokens,
                 n_docs=n_docs,
             )
-        rows = vocab.orderBy("term_id").collect()
-        terms = [row["term"] for row in rows]
-        table = docs.sparkSession.createDataFrame(rows, vocab.schema)
-        features = V.vectorize(kept, terms, tokens)
+        vocab = write_scratch(vocab, "vocabulary")
+        vectorizer = V.vectorizer(V.terms_in_order(vocab), tokens)
+        features = vectorizer.transform(kept)
         idf = None
         if settings.features_col == "idf":
             idf = IDF(inputCol="features", outputCol="idf").fit(features)
@@ -135,7 +135,7 @@ def fit_topics(
             features.unpersist()
     finally:
         kept.unpersist()
-    return TopicModel(model, table, terms, settings, idf)
+    return TopicModel(model, vocab, vectorizer, settings, idf)
 
 
 def _lda(settings: TopicParams, n_docs: int) -> LDA:

@@ -126,9 +126,13 @@ def terms_in_order(vocab: DataFrame) -> list[str]:
     return [row["term"] for row in vocab.select("term_id", "term").orderBy("term_id").collect()]
 
 
+def vectorizer(terms: list[str], tokens: str = "tokens", out: str = "features") -> CountVectorizerModel:
+    """A Spark ML transformer that counts the given terms; building it sends them to the JVM once."""
+    return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol=out, minTF=1.0)
+
+
 def vectorize(
-    docs: DataFrame, terms: list[str], tokens: str = "tokens", out: str = "features"
+    docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "features"
 ) -> DataFrame:
-    """Add sparse term counts as a Spark ML vector."""
-    model = CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol=out, minTF=1.0)
-    return model.transform(docs)
+    """Add sparse term counts as a Spark ML vector, indexed by ``term_id``."""
+    return vectorizer(terms_in_order(vocab), tokens, out).transform(docs)

@@ -105,7 +105,7 @@ def v1_count_vectors(spark, sf_dir):
     vocab = write_scratch(
         V.build_vocab(docs, min_df_frac=0.02, max_df_frac=0.8, size=_TOP_WORDS_SIZE), "vocab"
     )
-    vectors = V.vectorize(docs, V.terms_in_order(vocab))
+    vectors = V.vectorize(docs, vocab)
     cells = vectors.select(
         "doc_id", F.posexplode(vector_to_array("features")).alias("term_id", "tf")
     ).filter("tf > 0")
