@@ -60,8 +60,7 @@ class InlineLookup:
     comparisons as it has entries. Spread over buckets by hash, a key meets about two.
     """
 
-    def __init__(self, lookup: DataFrame, key: str, value: str):
-        rows = lookup.count()
+    def __init__(self, lookup: DataFrame, key: str, value: str, rows: int):
         self.buckets = max(1, rows // 2)
         keyed = lookup.select(
             F.pmod(F.xxhash64(key), F.lit(self.buckets)).alias("b"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import BROADCAST_BYTES, BROADCAST_ROWS, lookup_size
+from corpusloom.session import fits_broadcast, lookup_size
 
 SALTS = 32
 
@@ -33,8 +33,7 @@ def lookup_join(tokens: DataFrame, lookup: DataFrame, on: str, how: str) -> Data
     shuffling; since a single word can make up a third of all tokens, each word is then spread
     over ``SALTS`` partitions and the table repeated for each of them.
     """
-    rows, size = lookup_size(lookup)
-    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+    if fits_broadcast(*lookup_size(lookup)):
         return tokens.join(F.broadcast(lookup), on, how)
     others = [c for c in tokens.columns if c != on]
     salted = tokens.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)))

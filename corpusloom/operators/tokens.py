@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom import config as C
 from corpusloom.functions import tokens as K
 from corpusloom.operators import lookups as J
-from corpusloom.session import fits_inline
+from corpusloom.session import fits_inline, lookup_size
 
 # Up to this many words a list is written into the plan as a hash set.
 INLINE_WORDS = 10_000
@@ -84,10 +84,11 @@ def lemmatize(
     A dictionary within the inline limits is looked up inside each row. A larger one is joined to
     exploded tokens, which costs a shuffle of the tokens by document.
     """
-    if not fits_inline(lemmas.select("form", "lemma")):
+    rows, size = lookup_size(lemmas.select("form", "lemma"))
+    if not fits_inline(rows, size):
         mapped = J.map_lemmas(J.explode_tokens(docs, tokens, key), lemmas)
         return J.collect_tokens(mapped, docs, out, key)
-    table = K.InlineLookup(lemmas, "form", "lemma")
+    table = K.InlineLookup(lemmas, "form", "lemma", rows)
     return docs.withColumn(
         out, F.transform(tokens, lambda token: F.coalesce(table.get(token), token))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import tokens as K
+from corpusloom.session import write_scratch
 
 _ORDERS = {
     "cf": lambda: [F.desc("cf"), F.col("term")],
@@ -85,8 +86,10 @@ def _near_the_top(stats: DataFrame, column: str, size: int) -> DataFrame:
 
     Without a lower bound there may be billions of rare terms, and taking the top of every
     partition to one task would gather far more than ``size`` rows. The histogram of the ranking
-    column is small and tells from which value on the top is complete.
+    column is small and tells from which value on the top is complete. The statistics are written
+    out first, so that the texts are read once for both steps.
     """
+    stats = write_scratch(stats, "term-stats")
     histogram = stats.groupBy(column).agg(F.count(F.lit(1)).alias("terms"))
     so_far = F.sum("terms").over(W.orderBy(F.desc(column)))
     cutoff = (

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A lookup within these limits may be written into the expression itself.
-INLINE_ROWS = 200_000
-INLINE_BYTES = 8 * 1024 * 1024
+INLINE_ROWS = 100_000
+INLINE_BYTES = 4 * 1024 * 1024
 
 
 def build_session(app_name: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,17 +68,12 @@ def lookup_size(lookup: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"] or 0
 
 
-def fits_inline(lookup: DataFrame) -> bool:
-    rows, size = lookup_size(lookup)
+def fits_inline(rows: int, size: int) -> bool:
     return rows <= INLINE_ROWS and size <= INLINE_BYTES
 
 
-def broadcast_if_small(lookup: DataFrame) -> DataFrame:
-    """Hint a broadcast only for a lookup whose size was counted; else Spark shuffles both sides."""
-    rows, size = lookup_size(lookup)
-    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
-        return F.broadcast(lookup)
-    return lookup
+def fits_broadcast(rows: int, size: int) -> bool:
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -39,7 +39,7 @@ def write_articles(
     path: str,
     columns: tuple[str, ...] = ("date", "headline", "content_new"),
     fmt: str = "parquet",
-    rows_per_file: int = 100_000,
+    rows_per_file: int = 25_000,
 ) -> None:
     """Write the named columns as Parquet, or as tab-separated text with ``fmt="tsv"``.
 

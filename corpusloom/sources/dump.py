@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import config as C
 from corpusloom.functions import text as X
-from corpusloom.session import broadcast_if_small
+from corpusloom.session import BROADCAST_ROWS
 from corpusloom.sources.positions import read_positioned
 
 _LINE_BREAK = r"\r\n|\r|\n"
@@ -39,7 +39,11 @@ def segment_articles(spark: SparkSession, path: str, keep_last: bool = False) ->
     edges = records.groupBy("file").agg(
         F.min("position").alias("first"), F.max("position").alias("last")
     )
-    marked = records.join(broadcast_if_small(edges), "file")
+    # The driver has listed the files, so the number of rows is known without a job. Both scans
+    # belong to one query and thus number the records alike.
+    if len(records.inputFiles()) <= BROADCAST_ROWS:
+        edges = F.broadcast(edges)
+    marked = records.join(edges, "file")
     is_first = F.col("position") == F.col("first")
     opens = X.is_article_start("value")
     kept = marked.filter(~is_first | opens)

@@ -34,13 +34,13 @@ def test_write_scratch_keeps_rows_and_types(spark):
     assert back.dtypes == df.dtypes and back.count() == 10
 
 
-def test_lookup_size_and_broadcast(spark, monkeypatch):
+def test_lookup_size_and_limits(spark):
     lookup = spark.createDataFrame([("é", "b"), (None, "c")], "k string, v string")
     assert S.lookup_size(lookup) == (2, 4)
-    hinted = spark.range(3).join(S.broadcast_if_small(lookup), F.col("id").cast("string") == F.col("k"))
-    assert "ResolvedHint" in hinted._jdf.queryExecution().analyzed().toString()
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 1)
-    assert S.broadcast_if_small(lookup) is lookup
+    assert S.fits_broadcast(10, 10) and S.fits_inline(10, 10)
+    assert not S.fits_broadcast(S.BROADCAST_ROWS + 1, 10)
+    assert not S.fits_broadcast(10, S.BROADCAST_BYTES + 1)
+    assert not S.fits_inline(S.INLINE_ROWS + 1, 10)
 
 
 def test_spread_leaves_wide_scans_alone(spark):

@@ -89,20 +89,20 @@ def test_lemmatize_in_the_row(words, lemmas):
 
 
 def test_lemmatize_by_join(words, lemmas, monkeypatch):
-    monkeypatch.setattr(T, "fits_inline", lambda lookup: False)
+    monkeypatch.setattr(T, "fits_inline", lambda rows, size: False)
     assert column(T.lemmatize(words, lemmas), "tokens") == EXPECTED
 
 
 def test_lemmatize_by_salted_join(words, lemmas, monkeypatch):
-    monkeypatch.setattr(T, "fits_inline", lambda lookup: False)
-    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(T, "fits_inline", lambda rows, size: False)
+    monkeypatch.setattr(J, "fits_broadcast", lambda rows, size: False)
     assert column(T.lemmatize(words, lemmas), "tokens") == EXPECTED
 
 
-@pytest.mark.parametrize("rows", [10_000_000, 0])
-def test_stopwords_by_join(spark, words, monkeypatch, rows):
+@pytest.mark.parametrize("small", [True, False])
+def test_stopwords_by_join(spark, words, monkeypatch, small):
     monkeypatch.setattr(T, "INLINE_WORDS", 1)
-    monkeypatch.setattr(J, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(J, "fits_broadcast", lambda rows, size: small)
     listed = spark.createDataFrame([("Tasks",), ("the",), ("zzz",)], "word string")
     out = T.remove_stopwords(words, listed, tokens="words_filtered", out="kept")
     assert column(out, "kept") == [["taught", "other"], [], []]
@@ -111,7 +111,7 @@ def test_stopwords_by_join(spark, words, monkeypatch, rows):
 def test_large_inline_lookup(spark):
     rows = [(f"form{i}", f"lemma{i % 97}") for i in range(5000)]
     lookup = spark.createDataFrame(rows, "form string, lemma string")
-    table = K.InlineLookup(lookup, "form", "lemma")
+    table = K.InlineLookup(lookup, "form", "lemma", 5000)
     out = lookup.select("form", "lemma", table.get(F.col("form")).alias("found"))
     assert out.filter("found is null or found <> lemma").count() == 0
     assert spark.range(1).select(table.get(F.lit("absent")).alias("x")).first()["x"] is None
