@@ -36,7 +36,8 @@ def lookup_join(tokens: DataFrame, lookup: DataFrame, on: str, how: str) -> Data
     if fits_broadcast(*lookup_size(lookup)):
         return tokens.join(F.broadcast(lookup), on, how)
     others = [c for c in tokens.columns if c != on]
-    salted = tokens.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)))
+    spread_by = F.xxhash64(*others) if others else F.lit(0).cast("bigint")
+    salted = tokens.withColumn("salt", F.pmod(spread_by, F.lit(SALTS)))
     repeated = lookup.withColumn(
         "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     )

@@ -22,7 +22,7 @@ def segment_lines(
     """
     blocks = lines.select(
         "file",
-        F.floor(F.col("line_no") / F.lit(block_lines)).alias("block"),
+        (F.col("line_no") - F.pmod("line_no", F.lit(block_lines))).alias("block"),
         "line_no",
         "line",
         X.is_article_start("line").alias("opens"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
@@ -17,6 +18,10 @@ from corpusloom.operators import vocab as V
 from corpusloom.operators.lookups import name_terms
 from corpusloom.session import write_scratch
 
+# Vectors are far smaller than texts, and every task of a training step returns one matrix of
+# topics by terms, so tasks are sized by vectors and not taken over from the text scan.
+VECTORS_PER_TASK = 100_000
+
 
 @dataclass
 class TopicModel:
@@ -104,7 +109,9 @@ def fit_topics(
     kept = docs.select(key, tokens).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_docs = kept.count()
-        partitions = max(kept.sparkSession.sparkContext.defaultParallelism, kept.rdd.getNumPartitions())
+        partitions = max(
+            docs.sparkSession.sparkContext.defaultParallelism, ceil(n_docs / VECTORS_PER_TASK)
+        )
         if vocab is None:
             vocab = V.build_vocab(
                 kept,

@@ -10,7 +10,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import clean
 from corpusloom.operators.segment import segment_lines
 from corpusloom.plans.articles import article_table
-from corpusloom.queries.inputs import ARTICLES_CTE, URL_SQL, articles, table, with_
+from corpusloom.queries.inputs import ARTICLES_CTE, URL_SQL, articles, table, urls, with_
 from corpusloom.session import scratch_path
 from corpusloom.sources import articles as A
 from corpusloom.sources import dump as D
@@ -163,7 +163,7 @@ def p5_drop_empty(spark, sf_dir):
 
 
 def f1_url_date(spark, sf_dir):
-    return articles(spark, sf_dir).select("doc_id", X.url_date("url").cast("string").alias("date"))
+    return urls(spark, sf_dir).select("doc_id", X.url_date("url").cast("string").alias("date"))
 
 
 def f1_url_date_pages(spark, sf_dir):
@@ -174,15 +174,15 @@ def f1_url_date_pages(spark, sf_dir):
 
 
 def f2_url_tail(spark, sf_dir):
-    return articles(spark, sf_dir).select("doc_id", X.url_tail("url").alias("tail"))
+    return urls(spark, sf_dir).select("doc_id", X.url_tail("url").alias("tail"))
 
 
 def f3_news_category(spark, sf_dir):
-    return articles(spark, sf_dir).select("doc_id", X.news_category("url").alias("news_category"))
+    return urls(spark, sf_dir).select("doc_id", X.news_category("url").alias("news_category"))
 
 
 def f4_headline(spark, sf_dir):
-    return articles(spark, sf_dir).select("doc_id", X.headline("url").alias("headline"))
+    return urls(spark, sf_dir).select("doc_id", X.headline("url").alias("headline"))
 
 
 def f5_remove_dateline(spark, sf_dir):

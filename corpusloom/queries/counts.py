@@ -25,9 +25,7 @@ _TRIAL_ROWS_INCLUSIVE = 2_001
 
 
 def _described(spark, sf_dir):
-    """Articles with their URL columns; the texts are not read."""
-    rows = I.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return describe_urls(rows.select("doc_id", F.expr(I.URL_SQL).alias("url")))
+    return describe_urls(I.urls(spark, sf_dir))
 
 
 def _ranked(counts, ascending=False):

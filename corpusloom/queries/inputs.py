@@ -70,6 +70,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, url)``; the texts are not read."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return rows.select("doc_id", F.expr(URL_SQL).alias("url"))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, tokens)`` of the documents."""
     return documents(spark, sf_dir).select("doc_id", K.tokenize("text").alias("tokens"))

@@ -15,7 +15,7 @@ ARTICLE_SCHEMA = T.StructType(
 )
 
 # Quotes are doubled inside quoted fields; tabs and line breaks may occur within quotes.
-_TSV = {"sep": "\t", "quote": '"', "escape": '"', "header": "false"}
+TSV_OPTIONS = {"sep": "\t", "quote": '"', "escape": '"', "header": "false"}
 
 
 def read_articles(
@@ -30,7 +30,7 @@ def read_articles(
     With ``multi_line`` a file is read by one task, since a line break may lie within a field;
     turn it off for files known to hold one record per line and they are split.
     """
-    articles = spark.read.csv(path, schema=schema, multiLine=multi_line, dateFormat="yyyy-MM-dd", **_TSV)
+    articles = spark.read.csv(path, schema=schema, multiLine=multi_line, dateFormat="yyyy-MM-dd", **TSV_OPTIONS)
     return articles if keep_headline else articles.drop("headline")
 
 
@@ -54,7 +54,7 @@ def write_articles(
             dateFormat="yyyy-MM-dd",
             ignoreLeadingWhiteSpace=False,
             ignoreTrailingWhiteSpace=False,
-            **_TSV,
+            **TSV_OPTIONS,
         )
     else:
         raise ValueError(f"unknown format {fmt!r}: use 'parquet' or 'tsv'")

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.operators.clean import clean_articles
 from corpusloom.operators.tokens import tokenize
-from corpusloom.sources.articles import _TSV, ARTICLE_SCHEMA
+from corpusloom.sources.articles import TSV_OPTIONS, ARTICLE_SCHEMA
 
 
 def read_article_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Tab-separated article files as they appear in a folder."""
     return (
         spark.readStream.schema(ARTICLE_SCHEMA)
-        .options(multiLine=True, dateFormat="yyyy-MM-dd", maxFilesPerTrigger=files_per_batch, **_TSV)
+        .options(multiLine=True, dateFormat="yyyy-MM-dd", maxFilesPerTrigger=files_per_batch, **TSV_OPTIONS)
         .csv(path)
     )
 
