@@ -74,7 +74,11 @@ def remove_underscores(text: ColumnOrName) -> Column:
 
 def clean_text(text: ColumnOrName) -> Column:
     """Dateline, sign-up lists and underscores, in that order."""
-    return remove_underscores(blank_sign_up_lists(remove_dateline(text)))
+    # A dateline has no question mark and so cannot hold the sign-up sentence: testing the text as
+    # it is gives the same answer and leaves the dateline to be searched once.
+    text = _col(text)
+    is_list = F.contains(text, F.lit(C.SIGN_UP_SENTENCE))
+    return remove_underscores(F.when(is_list, F.lit("")).otherwise(remove_dateline(text)))
 
 
 def is_article_start(line: ColumnOrName) -> Column:

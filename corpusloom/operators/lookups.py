@@ -11,8 +11,14 @@ SALTS = 32
 
 
 def explode_tokens(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
-    """``(key, pos, token)`` with one row per token."""
-    return docs.select(key, F.posexplode(tokens).alias("pos", "token"))
+    """``(key, pos, token)`` with one row per token.
+
+    Spark derives a test for non-empty arrays from a plain ``posexplode`` of a column and pushes
+    it towards the scan, where the tokens would be computed a second time. It does not for the
+    outer form, whose rows without a token are dropped here.
+    """
+    exploded = docs.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
+    return exploded.filter(F.col("pos").isNotNull())
 
 
 def collect_tokens(

@@ -72,12 +72,16 @@ def m3_batch_topics(spark, sf_dir):
 
 def m4_doc_topics(spark, sf_dir):
     model, docs = _trained(spark, sf_dir, SPARK_JOB)
-    mixtures = model.mixtures(docs)
-    return mixtures.select(
+    # The outer form keeps Spark from testing the arrays first and scoring every document twice.
+    shares = model.mixtures(docs).select(
+        "doc_id", "dominant_topic", F.posexplode_outer("topicDistribution").alias("topic", "share")
+    )
+    return shares.select(
         "doc_id",
         F.col("dominant_topic").cast("bigint"),
-        F.posexplode("topicDistribution").alias("topic", "share"),
-    ).withColumn("topic", F.col("topic").cast("bigint"))
+        F.col("topic").cast("bigint"),
+        "share",
+    )
 
 
 def m4_share_sums(spark, sf_dir):

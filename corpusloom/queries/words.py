@@ -107,7 +107,7 @@ def p6_alphabetic_tokens(spark, sf_dir):
 
 
 def p7_not_a_stopword(spark, sf_dir):
-    words = _filtered(spark, sf_dir).select(F.explode("words_filtered").alias("token"))
+    words = J.explode_tokens(_filtered(spark, sf_dir), "words_filtered")
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -96,6 +96,16 @@ def test_sign_up_and_underscores(spark):
     ]
 
 
+def test_clean_text_equals_its_steps(spark):
+    sign_up = C.SIGN_UP_SENTENCE
+    texts = [
+        f"ROME — {sign_up}", f"{sign_up} — x", f"ROME {sign_up}—x", f" {sign_up} ", f"A_B — {sign_up[:-1]}",
+        "ROME — a_b", "_", " _ _ ", "ROME—", "ROME — ", f"x_{sign_up}_y", sign_up.replace("e", "_e"),
+    ]
+    steps = X.remove_underscores(X.blank_sign_up_lists(X.remove_dateline("t")))
+    assert many(spark, texts, X.clean_text("t")) == many(spark, texts, steps)
+
+
 def test_cleaning_twice_changes_nothing_after_a_dateline(spark):
     texts = ["PARIS — a_b", "plain text", "  spaced  "]
     once = many(spark, texts, X.clean_text("t"))
