@@ -54,12 +54,12 @@ def build_vocab(
 
     ``order`` numbers the terms: by corpus or document frequency, largest first and ties by term,
     or alphabetically. ``size`` cuts the list; it goes by document frequency for ``"df"`` and by
-    corpus frequency otherwise. Either ``size`` or ``min_df_frac`` must be given: both keep the
+    corpus frequency otherwise. Either ``size`` or ``min_df_frac`` must be set: both keep the
     vocabulary from growing with the corpus, since only so many terms can each occur in a fixed
     share of the documents.
     """
-    if size is None and min_df_frac is None:
-        raise ValueError("give size or min_df_frac, else the vocabulary grows with the corpus")
+    if size is None and not min_df_frac:
+        raise ValueError("give size or a positive min_df_frac, else the vocabulary grows with the corpus")
     total = F.lit(n_docs) if n_docs is not None else doc_count(docs)
     stats = term_stats(docs, tokens)
     df = F.col("df")
@@ -73,7 +73,7 @@ def build_vocab(
         stats = stats.filter(df <= F.lit(float(max_df_frac)) * total)
     if size is not None:
         ranked = "df" if order == "df" else "cf"
-        if min_df_frac is None:
+        if not min_df_frac:
             stats = _near_the_top(stats, ranked, size)
         stats = stats.orderBy(*_ORDERS[ranked]()).limit(size)
     # At most a bounded number of rows is left, so one task may number them.

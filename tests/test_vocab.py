@@ -84,8 +84,9 @@ def test_bounds_are_inclusive_and_counts_apply(docs, lists):
 
 
 def test_an_unbounded_vocabulary_is_refused(docs):
-    with pytest.raises(ValueError):
-        V.build_vocab(docs, min_df_count=1)
+    for bounds in ({"min_df_count": 1}, {"min_df_frac": 0.0}):
+        with pytest.raises(ValueError):
+            V.build_vocab(docs, **bounds)
 
 
 def test_vectors_agree_with_rows(docs, lists):
