@@ -207,7 +207,7 @@ def pieces(placed: DataFrame, block: int) -> DataFrame:
     """``placed`` once for every block it has words in, with ``block`` and the words' range
     ``[first, first + n)`` within the document."""
     end = F.col("start") + F.col("size") - 1
-    spans = F.sequence(F.floor(F.col("start") / block), F.floor(end / block))
+    spans = F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")
     out = placed.filter("size > 0").withColumn("block", F.explode(spans))
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(end + 1, (F.col("block") + 1) * block)
@@ -228,12 +228,14 @@ def mix_counts(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     )
     plan = source_plan(sized, params)
     placed = write_scratch(place_documents(sized, plan).drop("source", "tie"), "places")
-    times = draw_slots(plan, params).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    # The slots come from a short range, from which Spark would take them to be few.
+    times = draw_slots(plan, params).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     taken = (
         pieces(placed.select("sid", "start", "size"), params.block)
         .join(times, ["sid", "block"])
         .groupBy("sid", "start")
         .agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+        .hint("merge")
     )
     some, none = placed.filter("size > 0"), placed.filter("size = 0")
     counted = some.join(taken, ["sid", "start"], "left").unionByName(
@@ -263,7 +265,7 @@ def mix_blocks(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         F.flatten(F.transform(ordered, lambda p: p["words"])).alias("words")
     )
     names = F.broadcast(plan.select("sid", "source"))
-    return draw_slots(plan, params).join(packed, ["sid", "block"]).join(names, "sid").select(
+    return draw_slots(plan, params).join(packed.hint("merge"), ["sid", "block"]).join(names, "sid").select(
         "shard", "position", "source", "turn", "block", "words"
     )
 
@@ -279,13 +281,14 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame
     keyed = write_scratch(keyed, "sizes")
     plan = source_plan(keyed, params)
     placed = write_scratch(place_documents(keyed, plan), "places")
-    slots = draw_slots(plan, params).select("sid", "turn", "block")
+    slots = draw_slots(plan, params).select("sid", "turn", "block").hint("merge")
     runs = F.sort_array(F.collect_list(F.struct("first", "n")))
     taken = (
         pieces(placed.select("sid", "start", "size"), params.block)
         .join(slots, ["sid", "block"])
         .groupBy("sid", "start", "turn")
         .agg(runs.alias("runs"), F.sum("n").alias("taken"))
+        .hint("merge")
     )
     # Words are cut only where a part was taken; slices follow each other in the text.
     all_words = words(F.col("text"))

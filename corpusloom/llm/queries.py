@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixture, simhash, urlrules
-from corpusloom.llm.common import table
+from corpusloom.llm import langspans, mixture, pieces, pii, simhash, toxicity, urlrules
+from corpusloom.llm.common import fold, table
 
 SITE_RULES = [
     urlrules.site_rule("com", "/", "allow"),
@@ -23,6 +23,13 @@ def op2_source_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_sentencepiece(spark, sf_dir):
+    """Piece ids of each document, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode_documents(docs, pieces.load_pieces())
+    return encoded.select("doc_id", "n_pieces", "decoded", "ids")
+
+
 def op4_simhash_dedup(spark, sf_dir):
     """Fingerprint and near-duplicate component of each document."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -31,6 +38,34 @@ def op4_simhash_dedup(spark, sf_dir):
     )
 
 
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of each document, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = toxicity.labelled_documents(
+        docs, table(spark, sf_dir, "labels"), toxicity.train_part(), toxicity.ToxicityParams()
+    )
+    model = toxicity.fit_toxicity(labelled)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_pii(spark, sf_dir):
+    """Personal data in each document: counts and digest of the exact patterns, and all spans."""
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *(of(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op9_url_filter(spark, sf_dir):
     """Verdict of the site rules on each page's URL, else that of the word rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -45,7 +80,23 @@ def op9_url_filter(spark, sf_dir):
     )
 
 
-QUERIES = {q.__name__: q for q in (op2_source_mix, op4_simhash_dedup, op9_url_filter)}
+def op10_language(spark, sf_dir):
+    """Language of each document, learned from two thirds of them, and its spans' number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langspans.fit_languages(docs, langspans.train_part())
+    labelled = langspans.label_languages(docs.select("doc_id", "text"), model)
+    return labelled.select(
+        "doc_id",
+        (fold("doc_id", 3) == 1).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_spans").alias("spans"),
+    )
+
+
+QUERIES = {q.__name__: q for q in (
+    op2_source_mix, op3_sentencepiece, op4_simhash_dedup, op5_toxicity, op7_pii, op9_url_filter, op10_language,
+)}
 
 _SITE = {r.rule: r for r in SITE_RULES}
 _FITS = " ".join(
