@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import langspans, mixture, pieces, pii, simhash, toxicity, urlrules
+from corpusloom.llm import covertree, langspans, licenses, mixture, pieces, pii, simhash, toxicity, urlrules, vafile
 from corpusloom.llm.common import fold, table
 
 SITE_RULES = [
@@ -17,6 +17,11 @@ SITE_RULES = [
 BAD_WORDS = ["casino", "gambling", "porn", "xxx", "phishing", "malware", "warez", "torrent"]
 
 
+def op1_exact_search(spark, sf_dir):
+    """The five best inner products of every fiftieth vector."""
+    return vafile.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op2_source_mix(spark, sf_dir):
     """Words of each document that a mix of 150 % of all words takes."""
     mixed = mixture.mix_counts(table(spark, sf_dir, "documents"))
@@ -54,6 +59,17 @@ def op5_toxicity(spark, sf_dir):
     )
 
 
+def op6_licenses(spark, sf_dir):
+    """Licence notices of each document: the confirmed families, and every notice found."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.find_licenses(docs, licenses.fit_licenses(docs))
+    sure = F.filter("licenses", lambda n: n["confirmed"])
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda n: n["family"]))), ",")
+    return found.select(
+        "doc_id", families.alias("families"), F.size(sure).cast("bigint").alias("n_notices"), "licenses"
+    )
+
+
 def op7_pii(spark, sf_dir):
     """Personal data in each document: counts and digest of the exact patterns, and all spans."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -66,6 +82,11 @@ def op7_pii(spark, sf_dir):
     )
 
 
+def op8_vector_dedup(spark, sf_dir):
+    """Links and components of the vectors of each label at a cosine of 0.98."""
+    return covertree.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark, sf_dir):
     """Verdict of the site rules on each page's URL, else that of the word rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -95,7 +116,8 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_source_mix, op3_sentencepiece, op4_simhash_dedup, op5_toxicity, op7_pii, op9_url_filter, op10_language,
+    op1_exact_search, op2_source_mix, op3_sentencepiece, op4_simhash_dedup, op5_toxicity, op6_licenses,
+    op7_pii, op8_vector_dedup, op9_url_filter, op10_language,
 )}
 
 _SITE = {r.rule: r for r in SITE_RULES}
@@ -107,6 +129,43 @@ _BLOCKED = ", ".join(f"'{r.rule}'" for r in SITE_RULES if r.verdict == "block")
 _WORDS = "|".join(BAD_WORDS)
 
 ORACLES = {
+    "op1_exact_search": """
+WITH v AS (
+  SELECT DISTINCT vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+q AS (SELECT vec_id AS query_id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM v WHERE vec_id % 50 = 0),
+p AS (SELECT vec_id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM v),
+s AS (
+  SELECT query_id, vec_id, CAST(sum(q.x * p.x) AS BIGINT) AS score
+  FROM q JOIN p ON q.i = p.i AND query_id <> vec_id GROUP BY query_id, vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op8_vector_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS c FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (
+  SELECT vec_id, label, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM v),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM e GROUP BY vec_id),
+d AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dot
+  FROM e a JOIN e b ON a.label = b.label AND a.i = b.i AND a.vec_id <> b.vec_id
+  GROUP BY a.vec_id, b.vec_id),
+link AS (
+  SELECT a, b FROM d JOIN n na ON na.vec_id = a JOIN n nb ON nb.vec_id = b
+  WHERE dot / (na.norm * nb.norm) >= 0.98),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT m.vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, comp.component_id,
+  comp.component_id = m.vec_id AS kept
+FROM embeddings m JOIN comp ON comp.a = m.vec_id LEFT JOIN deg ON deg.a = m.vec_id""",
     "op9_url_filter": f"""
 WITH parts AS (
   SELECT page_id,
