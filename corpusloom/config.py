@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
 
 # --- Fixed values: results depend on these exact patterns, words and formats. ---
 
@@ -61,9 +60,9 @@ WHITESPACE_CLASS = (
 class TopicParams:
     """Everything a topic job can be told.
 
-    ``batch_docs`` is the number of documents one training step looks at; ``None`` leaves Spark's
-    default sampling rate. ``max_steps_per_pass`` keeps the number of Spark jobs from growing with
-    the corpus: beyond it the batches get larger, and a pass still covers the whole corpus.
+    ``steps_per_pass`` is the number of training steps a pass has, whatever the size of the corpus:
+    each step draws one in so many documents. ``None`` leaves Spark's default sampling rate. Spark
+    draws with replacement, so that a pass meets about 63 % of the documents, not every one.
     """
 
     topics: int = 20
@@ -76,27 +75,19 @@ class TopicParams:
     min_df_count: float | None = None
     learning_offset: float = 100.0
     learning_decay: float = 0.51
-    batch_docs: int | None = None
-    max_steps_per_pass: int = 64
+    steps_per_pass: int | None = None
     symmetric_priors: bool = False
     seed: int = 1
     top_words: int = 20
     features_col: str = "features"
 
-    def steps_per_pass(self, n_docs: int) -> int:
-        if self.batch_docs is None:
-            return 1
-        return max(1, min(self.max_steps_per_pass, ceil(n_docs / self.batch_docs)))
+    @property
+    def iterations(self) -> int:
+        return self.max_iter if self.passes is None else self.passes * (self.steps_per_pass or 1)
 
-    def iterations(self, n_docs: int) -> int:
-        if self.passes is None:
-            return self.max_iter
-        return self.passes * self.steps_per_pass(n_docs)
-
-    def sampling_rate(self, n_docs: int) -> float | None:
-        if self.batch_docs is None:
-            return None
-        return min(1.0, 1.0 / self.steps_per_pass(n_docs))
+    @property
+    def sampling_rate(self) -> float | None:
+        return None if self.steps_per_pass is None else 1.0 / self.steps_per_pass
 
 
 def spark_profile(**changes) -> TopicParams:
@@ -113,7 +104,7 @@ def multicore_profile(**changes) -> TopicParams:
     """Chunked multi-pass training over a dictionary cut by document frequency."""
     base = dict(
         passes=10, vocab_size=100_000, vocab_order="df", min_df_frac=None, min_df_count=0.02,
-        learning_offset=1.0, learning_decay=0.5, batch_docs=2048, symmetric_priors=True,
+        learning_offset=1.0, learning_decay=0.5, steps_per_pass=5, symmetric_priors=True,
     )
     return TopicParams(**{**base, **changes})
 
@@ -127,6 +118,6 @@ def batch_profile(**changes) -> TopicParams:
     """Mini-batch training over an alphabetical vocabulary."""
     base = dict(
         topics=10, passes=200, vocab_size=None, vocab_order="alphabetical", max_df_frac=0.5,
-        batch_docs=2048, symmetric_priors=True, top_words=15,
+        steps_per_pass=5, symmetric_priors=True, top_words=15,
     )
     return TopicParams(**{**base, **changes})

@@ -47,7 +47,7 @@ def without_words(tokens: ColumnOrName, words: Iterable[str]) -> Column:
 
     The list becomes a hash set in the plan, so a token costs one probe.
     """
-    listed = sorted({w.lower() for w in words})
+    listed = sorted({w.lower() for w in words if w is not None})
     if not listed:
         return _col(tokens)
     return F.filter(_col(tokens), lambda t: ~F.lower(t).isin(listed))

@@ -32,6 +32,28 @@ def collect_tokens(
     return others.join(lists, key, "left").withColumn(out, F.coalesce(F.col(out), empty))
 
 
+def rewrite_tokens(docs: DataFrame, change, tokens: str, out: str, key: str = "doc_id") -> DataFrame:
+    """``docs`` with ``out``: their ``tokens`` after ``change`` of the exploded ``(pos, token)`` rows.
+
+    Rows are told apart by key and tokens. Those that agree in both have the same result, so it is
+    computed once, and rows of one key with different tokens keep apart; so do rows without a key.
+    """
+    hashed = docs.withColumn("__row", F.struct(F.col(key), F.xxhash64(tokens)))
+    once = hashed.select("__row", F.col(tokens).alias("__tokens")).dropDuplicates(["__row"])
+    rows = change(explode_tokens(once, "__tokens", "__row"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "token")))
+    lists = rows.groupBy(F.col("__row").alias("__key")).agg(F.transform(ordered, lambda r: r["token"]).alias("__out"))
+    empty = F.when(F.col(tokens).isNotNull(), F.array().cast("array<string>"))
+    joined = hashed.join(lists, F.col("__row").eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn(out, F.coalesce("__out", empty)).drop("__row", "__key", "__out")
+
+
+def one_lemma(lemmas: DataFrame) -> DataFrame:
+    """``(form, lemma)`` with one row per form: the smallest of its lemmas; nulls are left out."""
+    known = lemmas.filter("form is not null and lemma is not null")
+    return known.groupBy("form").agg(F.min("lemma").alias("lemma"))
+
+
 def lookup_join(tokens: DataFrame, lookup: DataFrame, on: str, how: str) -> DataFrame:
     """Join tokens with a word table that has one row per ``on``.
 
@@ -52,14 +74,14 @@ def lookup_join(tokens: DataFrame, lookup: DataFrame, on: str, how: str) -> Data
 
 def drop_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """Tokens not among ``words``, whatever the case."""
-    listed = words.select(F.lower("word").alias("lowered")).distinct()
+    listed = words.filter("word is not null").select(F.lower("word").alias("lowered")).distinct()
     lowered = tokens.withColumn("lowered", F.lower("token"))
     return lookup_join(lowered, listed, "lowered", "left_anti").drop("lowered")
 
 
 def map_lemmas(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Each token replaced by its lemma; tokens without one stay as they are."""
-    forms = lemmas.select(F.col("form").alias("token"), "lemma")
+    forms = one_lemma(lemmas).select(F.col("form").alias("token"), "lemma")
     return (
         lookup_join(tokens, forms, "token", "left")
         .withColumn("token", F.coalesce("lemma", "token"))

@@ -12,13 +12,14 @@ BLOCK_LINES = 100_000
 
 
 def segment_lines(
-    lines: DataFrame, keep_last: bool = False, block_lines: int = BLOCK_LINES
+    lines: DataFrame, keep_last: bool = True, block_lines: int = BLOCK_LINES
 ) -> DataFrame:
     """Articles from ``(file, line_no, line)`` as ``(file, article_no, url, content)``.
 
     A running count over a file would put the file into one task, and one file may hold a third
     of all lines. Lines are therefore numbered within blocks of ``block_lines``; a summary with
-    one row per block carries the state from block to block.
+    one row per block carries the state from block to block. With ``keep_last=False`` the last
+    article of every file is left out.
     """
     blocks = lines.select(
         "file",

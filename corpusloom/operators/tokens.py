@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom import config as C
 from corpusloom.functions import tokens as K
 from corpusloom.operators import lookups as J
-from corpusloom.session import fits_inline, lookup_size
+from corpusloom.session import fits_inline, lookup_size, write_scratch
 
 # Up to this many words a list is written into the plan as a hash set.
 INLINE_WORDS = 10_000
@@ -36,18 +36,19 @@ def remove_stopwords(
     tokens: str = "words",
     out: str = "words_filtered",
     key: str = "doc_id",
+    strategy: str = "auto",
 ) -> DataFrame:
-    """Drop stopwords whatever their case.
+    """Drop stopwords whatever their case; a null word stands for nothing.
 
-    A list of usual size is tested inside each row. Only a word table beyond ``INLINE_WORDS`` is
-    joined to exploded tokens, which costs a shuffle of the tokens by document.
+    A list of usual size is tested inside each row. Only a word table beyond ``INLINE_WORDS``, or
+    any with ``strategy="join"``, is joined to exploded tokens, which costs a shuffle of the tokens
+    by document. Both give the same rows.
     """
     if isinstance(words, DataFrame):
-        listed = words.select(F.lower("word").alias("word")).distinct()
-        head = listed.limit(INLINE_WORDS + 1).collect()
-        if len(head) > INLINE_WORDS:
-            kept = J.drop_words(J.explode_tokens(docs, tokens, key), listed)
-            return J.collect_tokens(kept, docs, out, key)
+        listed = words.filter("word is not null").select(F.lower("word").alias("word")).distinct()
+        head = [] if strategy == "join" else listed.limit(INLINE_WORDS + 1).collect()
+        if strategy == "join" or len(head) > INLINE_WORDS:
+            return J.rewrite_tokens(docs, lambda rows: J.drop_words(rows, listed), tokens, out, key)
         words = [row["word"] for row in head]
     return docs.withColumn(out, K.without_words(tokens, words))
 
@@ -78,16 +79,19 @@ def lemmatize(
     tokens: str = "words_filtered",
     out: str = "tokens",
     key: str = "doc_id",
+    strategy: str = "auto",
 ) -> DataFrame:
     """Replace tokens by their lemmas from ``(form, lemma)``; unknown tokens stay.
 
-    A dictionary within the inline limits is looked up inside each row. A larger one is joined to
-    exploded tokens, which costs a shuffle of the tokens by document.
+    Entries without a form or lemma are left out, and of several lemmas of a form the smallest is
+    taken. A dictionary within the inline limits is looked up inside each row. A larger one, or any
+    with ``strategy="join"``, is joined to exploded tokens, which costs a shuffle of the tokens by
+    word and one by document. Both give the same rows.
     """
-    rows, size = lookup_size(lemmas.select("form", "lemma"))
-    if not fits_inline(rows, size):
-        mapped = J.map_lemmas(J.explode_tokens(docs, tokens, key), lemmas)
-        return J.collect_tokens(mapped, docs, out, key)
+    lemmas = write_scratch(J.one_lemma(lemmas), "lemma-table")
+    rows, size = lookup_size(lemmas)
+    if strategy == "join" or not fits_inline(rows, size):
+        return J.rewrite_tokens(docs, lambda rows: J.map_lemmas(rows, lemmas), tokens, out, key)
     table = K.InlineLookup(lemmas, "form", "lemma", rows)
     return docs.withColumn(
         out, F.transform(tokens, lambda token: F.coalesce(table.get(token), token))

@@ -19,8 +19,10 @@ from corpusloom.operators.lookups import name_terms
 from corpusloom.session import write_scratch
 
 # Vectors are far smaller than texts, and every task of a training step returns one matrix of
-# topics by terms, so tasks are sized by vectors and not taken over from the text scan.
+# topics by terms, so tasks are sized by vectors and not taken over from the text scan. How many
+# there are depends on the number of documents alone: a fit is the same on every cluster.
 VECTORS_PER_TASK = 100_000
+SMALL_TASK, SMALL_TASKS = 1_000, 64
 
 
 @dataclass
@@ -54,18 +56,20 @@ class TopicModel:
     def quality(self, docs: DataFrame) -> DataFrame:
         """One row: log likelihood, log perplexity and perplexity.
 
-        The log perplexity is the negated log likelihood per token, so one inference pass over
-        the corpus serves all three.
+        The log perplexity is the negated log likelihood per token. ``docs`` is read twice, for
+        the tokens and for the likelihood; hand over prepared documents. Without a known term all
+        three are null.
         """
         features = self.features(docs)
         column = self.settings.features_col
-        likelihood = self.model.logLikelihood(features)
         mass = features.select(Summarizer.sum(F.col(column)).alias("mass")).first()["mass"]
-        per_token = -likelihood / float(mass.toArray().sum())
+        tokens = float(mass.toArray().sum()) if mass is not None else 0.0
+        likelihood = self.model.logLikelihood(features) if tokens else None
+        per_token = -likelihood / tokens if tokens else None
         return docs.sparkSession.range(1).select(
-            F.lit(likelihood).alias("log_likelihood"),
-            F.lit(per_token).alias("log_perplexity"),
-            F.exp(F.lit(per_token)).alias("perplexity"),
+            F.lit(likelihood).cast("double").alias("log_likelihood"),
+            F.lit(per_token).cast("double").alias("log_perplexity"),
+            F.exp(F.lit(per_token).cast("double")).alias("perplexity"),
         )
 
     def describe(self, n: int | None = None) -> DataFrame:
@@ -102,60 +106,59 @@ def fit_topics(
 ) -> TopicModel:
     """Train a topic model on ``(key, tokens)``.
 
-    Tokens are kept for the vocabulary and the vectors, vectors for the iterations. Only the
-    vectors are shuffled: hashing and sorting them by document key balances the tasks and makes
-    the fit repeatable.
+    ``docs`` is read for the vocabulary and for the vectors; the jobs of ``plans`` write it out
+    first. Only the vectors are shuffled and kept: hashing and sorting them by document key
+    balances the tasks and makes the fit repeatable.
     """
-    kept = docs.select(key, tokens).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_docs = kept.count()
-        partitions = max(
-            docs.sparkSession.sparkContext.defaultParallelism, ceil(n_docs / VECTORS_PER_TASK)
-        )
-        if vocab is None:
-            vocab = V.build_vocab(
-                kept,
-                min_df_frac=settings.min_df_frac,
-                max_df_frac=settings.max_df_frac,
-                min_df_count=settings.min_df_count,
-                size=settings.vocab_size,
-                order=settings.vocab_order,
-                tokens=tokens,
-                n_docs=n_docs,
-            )
-        vocab = write_scratch(vocab, "vocabulary")
-        vectorizer = V.vectorizer(V.terms_in_order(vocab), tokens)
-        features = vectorizer.transform(kept)
-        idf = None
-        if settings.features_col == "idf":
-            idf = IDF(inputCol="features", outputCol="idf").fit(features)
-            features = idf.transform(features)
-        features = (
-            features.select(key, settings.features_col)
-            .repartition(partitions, key)
-            .sortWithinPartitions(key)
-            .persist(StorageLevel.MEMORY_AND_DISK)
+    kept = docs.select(key, tokens)
+    n_docs = kept.count()
+    if vocab is None:
+        vocab = V.build_vocab(
+            kept,
+            min_df_frac=settings.min_df_frac,
+            max_df_frac=settings.max_df_frac,
+            min_df_count=settings.min_df_count,
+            size=settings.vocab_size,
+            order=settings.vocab_order,
+            tokens=tokens,
+            n_docs=n_docs,
         )
-        try:
-            model = _lda(settings, n_docs).fit(features)
-        finally:
-            features.unpersist()
+    vocab = write_scratch(vocab, "vocabulary")
+    vectorizer = V.vectorizer(V.terms_in_order(vocab), tokens)
+    features = vectorizer.transform(kept)
+    idf = None
+    if settings.features_col == "idf":
+        idf = IDF(inputCol="features", outputCol="idf").fit(features)
+        features = idf.transform(features)
+    features = (
+        features.select(key, settings.features_col)
+        .repartition(fit_tasks(n_docs), key)
+        .sortWithinPartitions(key)
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    try:
+        model = _lda(settings).fit(features)
     finally:
-        kept.unpersist()
+        features.unpersist()
     return TopicModel(model, vocab, vectorizer, settings, idf)
 
 
-def _lda(settings: TopicParams, n_docs: int) -> LDA:
+def fit_tasks(n_docs: int) -> int:
+    """The number of tasks a training step has."""
+    return max(1, min(SMALL_TASKS, ceil(n_docs / SMALL_TASK)), ceil(n_docs / VECTORS_PER_TASK))
+
+
+def _lda(settings: TopicParams) -> LDA:
     lda = LDA(
         k=settings.topics,
-        maxIter=settings.iterations(n_docs),
+        maxIter=settings.iterations,
         optimizer="online",
         seed=settings.seed,
         learningOffset=settings.learning_offset,
         learningDecay=settings.learning_decay,
         featuresCol=settings.features_col,
     )
-    rate = settings.sampling_rate(n_docs)
+    rate = settings.sampling_rate
     if rate is not None:
         lda = lda.setSubsamplingRate(rate)
     if settings.symmetric_priors:

@@ -9,7 +9,7 @@ from corpusloom.sources.articles import write_articles
 from corpusloom.sources.dump import segment_articles
 
 
-def article_table(spark: SparkSession, path: str, keep_last: bool = False) -> DataFrame:
+def article_table(spark: SparkSession, path: str, keep_last: bool = True) -> DataFrame:
     """``(date, news_category, headline, content, url)`` of every article in the dump."""
     articles = describe_urls(segment_articles(spark, path, keep_last))
     return articles.select("date", "news_category", "headline", "content", "url")

@@ -10,10 +10,18 @@ from corpusloom.config import TopicParams, batch_profile, multicore_profile, spa
 from corpusloom.functions import tokens as K
 from corpusloom.operators import tokens as T
 from corpusloom.operators.topics import TopicModel, fit_topics
+from corpusloom.session import write_scratch
 
 Words = DataFrame | Iterable[str]
 
 
+def _fitted(docs: DataFrame, settings: TopicParams) -> tuple[TopicModel, DataFrame]:
+    """The model and the documents it was trained on, whose preparation is written out once."""
+    kept = [c for c in docs.columns if c not in ("content", "text")]
+    prepared = write_scratch(docs.select(*kept), "prepared")
+    return fit_topics(prepared, settings), prepared
+
+
 def train_spark(
     articles: DataFrame,
     words: Words,
@@ -23,7 +31,7 @@ def train_spark(
 ) -> tuple[TopicModel, DataFrame]:
     """The distributed job: every token kind, vocabulary by corpus frequency."""
     docs = T.preprocess(articles, words, lemmas, text)
-    return fit_topics(docs, settings or spark_profile()), docs
+    return _fitted(docs, settings or spark_profile())
 
 
 def train_multicore(
@@ -35,7 +43,7 @@ def train_multicore(
 ) -> tuple[TopicModel, DataFrame]:
     """Alphabetic tokens only, dictionary by document frequency, several passes in chunks."""
     docs = T.preprocess(articles, words, lemmas, text, alpha_only=True, break_hyphens=True)
-    return fit_topics(docs, settings or multicore_profile()), docs
+    return _fitted(docs, settings or multicore_profile())
 
 
 def train_batch(
@@ -49,4 +57,4 @@ def train_batch(
     docs = T.remove_words(T.preprocess(articles, words, lemmas, text))
     docs = T.join_tokens(docs, "tokens", "joined")
     docs = docs.withColumn("tokens", K.tokenize("joined", K.WORD_PATTERN)).drop("joined")
-    return fit_topics(docs, settings or batch_profile()), docs
+    return _fitted(docs, settings or batch_profile())

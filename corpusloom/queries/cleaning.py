@@ -100,12 +100,19 @@ def s2_segment_files(spark, sf_dir):
     return D.segment_articles(spark, _dump(spark, sf_dir), keep_last=True).select("url", "content")
 
 
-def s2_segment_lines(spark, sf_dir):
+def s2_segment_all_lines(spark, sf_dir):
+    """The default, which keeps the last article of a file."""
     return segment_lines(_conversation_lines(spark, sf_dir)).select(
         "file", F.col("article_no").cast("bigint"), "url", "content"
     )
 
 
+def s2_segment_lines(spark, sf_dir):
+    return segment_lines(_conversation_lines(spark, sf_dir), keep_last=False).select(
+        "file", F.col("article_no").cast("bigint"), "url", "content"
+    )
+
+
 def _conversation_lines(spark, sf_dir):
     """Conversations as files of lines; every user turn but the first opens an article."""
     opened = F.when(
@@ -116,21 +123,26 @@ def _conversation_lines(spark, sf_dir):
         F.col("conv_id").alias("file"),
         "turn",
         F.posexplode(F.split(opened, "\n")).alias("row", "line"),
-    ).select("file", (F.col("turn") * 1_000_000 + F.col("row")).alias("line_no"), "line")
+    ).select("file", (F.col("turn") * (1 << 32) + F.col("row")).alias("line_no"), "line")
 
 
-def _tsv(spark, sf_dir):
+def _tsv(spark, sf_dir, multi_line=True):
     path = scratch_path(spark, "articles-tsv")
-    A.write_articles(_clean(spark, sf_dir), path, fmt="tsv")
+    A.write_articles(_clean(spark, sf_dir), path, fmt="tsv", multi_line=multi_line)
     return path
 
 
 def s3_read_articles(spark, sf_dir):
-    return A.read_articles(spark, _tsv(spark, sf_dir)).select(_day(), "content")
+    return A.read_articles(spark, _tsv(spark, sf_dir), multi_line=True).select(_day(), "content")
+
+
+def s3_read_line_articles(spark, sf_dir):
+    """One record per line, the default: line breaks within a text are spaces."""
+    return A.read_articles(spark, _tsv(spark, sf_dir, multi_line=False)).select(_day(), "content")
 
 
 def s4_read_articles_headline(spark, sf_dir):
-    return A.read_articles(spark, _tsv(spark, sf_dir), keep_headline=True).select(
+    return A.read_articles(spark, _tsv(spark, sf_dir), keep_headline=True, multi_line=True).select(
         _day(), "headline", "content"
     )
 
@@ -241,7 +253,7 @@ def e1_article_table(spark, sf_dir):
 QUERIES = {
     q.__name__: q
     for q in (
-        s1_dump_preview, s1_dump_lines, s2_segment_files, s2_segment_lines, s3_read_articles,
+        s1_dump_preview, s1_dump_lines, s2_segment_files, s2_segment_lines, s2_segment_all_lines, s3_read_articles, s3_read_line_articles,
         s4_read_articles_headline, s5_write_articles, p1_select_columns, p2_drop_column,
         p3_rename_columns, p4_keep_english, p5_drop_empty, f1_url_date, f1_url_date_pages,
         f2_url_tail, f3_news_category, f4_headline, f5_remove_dateline, f6_detect_cjk,
@@ -280,6 +292,8 @@ SELECT file, article_no,
     FILTER (WHERE NOT starts_with(line, 'URL: ') AND trim(line, {_WS}) <> ''), '') AS content
 FROM ranked WHERE article_no > 0 AND article_no < n GROUP BY file, article_no""",
     "s3_read_articles": _ART_CLEAN + "SELECT date, content_new AS content FROM clean WHERE content_new <> ''",
+    "s3_read_line_articles": _ART_CLEAN
+    + r"SELECT date, regexp_replace(content_new, '\r\n|\r|\n', ' ', 'g') AS content FROM clean WHERE content_new <> ''",
     "s4_read_articles_headline": _ART_CLEAN
     + "SELECT date, headline, content_new AS content FROM clean WHERE content_new <> ''",
     "s5_write_articles": _ART_CLEAN + "SELECT date, headline, content_new FROM clean WHERE content_new <> ''",
@@ -317,3 +331,5 @@ FROM ranked WHERE article_no > 0 AND article_no < n GROUP BY file, article_no"""
     + f"SELECT {_DAY} AS date, {_CATEGORY} AS news_category, {_HEADLINE} AS headline, "
     f"{_joined_lines('body')} AS content, url FROM dump",
 }
+
+ORACLES["s2_segment_all_lines"] = ORACLES["s2_segment_lines"].replace(" AND article_no < n", "")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -104,9 +103,10 @@ def v1_count_vectors(spark, sf_dir):
         V.build_vocab(docs, min_df_frac=0.02, max_df_frac=0.8, size=_TOP_WORDS_SIZE), "vocab"
     )
     vectors = V.vectorize(docs, vocab)
-    cells = vectors.select(
-        "doc_id", F.posexplode(vector_to_array("features")).alias("term_id", "tf")
-    ).filter("tf > 0")
+    sparse = vectors.select("doc_id", F.unwrap_udt("features").alias("v"))
+    cells = sparse.select(
+        "doc_id", F.inline(F.arrays_zip(F.col("v.indices").alias("term_id"), F.col("v.values").alias("tf")))
+    )
     return name_terms(cells, vocab).select("doc_id", "term", F.col("tf").cast("bigint"))
 
 

@@ -1,7 +1,8 @@
 """Queries over topic models trained on the documents.
 
-Training has no SQL counterpart. Where a report has exact properties, such as the documents whose
-shares sum to one, the query returns those and has one.
+Training has no SQL counterpart. Beside each report that depends on it stands a query that returns
+its exact properties, such as the documents whose shares sum to one, and has one. The vocabulary of
+each profile, the mass of its tokens and its parameters are worked out in SQL.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from corpusloom import config as C
 from corpusloom.config import (
     TopicParams,
     batch_profile,
@@ -17,19 +19,21 @@ from corpusloom.config import (
     spark_profile,
     spark_trial_profile,
 )
-from corpusloom.operators.topics import TopicModel
+from corpusloom.functions import tokens as K
+from corpusloom.operators.topics import TopicModel, fit_topics
 from corpusloom.plans.topic_jobs import train_batch, train_multicore, train_spark
 from corpusloom.queries import inputs as I
 from corpusloom.queries.counts import _bounds, _vocab
 from corpusloom.queries.inputs import ALL, with_
-from corpusloom.queries.words import _KEPT_CTE, _LEMMA_CTE
+from corpusloom.queries.words import _ALPHA, _KEPT_CTE, _LEMMA_CTE
+from corpusloom.session import write_scratch
 
-# The profiles with fewer iterations, so that a query takes seconds.
-SPARK_JOB = spark_profile(max_iter=10)
+# Each model is trained in full, once per session.
+SPARK_JOB = spark_profile()
 SPARK_TRIAL = spark_trial_profile()
 SPARK_WEIGHTED = spark_trial_profile(features_col="idf")
-MULTICORE_JOB = multicore_profile(passes=4)
-BATCH_JOB = batch_profile(passes=4)
+MULTICORE_JOB = multicore_profile()
+BATCH_JOB = batch_profile()
 
 _TRAIN = {SPARK_JOB: train_spark, SPARK_TRIAL: train_spark, SPARK_WEIGHTED: train_spark,
           MULTICORE_JOB: train_multicore, BATCH_JOB: train_batch}
@@ -118,7 +122,7 @@ def m6_topic_shape(spark, sf_dir):
 
 
 def m7_batch_keywords(spark, sf_dir):
-    topics = _trained(spark, sf_dir, BATCH_JOB)[0].describe(10)
+    topics = _trained(spark, sf_dir, BATCH_JOB)[0].describe()
     return topics.select(
         F.col("topic").cast("bigint"), F.col("rank").cast("bigint"), "term", "weight"
     )
@@ -135,12 +139,95 @@ def m9_topic_frequencies(spark, sf_dir):
     )
 
 
+def _topic_facts(spark, sf_dir, settings):
+    """Per topic: the terms of its whole distribution, how many are distinct, that the weights are
+    shares which never rise with the rank, and their sum."""
+    model = _trained(spark, sf_dir, settings)[0]
+    terms = model.describe(model.model.vocabSize())
+    by_rank = F.transform(F.sort_array(F.collect_list(F.struct("rank", "weight"))), lambda r: r["weight"])
+    weight = F.col("weight")
+    return terms.groupBy(F.col("topic").cast("bigint").alias("topic")).agg(
+        F.count(F.lit(1)).alias("terms"),
+        F.count_distinct("term").alias("distinct_terms"),
+        F.round(F.sum("weight"), 6).alias("weight_sum"),
+        (F.min((weight > 0) & (weight <= 1)) & (by_rank == F.sort_array(by_rank, asc=False))).alias("falling_shares"),
+    )
+
+
+def m1_topic_facts(spark, sf_dir):
+    return _topic_facts(spark, sf_dir, SPARK_JOB)
+
+
+def m2_topic_facts(spark, sf_dir):
+    return _topic_facts(spark, sf_dir, MULTICORE_JOB)
+
+
+def m3_topic_facts(spark, sf_dir):
+    return _topic_facts(spark, sf_dir, BATCH_JOB)
+
+
+def m5_quality_facts(spark, sf_dir):
+    """The token mass behind the quality, and that its three figures agree."""
+    model, docs = _trained(spark, sf_dir, SPARK_JOB)
+    mass = docs.select(F.inline(K.count_terms("tokens"))).join(F.broadcast(model.vocab.select("term")), "term")
+    row = model.quality(docs)
+    exact = F.abs(F.col("perplexity") - F.exp("log_perplexity")) <= 1e-9 * F.col("perplexity")
+    same = F.abs(F.col("log_likelihood") + F.col("log_perplexity") * F.col("mass")) <= 1e-6 * F.abs("log_likelihood")
+    return row.crossJoin(F.broadcast(mass.agg(F.sum("tf").alias("mass")))).select(
+        "mass", exact.alias("perplexity_agrees"), same.alias("likelihood_agrees")
+    )
+
+
+def m7_keyword_facts(spark, sf_dir):
+    keywords = m7_batch_keywords(spark, sf_dir)
+    return keywords.groupBy("topic").agg(F.count(F.lit(1)).alias("keywords"), F.count_distinct("term").alias("distinct_terms"))
+
+
+_PARAMS = ("k", "maxIter", "optimizer", "seed", "learningOffset", "learningDecay", "subsamplingRate", "vocabSize")
+
+
+def m8_param_facts(spark, sf_dir):
+    params = _trained(spark, sf_dir, SPARK_JOB)[0].params()
+    return params.filter(F.col("param").isin(*_PARAMS))
+
+
+def m9_frequency_facts(spark, sf_dir):
+    """Each topic's map has as many terms as its list, with the same weights."""
+    model = _trained(spark, sf_dir, SPARK_JOB)[0]
+    mapped = model.frequencies().select("topic", F.explode("frequencies").alias("term", "in_map"))
+    both = model.describe().join(mapped, ["topic", "term"], "full")
+    return both.groupBy(F.col("topic").cast("bigint").alias("topic")).agg(
+        F.count(F.lit(1)).alias("terms"), F.coalesce(F.min(F.col("weight") == F.col("in_map")), F.lit(False)).alias("same")
+    )
+
+
+_THEMES = 3
+
+
+def m_planted_topics(spark, sf_dir):
+    """Documents whose words come from one of three separate groups share their dominant topic with
+    their group and with no other."""
+    number = F.pmod(F.col("doc_id"), F.lit(_THEMES))
+    word = lambda i: F.concat(F.lit("group"), number.cast("string"), F.lit("word"), (F.pmod(F.xxhash64("doc_id", i), F.lit(12))).cast("string"))
+    docs = I.table(spark, sf_dir, "documents").select(
+        "doc_id", number.alias("theme"), F.transform(F.sequence(F.lit(1), F.lit(40)), word).alias("tokens")
+    )
+    docs = write_scratch(docs, "planted")
+    model = fit_topics(docs, TopicParams(topics=_THEMES, max_iter=60, vocab_size=100, min_df_frac=0.001, max_df_frac=1.0))
+    best = model.mixtures(docs).join(docs.select("doc_id", "theme"), "doc_id")
+    share = best.groupBy("theme", "dominant_topic").agg(F.count(F.lit(1)).alias("n"))
+    return share.groupBy("theme").agg(
+        F.count(F.lit(1)).alias("topics"), F.sum("n").alias("documents"),
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         m1_spark_topics, m1_weighted_topics, m2_multicore_topics, m3_batch_topics, m4_doc_topics,
         m4_share_sums, m5_quality, m6_top_terms, m6_topic_shape, m7_batch_keywords, m8_model_params,
-        m9_topic_frequencies,
+        m9_topic_frequencies, m1_topic_facts, m2_topic_facts, m3_topic_facts, m5_quality_facts,
+        m7_keyword_facts, m8_param_facts, m9_frequency_facts, m_planted_topics,
     )
 }
 
@@ -152,7 +239,55 @@ _MODEL_VOCAB = with_(
     _vocab("cf DESC, term", _bounds(0.02, 0.8), 10_000, "lemma_stats"),
 )
 
+_LEMMA_STATS = "lemma_stats AS (SELECT lemma AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM lem GROUP BY lemma)"
+
+# Alphabetic parts of hyphenated tokens, then stopwords, then lemmas; a dictionary by documents.
+_MULTICORE_VOCAB = with_(
+    *ALL,
+    "pieces AS (SELECT doc_id, unnest(string_split(token, '-')) AS token FROM tok)",
+    f"kept AS (SELECT * FROM pieces WHERE regexp_matches(token, {_ALPHA}) AND token NOT IN (SELECT lower(word) FROM stop))",
+    "lem AS (SELECT doc_id, coalesce(lemma, token) AS lemma FROM kept LEFT JOIN lemmas ON form = token)",
+    _LEMMA_STATS,
+    _vocab("df DESC, term", _bounds(None, 0.8), 100_000, "lemma_stats"),
+)
+
+# Lemmas without titles and marks, joined and cut again into words of two characters or more.
+_BATCH_VOCAB = with_(
+    *ALL,
+    _KEPT_CTE,
+    _LEMMA_CTE,
+    f"removed(word) AS (VALUES {I.words_values((*C.PUNCTUATION, *C.EXTRA_WORDS))})",
+    "joined AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS l FROM lem "
+    "WHERE lower(lemma) NOT IN (SELECT word FROM removed) GROUP BY doc_id)",
+    r"again AS (SELECT doc_id, unnest(regexp_extract_all(lower(l), '[\p{L}\p{N}_]{2,}')) AS lemma FROM joined)",
+    "lemma_stats AS (SELECT lemma AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM again GROUP BY lemma)",
+    _vocab("term", _bounds(0.02, 0.5), None, "lemma_stats"),
+)
+
+
+def _facts(vocab: str, topics: int) -> str:
+    return vocab + (
+        "SELECT topic, n AS terms, n AS distinct_terms, 1.0::DOUBLE AS weight_sum, true AS falling_shares "
+        f"FROM range({topics}) t(topic), (SELECT count(*) AS n FROM vocab)"
+    )
+
+
 ORACLES = {
+    "m1_topic_facts": _facts(_MODEL_VOCAB, 20),
+    "m2_topic_facts": _facts(_MULTICORE_VOCAB, 20),
+    "m3_topic_facts": _facts(_BATCH_VOCAB, 10),
+    "m5_quality_facts": _MODEL_VOCAB
+    + "SELECT CAST(sum(cf) AS BIGINT) AS mass, true AS perplexity_agrees, true AS likelihood_agrees FROM vocab",
+    "m7_keyword_facts": _BATCH_VOCAB
+    + "SELECT topic, least(15, n) AS keywords, least(15, n) AS distinct_terms "
+    "FROM range(10) t(topic), (SELECT count(*) AS n FROM vocab)",
+    "m8_param_facts": _MODEL_VOCAB
+    + "SELECT * FROM (VALUES ('k', '20'), ('maxIter', '200'), ('optimizer', 'online'), ('seed', '1'), "
+    "('learningOffset', '100.0'), ('learningDecay', '0.51'), ('subsamplingRate', '0.05')) v(param, value) "
+    "UNION ALL SELECT 'vocabSize', CAST(count(*) AS VARCHAR) FROM vocab",
+    "m9_frequency_facts": _MODEL_VOCAB
+    + "SELECT topic, least(20, n) AS terms, true AS same FROM range(20) t(topic), (SELECT count(*) AS n FROM vocab)",
+    "m_planted_topics": f"SELECT doc_id % {_THEMES} AS theme, 1::BIGINT AS topics, count(*) AS documents FROM documents GROUP BY 1",
     "m4_share_sums": _MODEL_VOCAB[:-1]
     + ", known AS (SELECT DISTINCT doc_id FROM lem WHERE lemma IN (SELECT term FROM vocab)) "
     "SELECT d.doc_id, CAST(20 AS BIGINT) AS topics, "

@@ -87,6 +87,14 @@ def s8_read_lemma_json(spark, sf_dir):
     return S.read_lemma_json(spark, path, json_lines=True).select("form", "lemma")
 
 
+def s8_read_lemma_object(spark, sf_dir):
+    """The whole dictionary as one JSON object, which is one task to write and to read."""
+    path = scratch_path(spark, "lemma-object")
+    entries = F.map_from_entries(F.collect_list(F.struct("form", "lemma")))
+    I.lemma_lookup(spark, sf_dir).agg(F.to_json(entries)).coalesce(1).write.text(path)
+    return S.read_lemma_json(spark, f"{path}/part-*").select("form", "lemma")
+
+
 def s9_write_lemma_dict(spark, sf_dir):
     path = scratch_path(spark, "lemma-dict")
     inverted = L.alphabetic_lemmas(L.invert_lemmas(I.lemma_lookup(spark, sf_dir)))
@@ -132,6 +140,12 @@ def t3_remove_stopwords(spark, sf_dir):
     return _joined(_filtered(spark, sf_dir), "words_filtered", "words_filtered")
 
 
+def t3_stopwords_by_join(spark, sf_dir):
+    """The join that larger word tables take."""
+    docs = _words(spark, sf_dir).transform(T.remove_stopwords, words=I.stopwords(spark, sf_dir), strategy="join")
+    return _joined(docs, "words_filtered", "words_filtered")
+
+
 def t4_join_tokens(spark, sf_dir):
     return _filtered(spark, sf_dir).transform(T.join_tokens).select("doc_id", "words_joined")
 
@@ -146,6 +160,13 @@ def t6_lemmatize(spark, sf_dir):
     return _joined(docs, "tokens", "lemmas")
 
 
+def t6_lemmas_by_join(spark, sf_dir):
+    """The join that larger dictionaries take."""
+    docs = _filtered(spark, sf_dir)
+    docs = docs.transform(T.lemmatize, lemmas=I.lemma_lookup(spark, sf_dir), strategy="join")
+    return _joined(docs, "tokens", "lemmas")
+
+
 def t8_alphabetic_lemmas(spark, sf_dir):
     docs = T.preprocess(
         I.documents(spark, sf_dir),
@@ -249,9 +270,10 @@ def j5_known_terms(spark, sf_dir):
 QUERIES = {
     q.__name__: q
     for q in (
-        s6_read_stopwords, s7_write_stopwords, s8_read_lemma_json, s9_write_lemma_dict,
+        s6_read_stopwords, s7_write_stopwords, s8_read_lemma_json, s8_read_lemma_object, s9_write_lemma_dict,
         s10_read_lemma_dict, p6_alphabetic_tokens, p7_not_a_stopword, p8_lemma_is_root, t1_tokenize,
-        t2_clean_text, t3_remove_stopwords, t4_join_tokens, t5_split_words, t6_lemmatize,
+        t2_clean_text, t3_remove_stopwords, t3_stopwords_by_join, t4_join_tokens, t5_split_words, t6_lemmatize,
+        t6_lemmas_by_join,
         t8_alphabetic_lemmas, t9_remove_words, l1_invert_lemmas, l2_alphabetic_lemmas,
         l3_expand_roots, l4_combine_words, l5_distinct_words, l6_build_stopwords, l7_sorted_words,
         l8_word_class_counts, j1_drop_stopwords, j2_map_lemmas, j3_name_terms, j4_forms_of_roots,
@@ -273,6 +295,7 @@ ORACLES = {
     "s7_write_stopwords": with_(*WORDS)
     + "SELECT row_number() OVER (ORDER BY word) AS n, word AS line FROM stop",
     "s8_read_lemma_json": with_(*LEMMAS) + "SELECT form, lemma FROM lemmas",
+    "s8_read_lemma_object": with_(*LEMMAS) + "SELECT form, lemma FROM lemmas",
     "s9_write_lemma_dict": with_(*LEMMAS, _ALPHA_INVERTED)
     + "SELECT lemma || ' -> ' || lemma || ' ' || forms AS line FROM alpha",
     "s10_read_lemma_dict": with_(*LEMMAS)[:-1]
@@ -290,10 +313,12 @@ ORACLES = {
     "t2_clean_text": "SELECT doc_id, lower(array_to_string(l, ' ')) AS clean, array_to_string(l, ' ') AS cased "
     r"FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9\-]{3,50}') AS l FROM documents)",
     "t3_remove_stopwords": with_(*WORDS, _KEPT_CTE) + _per_doc("kept", "token", "words_filtered"),
+    "t3_stopwords_by_join": with_(*WORDS, _KEPT_CTE) + _per_doc("kept", "token", "words_filtered"),
     "t4_join_tokens": with_(*WORDS, _KEPT_CTE) + _per_doc("kept", "token", "words_joined"),
     "t5_split_words": with_(*WORDS, _KEPT_CTE)
     + "SELECT doc_id, count(token) AS n_tokens FROM documents LEFT JOIN kept USING (doc_id) GROUP BY doc_id",
     "t6_lemmatize": with_(*ALL, _KEPT_CTE, _LEMMA_CTE) + _per_doc("lem", "lemma", "lemmas"),
+    "t6_lemmas_by_join": with_(*ALL, _KEPT_CTE, _LEMMA_CTE) + _per_doc("lem", "lemma", "lemmas"),
     "t8_alphabetic_lemmas": with_(
         *ALL,
         "pieces AS (SELECT doc_id, pos, string_split(token, '-') AS l FROM tok)",

@@ -22,13 +22,13 @@ def read_articles(
     spark: SparkSession,
     path: str,
     keep_headline: bool = False,
-    multi_line: bool = True,
+    multi_line: bool = False,
     schema: T.StructType = ARTICLE_SCHEMA,
 ) -> DataFrame:
     """``(date, content)`` or, on request, ``(date, headline, content)``.
 
-    With ``multi_line`` a file is read by one task, since a line break may lie within a field;
-    turn it off for files known to hold one record per line and they are split.
+    A record is a line, as ``write_articles`` leaves it, and large files are split. With
+    ``multi_line`` line breaks may lie within quoted fields, and a file is read by one task.
     """
     articles = spark.read.csv(path, schema=schema, multiLine=multi_line, dateFormat="yyyy-MM-dd", **TSV_OPTIONS)
     return articles if keep_headline else articles.drop("headline")
@@ -40,16 +40,22 @@ def write_articles(
     columns: tuple[str, ...] = ("date", "headline", "content_new"),
     fmt: str = "parquet",
     rows_per_file: int = 25_000,
+    multi_line: bool = False,
 ) -> None:
     """Write the named columns as Parquet, or as tab-separated text with ``fmt="tsv"``.
 
-    Text files are kept to ``rows_per_file`` rows, because readers take one whole file per task.
+    In text a line break within a field becomes a space, so that files can be split. With
+    ``multi_line`` it is kept, and files are kept to ``rows_per_file`` rows, because readers take
+    one whole file per task.
     """
     chosen = articles.select(*columns)
+    if fmt == "tsv" and not multi_line:
+        strings = [f.name for f in chosen.schema.fields if isinstance(f.dataType, T.StringType)]
+        chosen = chosen.withColumns({c: F.regexp_replace(c, r"\r\n|\r|\n", " ") for c in strings})
     if fmt == "parquet":
         chosen.write.parquet(path)
     elif fmt == "tsv":
-        chosen.write.option("maxRecordsPerFile", rows_per_file).csv(
+        chosen.write.option("maxRecordsPerFile", rows_per_file if multi_line else 0).csv(
             path,
             dateFormat="yyyy-MM-dd",
             ignoreLeadingWhiteSpace=False,

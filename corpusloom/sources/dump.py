@@ -27,12 +27,13 @@ def preview(lines: DataFrame, n: int = 30) -> DataFrame:
     )
 
 
-def segment_articles(spark: SparkSession, path: str, keep_last: bool = False) -> DataFrame:
+def segment_articles(spark: SparkSession, path: str, keep_last: bool = True) -> DataFrame:
     """Articles of a dump as ``(file, url, content)``.
 
     The record separator is the start of the next article, so that Hadoop's splitting of large
     files yields whole articles and no line is shuffled. What precedes a file's first article is
-    left out, and so is each file's last article unless ``keep_last`` is set.
+    left out. With ``keep_last=False`` so is the last article of every file, for dumps that may end
+    in the middle of one.
     """
     records = read_positioned(spark, path, line_sep="\n" + C.ARTICLE_PREFIX)
     # One row per file: only a file's first record can still carry the prefix or be a preamble.

@@ -13,11 +13,13 @@ from corpusloom.operators.tokens import tokenize
 from corpusloom.sources.articles import TSV_OPTIONS, ARTICLE_SCHEMA
 
 
-def read_article_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Tab-separated article files as they appear in a folder."""
+def read_article_stream(
+    spark: SparkSession, path: str, files_per_batch: int = 1000, multi_line: bool = False
+) -> DataFrame:
+    """Tab-separated article files as they appear in a folder; see ``read_articles``."""
     return (
         spark.readStream.schema(ARTICLE_SCHEMA)
-        .options(multiLine=True, dateFormat="yyyy-MM-dd", maxFilesPerTrigger=files_per_batch, **TSV_OPTIONS)
+        .options(multiLine=multi_line, dateFormat="yyyy-MM-dd", maxFilesPerTrigger=files_per_batch, **TSV_OPTIONS)
         .csv(path)
     )
 

@@ -66,4 +66,4 @@ def test_hot_file_is_segmented_in_blocks(spark):
         (F.col("url") != ((F.col("article_no") - 1) * 7).cast("string"))
         | (F.col("content") != "text text text text text text")
     )
-    assert out.count() == 9_999 and wrong.count() == 0
+    assert out.count() == 10_000 and wrong.count() == 0

@@ -54,7 +54,7 @@ def test_cleaning_a_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     (source / "a.tsv").write_text('2016-06-30\thead\t"PARIS — Some\nnews_ here"\n2016-06-29\th\t中文\n')
-    cleaned = clean_stream(read_article_stream(spark, str(source)))
+    cleaned = clean_stream(read_article_stream(spark, str(source), multi_line=True))
     assert cleaned.isStreaming
     query = cleaned.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     try:

@@ -1,3 +1,4 @@
+import re
 import datetime
 import json
 import random
@@ -57,7 +58,8 @@ def test_segment_articles_over_many_splits(spark, tmp_path, newline, keep_last):
 @pytest.mark.parametrize("text", ["", "no article at all\n", "URL: only-one\nbody\n"])
 def test_segment_articles_of_tiny_files(spark, tmp_path, text):
     (tmp_path / "dump.txt").write_text(text)
-    assert D.segment_articles(spark, str(tmp_path)).collect() == []
+    assert D.segment_articles(spark, str(tmp_path), keep_last=False).collect() == []
+    assert D.segment_articles(spark, str(tmp_path)).count() == ("URL" in text)
 
 
 @pytest.mark.parametrize("block_lines", [1, 3, 50, 100_000])
@@ -93,8 +95,8 @@ HARD = [
 def test_tsv_round_trip(spark, tmp_path):
     df = spark.createDataFrame(HARD, A.ARTICLE_SCHEMA)
     path = str(tmp_path / "tsv")
-    A.write_articles(df, path, ("date", "headline", "content"), fmt="tsv", rows_per_file=2)
-    back = A.read_articles(spark, path, keep_headline=True).collect()
+    A.write_articles(df, path, ("date", "headline", "content"), fmt="tsv", rows_per_file=2, multi_line=True)
+    back = A.read_articles(spark, path, keep_headline=True, multi_line=True).collect()
     key = str
     assert sorted((tuple(r) for r in back), key=key) == sorted(HARD, key=key)
     assert A.read_articles(spark, path).columns == ["date", "content"]
@@ -102,10 +104,25 @@ def test_tsv_round_trip(spark, tmp_path):
 
 def test_reads_doubled_quotes_of_other_writers(spark, tmp_path):
     (tmp_path / "x.tsv").write_text('2016-06-30\thead\t"a ""b""\tc\nd"\n2016-06-29\th2\tplain\n')
-    rows = A.read_articles(spark, str(tmp_path), keep_headline=True).orderBy("date").collect()
+    rows = A.read_articles(spark, str(tmp_path), keep_headline=True, multi_line=True).orderBy("date").collect()
     assert rows[1]["content"] == 'a "b"\tc\nd' and rows[0]["headline"] == "h2"
 
 
+def test_lines_are_split_over_tasks(spark, tmp_path):
+    df = spark.createDataFrame(HARD, A.ARTICLE_SCHEMA)
+    path = str(tmp_path / "tsv")
+    A.write_articles(df.unionByName(df), path, ("date", "headline", "content"), fmt="tsv")
+    flat = lambda v: re.sub(r"\r\n|\r|\n", " ", v) if isinstance(v, str) else v
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        back = A.read_articles(spark, path, keep_headline=True)
+        assert back.rdd.getNumPartitions() > 2
+        assert sorted(map(str, map(tuple, back.collect()))) == sorted(2 * [str(tuple(map(flat, r))) for r in HARD])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_unknown_format(spark, tmp_path):
     with pytest.raises(ValueError):
         A.write_articles(spark.createDataFrame(HARD, A.ARTICLE_SCHEMA), str(tmp_path / "x"), fmt="orc",
@@ -165,10 +182,12 @@ def test_dump_to_table(spark, tmp_path):
     lines = [
         "URL: http://x/2016/06/30/world/asia/some-news.html", "PARIS — Some_ text.", "",
         "URL: http://x/2016/06/29/a/b.html", "中文",
-        "URL: http://x/2016/06/28/c/d.html", "last, dropped",
+        "URL: http://x/2016/06/28/c/d.html", "last, kept",
     ]
     (tmp_path / "dump.txt").write_text("\n".join(lines))
     target = str(tmp_path / "out")
     build_articles(spark, str(tmp_path / "dump.txt"), target)
     rows = [tuple(r) for r in spark.read.parquet(target).collect()]
-    assert rows == [(datetime.date(2016, 6, 30), "some news", "Some text.")]
+    assert sorted(rows) == [
+        (datetime.date(2016, 6, 28), "d", "last, kept"), (datetime.date(2016, 6, 30), "some news", "Some text.")
+    ]

@@ -158,3 +158,34 @@ def test_count_terms(spark, lists):
 def test_count_terms_needs_no_shuffle(docs):
     plan = T.tokenize(docs).select(F.inline(K.count_terms("words")))
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+AWKWARD = [(1, ["Alpha", "beta", "null", "gamma"]), (1, ["beta", "delta"]), (2, []), (3, None), (4, ["beta", "beta", "x"]),
+           (4, ["beta", "beta", "x"]), (None, ["gamma"]), (None, ["delta", "beta"])]
+
+
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_ROWS": 0}])
+def test_all_paths_give_the_same_rows(spark, monkeypatch, limits):
+    """Inline, broadcast and salted lookups on nulls, repeated forms, repeated and missing keys."""
+    from corpusloom import session
+
+    for name, value in limits.items():
+        monkeypatch.setattr(session, name, value)
+    docs = spark.createDataFrame(AWKWARD, "doc_id bigint, tokens array<string>")
+    words = spark.createDataFrame([("BETA",), (None,), ("beta",)], "word string")
+    lemmas = spark.createDataFrame(
+        [("gamma", "g2"), ("gamma", "g1"), (None, "n"), ("delta", None), ("Alpha", "a"), ("beta", "b")], "form string, lemma string"
+    )
+
+    def rows(df):
+        return sorted(((r["doc_id"], r["out"]) for r in df.collect()), key=str)
+
+    kept = [rows(T.remove_stopwords(docs, words, "tokens", "out", strategy=s)) for s in ("auto", "join")]
+    assert kept[0] == kept[1] == sorted(
+        [(1, ["Alpha", "null", "gamma"]), (1, ["delta"]), (2, []), (3, None), (4, ["x"]), (4, ["x"]), (None, ["gamma"]), (None, ["delta"])], key=str
+    )
+    mapped = [rows(T.lemmatize(docs, lemmas, "tokens", "out", strategy=s)) for s in ("auto", "join")]
+    assert mapped[0] == mapped[1] == sorted(
+        [(1, ["a", "b", "null", "g1"]), (1, ["b", "delta"]), (2, []), (3, None), (4, ["b", "b", "x"]), (4, ["b", "b", "x"]),
+         (None, ["g1"]), (None, ["delta", "b"])], key=str
+    )

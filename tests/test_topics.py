@@ -12,7 +12,7 @@ from corpusloom.config import (
     spark_profile,
     spark_trial_profile,
 )
-from corpusloom.operators.topics import fit_topics
+from corpusloom.operators.topics import fit_tasks, fit_topics
 
 SETTINGS = TopicParams(topics=3, max_iter=5, vocab_size=50, min_df_frac=0.01, top_words=4)
 
@@ -91,20 +91,16 @@ def test_priors_of_the_batch_profile(docs):
 
 
 def test_profiles():
-    assert (spark_profile().topics, spark_profile().iterations(10**9)) == (20, 200)
+    assert (spark_profile().topics, spark_profile().iterations) == (20, 200)
     assert (spark_trial_profile().topics, spark_trial_profile().vocab_size) == (15, 5_000)
     chunked = multicore_profile()
-    assert chunked.iterations(8_800) == 10 * 5
-    assert math.isclose(chunked.sampling_rate(8_800), 1 / 5)
-    assert chunked.sampling_rate(100) == 1.0
+    assert chunked.iterations == 10 * 5 and math.isclose(chunked.sampling_rate, 1 / 5)
     assert multicore_trial_profile().passes == 20
-    assert batch_profile().iterations(2_000) == 200
+    assert batch_profile().iterations == 200 * 5 and spark_profile().sampling_rate is None
 
 
-def test_steps_do_not_grow_with_the_corpus():
-    chunked = multicore_profile()
-    assert chunked.steps_per_pass(10**10) == 64
-    assert math.isclose(chunked.sampling_rate(10**10) * chunked.steps_per_pass(10**10), 1.0)
+def test_tasks_of_a_fit_follow_the_documents_alone():
+    assert [fit_tasks(n) for n in (0, 1, 5_000, 10**6, 10**9)] == [1, 1, 5, 64, 10_000]
 
 
 def test_vocabulary_given_from_outside(spark, docs):
