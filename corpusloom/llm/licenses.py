@@ -212,7 +212,7 @@ def fit_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> Li
                 for _, _, words in paragraphs(text or ""):
                     if max(similarity(unlike, f, words) for f in TEMPLATES) < 0.3:
                         rows.add(tuple(finder(words)))
-            yield pd.DataFrame({"ids": [list(r) for r in sorted(rows)]})
+            yield pd.DataFrame({"ids": pd.Series([list(r) for r in sorted(rows)], dtype=object)})
 
     n = max(1, docs.count())
     some = docs.select("text").filter("text is not null").filter(hash_share(F.col("text"), min(1.0, params.sample / n)))

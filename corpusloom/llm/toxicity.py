@@ -66,8 +66,16 @@ def text_features(text: str | None) -> set[str]:
     held: set[str] = set()
     for words in letter_runs(text or ""):
         held.update(words)
-    starts = [{w[:n] + "*" for w in held if len(w) > n} for n in PREFIXES]
-    return held.union(*starts)
+    return word_features(held)
+
+
+def word_features(words: set[str]) -> set[str]:
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
+
+
+def swapped_features(features: list[str], swap: dict[str, str]) -> set[str]:
+    """The features of the same text with each identity term replaced."""
+    return word_features({swap.get(f, f) for f in features if not f.endswith("*")})
 
 
 def score_words(weights: dict[str, float], bias: float, text: str | None) -> float:
@@ -134,14 +142,19 @@ def fit_toxicity(labelled: DataFrame, params: ToxicityParams = ToxicityParams())
     gap = F.col("pos") - F.col("df") * share
     clear = counts.withColumn("chi", gap * gap / (F.col("df") * share * (1 - share))).filter(F.col("chi") >= params.clear)
     names = [r["word"] for r in clear.orderBy(F.desc("chi"), "word").limit(params.features).collect()]
-    names = sorted({*names, *swap})
+    names = sorted({*names, *word_features(set(swap))})
     index = {w: i for i, w in enumerate(names)}
 
     def ids(frames):
         for frame in frames:
             own = [[index[w] for w in words if w in index] for words in frame["words"]]
-            other = [sorted({index[swap.get(names[i], names[i])] for i in held}) for held in own]
-            yield pd.DataFrame({"toxic": frame["toxic"], "own": own, "other": other})
+            named = [not swap.keys().isdisjoint(words) for words in frame["words"]]
+            other = [
+                sorted(index[w] for w in swapped_features(words, swap) if w in index) if some else held
+                for words, held, some in zip(frame["words"], own, named)
+            ]
+            lists = {"own": pd.Series(own, dtype=object), "other": pd.Series(other, dtype=object)}
+            yield pd.DataFrame({"toxic": frame["toxic"].to_numpy(), **lists})
 
     kept = rows.mapInPandas(ids, "toxic int, own array<int>, other array<int>").toPandas()
     own, other = _sparse(kept["own"]), _sparse(kept["other"])
@@ -165,11 +178,18 @@ def _descend(own, other, y, names, bias, params) -> tuple[dict[str, float], floa
     def back(matrix, residual):
         return np.bincount(matrix[1], residual[matrix[0]], minlength=k) / n
 
-    # Steps along a coordinate are scaled by how often its word occurs.
+    def loss(weights, at) -> float:
+        z = apply(own, weights) + at
+        change = z - at - apply(other, weights)
+        fit = np.logaddexp(0, z) - y * z
+        return float(fit.mean() + params.fairness * (change**2).mean() + ridge / 2 * (weights**2).sum())
+
+    # Steps along a coordinate are scaled by its curvature: how often its word occurs or is swapped.
     df, ridge = np.bincount(own[1], minlength=k) / n, params.ridge / n
-    scale = 1 / (df / 4 + ridge)
-    crowd = max(1.0, float(np.bincount(own[0], minlength=n).mean()))
-    w_seen, b_seen, t_seen = w, b, 1.0
+    moved = np.abs(np.bincount(own[1], minlength=k) - np.bincount(other[1], minlength=k)) / n
+    scale = 1 / (df / 4 + ridge + 2 * params.fairness * np.maximum(moved, df * (moved > 0)))
+    rate = 1 / max(1.0, float(np.bincount(own[0], minlength=n).mean()))
+    w_seen, b_seen, t_seen, least = w, b, 1.0, loss(w, b)
     w_now, b_now = w, b
     for _ in range(params.steps):
         z = apply(own, w_now)
@@ -177,12 +197,18 @@ def _descend(own, other, y, names, bias, params) -> tuple[dict[str, float], floa
         residual = 1 / (1 + np.exp(-np.clip(z + b_now, -500, 500))) - y
         fair = 2 * params.fairness * change
         grad = back(own, residual + fair) - back(other, fair) + ridge * w_now
-        rate = 1 / (crowd * (1 + 4 * params.fairness * (abs(change).max() > 0)))
         w, b = w_now - rate * scale * grad, b_now - rate * 4 * residual.mean()
+        now = loss(w, b)
+        if not now <= least + 1e-12:
+            # Too far: go on from the best point with shorter steps and without momentum.
+            rate, t_seen = rate * 0.7, 1.0
+            w, b = w_now, b_now = w_seen, b_seen
+            continue
         t = (1 + (1 + 4 * t_seen * t_seen) ** 0.5) / 2
         push = (t_seen - 1) / t
         w_now, b_now = w + push * (w - w_seen), b + push * (b - b_seen)
-        w_seen, b_seen, t_seen = w, b, t
+        w_seen, b_seen, t_seen, least = w, b, t, now
+    w, b = w_seen, b_seen
     return {name: float(x) for name, x in zip(names, w) if x}, float(b)
 
 
