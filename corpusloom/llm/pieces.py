@@ -21,26 +21,30 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\udc81"  # how a space is written; how that sign itself is, in a text
 UNIT = 1 << 16
 NEVER = -(1 << 60)
-CACHED_WORDS = 200_000
+CACHED_WORDS = 250_000
 CHUNK = 1 << 15
 
 
 @dataclass
 class PieceTable:
-    """Pieces with integer scores; ``trie`` holds every beginning of a piece, -1 where none ends."""
+    """Pieces with integer scores. ``trie`` leads from character to character; where a piece ends,
+    its id stands under the empty string."""
 
-    trie: dict[str, int]
+    pieces: dict[str, int]
+    trie: dict
     scores: list[int]
     written: list[bytes]  # what each id stands for
     byte_ids: list[int]
     unknown: int
     longest: int
+    pairs: frozenset[str]  # neighbouring characters of pieces; between others no piece lies
     seen: dict[str, bytes] = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)
 
     def forward(self, text: str, entries: list[tuple[int, int]], limit: int):
         """Best scores of the positions of ``text`` reached by pieces that begin before ``limit``,
         and where the last piece begins: -2 at an entry, -1 if not reached."""
-        n, longest, get, scores = len(text), self.longest, self.trie.get, self.scores
+        n, longest, scores, unknown = len(text), self.longest, self.scores, self.unknown
         best, back = [NEVER] * (limit + longest), [-1] * (limit + longest)
         for position, score in entries:
             best[position], back[position] = score, -2
@@ -48,24 +52,27 @@ class PieceTable:
             here = best[i]
             if here == NEVER:
                 continue
-            alone = True
-            for j in range(i + 1, min(i + longest, n) + 1):
-                piece = get(text[i:j])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    if j == i + 1:
-                        alone = False
+            node = self.trie.get(text[i])
+            j = i + 1
+            if node is None or "" not in node:
+                # No piece is this character alone: it is written as bytes.
+                if here + unknown > best[j]:
+                    best[j], back[j] = here + unknown, i
+            while node is not None:
+                piece = node.get("")
+                if piece is not None:
                     score = here + scores[piece]
                     if score > best[j]:
                         best[j], back[j] = score, i
-            if alone and here + self.unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = here + self.unknown, i
+                if j == n:
+                    break
+                node = node.get(text[j])
+                j += 1
         return best, back
 
     def ids(self, piece: str) -> list[int]:
-        known = self.trie.get(piece, -1)
-        if known >= 0:
+        known = self.pieces.get(piece)
+        if known is not None:
             return [known]
         plain = SPACE if piece == LITERAL else piece
         return [self.byte_ids[b] for b in plain.encode("utf-8", "surrogatepass")]
@@ -80,9 +87,20 @@ class PieceTable:
         return pieces[::-1], visited[::-1]
 
     def encode_part(self, text: str) -> bytes:
-        """The ids of a part that no piece reaches out of."""
-        pieces, _ = self.chain(text, self.forward(text, [(0, 0)], len(text))[1], len(text))
-        return np.array([i for ids in pieces for i in ids], "<i4").tobytes()
+        """The ids of a part that no piece reaches out of, cut further where no piece can lie."""
+        pairs, known, begin, out = self.pairs, self.known, 0, []
+        for end in range(1, len(text) + 1):
+            if end == len(text) or text[end - 1 : end + 1] not in pairs:
+                part = text[begin:end]
+                ids = known.get(part)
+                if ids is None:
+                    if len(known) > CACHED_WORDS:
+                        known.clear()
+                    pieces, _ = self.chain(part, self.forward(part, [(0, 0)], len(part))[1], len(part))
+                    ids = known[part] = np.array([i for ids in pieces for i in ids], "<i4").tobytes()
+                out.append(ids)
+                begin = end
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; parts that recur are encoded once."""
@@ -100,7 +118,7 @@ class PieceTable:
         try:
             return np.frombuffer(b"".join([seen[p] for p in parts]), "<i4")
         except KeyError:
-            for part in set(parts) - seen.keys():
+            for part in {p for p in parts if p not in seen}:
                 seen[part] = self.encode_part(part)
         return np.frombuffer(b"".join([seen[p] for p in parts]), "<i4")
 
@@ -136,11 +154,12 @@ def load_pieces(path: str = MODEL, by_rank: bool = True) -> PieceTable:
     for r, i in enumerate(ranks):
         own = -np.log((r + 1) * mass) if by_rank else model.get_score(i)
         scores[i] = round(float(own) * UNIT)
-    trie: dict[str, int] = {}
+    trie: dict = {}
     for i in normal:
-        for end in range(1, len(names[i])):
-            trie.setdefault(names[i][:end], -1)
-        trie[names[i]] = i
+        node = trie
+        for c in names[i]:
+            node = node.setdefault(c, {})
+        node[""] = i
     if any(SPACE in name.lstrip(SPACE) for name in (names[i] for i in normal)):
         raise ValueError("pieces must not hold a space after another character")
     byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -148,12 +167,15 @@ def load_pieces(path: str = MODEL, by_rank: bool = True) -> PieceTable:
     for b, i in enumerate(byte_ids):
         shown[i] = bytes([b])
     least = min(scores[i] for i in normal)
-    return PieceTable(trie, scores, shown, byte_ids, least - 10 * UNIT, max(map(len, (names[i] for i in normal))))
+    own = {names[i]: i for i in normal}
+    longest = max(len(names[i]) for i in normal)
+    pairs = frozenset(a + b for name in own for a, b in zip(name, name[1:]))
+    return PieceTable(own, trie, scores, shown, byte_ids, least - 10 * UNIT, longest, pairs)
 
 
 def _cuts(table: PieceTable, text: str) -> np.ndarray:
-    """Positions that no piece crosses: before a space that follows another character."""
-    return np.array([m.start() + 1 for m in re.finditer(f"[^{SPACE}](?={SPACE})", text)], dtype=np.int64)
+    """Positions that no piece crosses: between characters that are neighbours in none."""
+    return np.array([i for i in range(1, len(text)) if text[i - 1 : i + 1] not in table.pairs], dtype=np.int64)
 
 
 def transfer(table: PieceTable, text: str, limit: int) -> np.ndarray:
@@ -317,7 +339,7 @@ def encode_long(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) -> DataF
 
 
 def encode_documents(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) -> DataFrame:
-    """The columns of ``docs`` with ``ids``, ``n_pieces`` and ``decoded``.
+    """The columns of ``docs`` but for ``text``, with ``ids``, ``n_pieces`` and ``decoded``.
 
     ``decoded`` is whether the ids, decoded, give back the text. Texts of more than ``chunk``
     characters are encoded in chunks, the others in one piece; the ids are those of the whole text
@@ -325,33 +347,41 @@ def encode_documents(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) ->
     are encoded alike; an empty table gives an empty result. Columns of these names that ``docs``
     has are replaced. Rows need a ``doc_id``, which may be null or repeated.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "n_pieces", "decoded")]
+    keep = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "decoded")]
     out = T.StructType([*docs.select(*keep).schema.fields, *_RESULT.fields])
-    text_at = keep.index("text")
 
     def whole(batches):
         # The table is one object for the task, so that its cache outlives a batch.
-        for batch in batches:
-            ids = [table.encode(t.as_py()) for t in batch.column(text_at)]
-            yield _with_ids(batch, ids, batch.column(text_at), table)
+        for part in _parts_of(batches):
+            texts = part.column(len(keep)).to_pylist()
+            yield _with_ids(part, len(keep), [table.encode(t) for t in texts], texts, table)
 
     length = F.coalesce(F.length("text"), F.lit(0))
-    rows = docs.select(*keep)
+    rows = docs.select(*keep, "text")
     short = rows.filter(length <= chunk).mapInArrow(whole, out)
-    long = rows.filter(length > chunk).withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "__tie": F.xxhash64("text")})
+    long = rows.filter(length > chunk).withColumns(
+        {"__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-1)), "__tie": F.xxhash64("text")}
+    )
     once = long.select(F.col("__id").alias("doc_id"), F.col("__tie").alias("tie"), "text").dropDuplicates(["doc_id", "tie"])
     found = write_scratch(encode_long(once, table, chunk), "long-ids")
 
     def rejoined(batches):
-        for batch in batches:
-            ids = [np.array(i.as_py(), "<i4") for i in batch.column(len(keep))]
-            yield _with_ids(batch.select(range(len(keep))), ids, batch.column(text_at), table)
+        for part in _parts_of(batches):
+            ids = [np.array(i, "<i4") for i in part.column(len(keep) + 1).to_pylist()]
+            yield _with_ids(part, len(keep), ids, part.column(len(keep)).to_pylist(), table)
 
     found = found.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("ids").alias("__ids"))
-    joined = long.join(found, ["__id", "__tie"]).select(*keep, "__ids")
+    joined = long.join(found, ["__id", "__tie"]).select(*keep, "text", "__ids")
     return short.unionByName(joined.mapInArrow(rejoined, out))
 
 
+def _parts_of(batches, rows: int = 256):
+    """Batches in short parts, so that few results are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 _RESULT = T.StructType(
     [
         T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
@@ -361,11 +391,12 @@ _RESULT = T.StructType(
 )
 
 
-def _with_ids(batch, ids, texts, table: PieceTable):
+def _with_ids(part, n_columns: int, ids, texts, table: PieceTable):
+    """The first columns of a part with the results for its texts."""
     lengths = np.array([len(i) for i in ids], dtype=np.int64)
     offsets = pa.array(np.concatenate([[0], lengths.cumsum()]), pa.int32())
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    listed = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32, copy=False)))
-    same = [table.decode(i.tolist()) == (t.as_py() or "") for i, t in zip(ids, texts)]
-    columns = [*batch.columns, listed, pa.array(lengths), pa.array(same, pa.bool_())]
-    return pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "ids", "n_pieces", "decoded"])
+    flat = np.concatenate(ids).astype(np.int32, copy=False) if ids else np.zeros(0, np.int32)
+    listed = pa.ListArray.from_arrays(offsets, pa.array(flat))
+    same = [table.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts)]
+    columns = [*part.columns[:n_columns], listed, pa.array(lengths), pa.array(same, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, [*part.schema.names[:n_columns], "ids", "n_pieces", "decoded"])
