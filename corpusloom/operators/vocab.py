@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import tokens as K
 from corpusloom.session import write_scratch
 
+# A document has some thousands of distinct terms on average, so this share bounds a vocabulary to some
+# millions of terms, whatever the corpus.
+SMALLEST_SHARE = 1e-4
+
 _ORDERS = {
     "cf": lambda: [F.desc("cf"), F.col("term")],
     "df": lambda: [F.desc("df"), F.col("term")],
@@ -58,8 +62,8 @@ def build_vocab(
     vocabulary from growing with the corpus, since only so many terms can each occur in a fixed
     share of the documents.
     """
-    if size is None and not min_df_frac:
-        raise ValueError("give size or a positive min_df_frac, else the vocabulary grows with the corpus")
+    if size is None and (min_df_frac or 0) < SMALLEST_SHARE:
+        raise ValueError(f"give size or a min_df_frac of at least {SMALLEST_SHARE}, else the vocabulary grows with the corpus")
     total = F.lit(n_docs) if n_docs is not None else doc_count(docs)
     stats = term_stats(docs, tokens)
     df = F.col("df")
@@ -73,8 +77,7 @@ def build_vocab(
         stats = stats.filter(df <= F.lit(float(max_df_frac)) * total)
     if size is not None:
         ranked = "df" if order == "df" else "cf"
-        if not min_df_frac:
-            stats = _near_the_top(stats, ranked, size)
+        stats = _near_the_top(stats, ranked, size)
         stats = stats.orderBy(*_ORDERS[ranked]()).limit(size)
     # At most a bounded number of rows is left, so one task may number them.
     number = F.row_number().over(W.orderBy(*_ORDERS[order]())) - 1
@@ -84,7 +87,7 @@ def build_vocab(
 def _near_the_top(stats: DataFrame, column: str, size: int) -> DataFrame:
     """Terms that can be among the ``size`` largest.
 
-    Without a lower bound there may be billions of rare terms, and taking the top of every
+    There may be billions of rare terms, and taking the top of every
     partition to one task would gather far more than ``size`` rows. The histogram of the ranking
     column is small and tells from which value on the top is complete. The statistics are written
     out first, so that the texts are read once for both steps.

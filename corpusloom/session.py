@@ -61,9 +61,13 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def lookup_size(lookup: DataFrame) -> tuple[int, int]:
-    """Rows and string bytes of a lookup table, from one aggregate row."""
-    strings = [f.name for f in lookup.schema.fields if isinstance(f.dataType, T.StringType)]
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(0))
+    """Rows and about the bytes of a lookup table, from one aggregate row.
+
+    Texts count as they are, arrays, maps and structs as they would be written, others as 8 bytes.
+    """
+    flat = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    texts = [F.col(f.name).cast("string") for f in lookup.schema.fields if not isinstance(f.dataType, flat)]
+    width = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(8 * (len(lookup.columns) - len(texts))))
     row = lookup.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
     return row["n"], row["b"] or 0
 

@@ -63,3 +63,11 @@ def test_cleaning_a_stream(spark, tmp_path):
     finally:
         query.stop()
     assert [(r["content_new"], r["words"]) for r in rows] == [("Some\nnews here", ["some", "news", "here"])]
+
+
+def test_lookup_size_counts_arrays(spark):
+    from corpusloom.session import lookup_size
+
+    df = spark.range(1).select("id", F.array_repeat(F.lit("xy"), 100_000).alias("a"))
+    rows, size = lookup_size(df)
+    assert rows == 1 and size > 200_000

@@ -84,7 +84,7 @@ def test_bounds_are_inclusive_and_counts_apply(docs, lists):
 
 
 def test_an_unbounded_vocabulary_is_refused(docs):
-    for bounds in ({"min_df_count": 1}, {"min_df_frac": 0.0}):
+    for bounds in ({"min_df_count": 1}, {"min_df_frac": 0.0}, {"min_df_frac": 1e-12}):
         with pytest.raises(ValueError):
             V.build_vocab(docs, **bounds)
 
