@@ -22,7 +22,7 @@ SPACE, LITERAL = "▁", "\udc81"  # how a space is written; how that sign itself
 UNIT = 1 << 16
 NEVER = -(1 << 60)
 CACHED_WORDS = 250_000
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 
 
 @dataclass
@@ -39,7 +39,7 @@ class PieceTable:
     longest: int
     pairs: frozenset[str]  # neighbouring characters of pieces; between others no piece lies
     seen: dict[str, bytes] = field(default_factory=dict)
-    known: dict[str, bytes] = field(default_factory=dict)
+    known: dict[str, tuple[bytes, int]] = field(default_factory=dict)
 
     def forward(self, text: str, entries: list[tuple[int, int]], limit: int):
         """Best scores of the positions of ``text`` reached by pieces that begin before ``limit``,
@@ -86,21 +86,29 @@ class PieceTable:
             visited.append(end)
         return pieces[::-1], visited[::-1]
 
-    def encode_part(self, text: str) -> bytes:
-        """The ids of a part that no piece reaches out of, cut further where no piece can lie."""
-        pairs, known, begin, out = self.pairs, self.known, 0, []
+    def part(self, text: str) -> tuple[bytes, int]:
+        """The ids and the score of a text that no piece reaches out of; kept for the next time."""
+        found = self.known.get(text)
+        if found is None:
+            if len(self.known) > CACHED_WORDS:
+                self.known.clear()
+            best, back = self.forward(text, [(0, 0)], len(text))
+            pieces, _ = self.chain(text, back, len(text))
+            ids = np.array([i for ids in pieces for i in ids], "<i4").tobytes()
+            found = self.known[text] = ids, best[len(text)]
+        return found
+
+    def parts(self, text: str) -> list[tuple[bytes, int]]:
+        """``part`` of the parts of a text, which is cut where no piece can lie."""
+        pairs, begin, out = self.pairs, 0, []
         for end in range(1, len(text) + 1):
             if end == len(text) or text[end - 1 : end + 1] not in pairs:
-                part = text[begin:end]
-                ids = known.get(part)
-                if ids is None:
-                    if len(known) > CACHED_WORDS:
-                        known.clear()
-                    pieces, _ = self.chain(part, self.forward(part, [(0, 0)], len(part))[1], len(part))
-                    ids = known[part] = np.array([i for ids in pieces for i in ids], "<i4").tobytes()
-                out.append(ids)
+                out.append(self.part(text[begin:end]))
                 begin = end
-        return b"".join(out)
+        return out
+
+    def encode_part(self, text: str) -> bytes:
+        return b"".join([ids for ids, _ in self.parts(text)])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; parts that recur are encoded once."""
@@ -185,12 +193,15 @@ def transfer(table: PieceTable, text: str, limit: int) -> np.ndarray:
     out = np.full((size, size), NEVER, dtype=np.int64)
     cuts = _cuts(table, text[: limit + 1])
     cuts = cuts[(cuts >= size - 1) & (cuts < limit)]
-    # All chains meet at a cut, so only what lies before it is walked from every begin.
-    meet = int(cuts[0]) if len(cuts) else limit
-    rest = None
+    # All chains meet at a cut: before the first one every begin is walked, after the last one the
+    # common end, and between them parts add up.
+    meet, rest = limit, None
     if len(cuts):
-        best, _ = table.forward(text[meet:], [(0, 0)], limit - meet)
-        rest = np.array(best[limit - meet : limit - meet + size], dtype=np.int64)
+        meet, last = int(cuts[0]), int(cuts[-1])
+        between = sum(score for _, score in table.parts(text[meet:last]))
+        best, _ = table.forward(text[last:], [(0, 0)], limit - last)
+        rest = np.array(best[limit - last : limit - last + size], dtype=np.int64)
+        rest = np.where(rest > NEVER, rest + between, NEVER)
     for i in range(size):
         if i >= limit:
             # The chunk is the last one and shorter than the piece that reaches into it.
@@ -244,6 +255,23 @@ def _chains(table: PieceTable, text: str, limit: int, entry: np.ndarray):
     the first chain's ids, then own ones."""
     size = table.longest
     entries = [(o, int(s)) for o, s in enumerate(entry) if s > NEVER]
+    cuts = _cuts(table, text[: limit + 1])
+    cuts = cuts[(cuts >= size - 1) & (cuts < limit)]
+    if len(cuts):
+        # All chains come to the first cut in the same way and leave the last one as they must.
+        meet, last = int(cuts[0]), int(cuts[-1])
+        head, visited = table.chain(text, table.forward(text, entries, meet)[1], meet)
+        common = [i for ids in head for i in ids]
+        middle = b"".join(ids for ids, _ in table.parts(text[meet:last]))
+        _, back = table.forward(text[last:], [(0, 0)], limit - last)
+        begins, length, tails = [], len(common) + len(middle) // 4, []
+        for state in range(size):
+            end = limit - last + state
+            reached = back[end] != -1
+            begins.append(visited[0] if reached else -1)
+            tail = table.chain(text[last:], back, end)[0] if reached else []
+            tails.append(np.array([i for ids in tail for i in ids], "<i4").tobytes())
+        return begins, [length] * size, tails, np.array(common, "<i4").tobytes() + middle
     _, back = table.forward(text, entries, limit)
     first, marks = None, {}
     froms, shared, tails = [], [], []
@@ -277,13 +305,14 @@ def _exits(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": frame["doc_id"], "tie": frame["tie"], "chunk": frame["chunk"], "state": states[::-1]})
 
 
-def encode_long(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) -> DataFrame:
+def encode_long(docs: DataFrame, shared, size: int, chunk: int = CHUNK) -> DataFrame:
     """``(doc_id, tie, ids)`` of long texts ``(doc_id, tie, text)``, one row each.
 
+    ``shared`` is the broadcast table, ``size`` the length of its longest piece.
+
     Every chunk is a row of its own. A text has at most 2^31 bytes in Spark, so its chunks' matrices
     and states, which are what meets in one task, are bounded by about 2^31 / ``chunk`` times 2 KB.
     """
-    size = table.longest
     if chunk < size:
         raise ValueError("a chunk must be longer than any piece")
 
@@ -300,11 +329,13 @@ def encode_long(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) -> DataF
                     )
 
     def matrices(frames):
+        table = shared.value
         for frame in frames:
             made = [transfer(table, p.decode("utf-8", "surrogatepass"), n).tobytes() for p, n in zip(frame["part"], frame["limit"])]
             yield frame[["doc_id", "tie", "chunk"]].assign(matrix=made)
 
     def chains(frames):
+        table = shared.value
         for frame in frames:
             made = [
                 _chains(table, p.decode("utf-8", "surrogatepass"), n, np.frombuffer(e, np.int64))
@@ -348,10 +379,12 @@ def encode_documents(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) ->
     has are replaced. Rows need a ``doc_id``, which may be null or repeated.
     """
     keep = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "decoded")]
+    # A few MB whatever the corpus. A worker keeps the object, and with it what it has encoded.
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     out = T.StructType([*docs.select(*keep).schema.fields, *_RESULT.fields])
 
     def whole(batches):
-        # The table is one object for the task, so that its cache outlives a batch.
+        table = shared.value
         for part in _parts_of(batches):
             texts = part.column(len(keep)).to_pylist()
             yield _with_ids(part, len(keep), [table.encode(t) for t in texts], texts, table)
@@ -363,9 +396,10 @@ def encode_documents(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) ->
         {"__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-1)), "__tie": F.xxhash64("text")}
     )
     once = long.select(F.col("__id").alias("doc_id"), F.col("__tie").alias("tie"), "text").dropDuplicates(["doc_id", "tie"])
-    found = write_scratch(encode_long(once, table, chunk), "long-ids")
+    found = write_scratch(encode_long(once, shared, table.longest, chunk), "long-ids")
 
     def rejoined(batches):
+        table = shared.value
         for part in _parts_of(batches):
             ids = [np.array(i, "<i4") for i in part.column(len(keep) + 1).to_pylist()]
             yield _with_ids(part, len(keep), ids, part.column(len(keep)).to_pylist(), table)
