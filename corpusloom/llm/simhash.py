@@ -184,6 +184,158 @@ def simhash_components(docs: DataFrame, radius: int = 3, width: int = 3) -> Data
     )
 
 
+BANDS, DRAWN = 24, 5  # fingerprints per text, shingles each is drawn from
+_ODD = np.random.default_rng(21).integers(0, 2**63, BANDS * DRAWN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_AT_ONCE = 1 << 12
+LIKELY, POSSIBLE = 0.0, -0.16  # of an estimate to the similarity asked for: at it, and four deviations below
+
+
+def shingle_hashes(text: str | None, width: int):
+    """Arrays of the XXH64 of a text's shingles, as ``fingerprint`` cuts them, repeats included."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    for i in range(0, n, _AT_ONCE):
+        part = range(i, min(n, i + _AT_ONCE))
+        yield np.fromiter((digest(b" ".join(words[j : j + width]), 42) for j in part), np.uint64, len(part))
+
+
+def jaccard(a: str | None, b: str | None, width: int = 5) -> float:
+    """The share of the distinct shingles of two texts that both have, counted by their hashes; 1
+    for two texts without a word."""
+    x, y = (np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t, width)])) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def sample_prints(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``BANDS`` fingerprints of a text, and two bytes of each shingle drawn for them.
+
+    Each fingerprint is the SimHash of ``DRAWN`` shingles: those that come first in as many random
+    orders of all shingles. Two texts draw the same shingle with the probability of their Jaccard
+    similarity J, so at least one fingerprint is equal with 1 - (1 - J^5)^24, 0.9999 at 0.8.
+    """
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for hashes in shingle_hashes(text, width):
+        for k in range(0, len(hashes), 256):  # a block that stays in the cache
+            np.minimum(least, (hashes[k : k + 256, None] * _ODD).min(axis=0), out=least)
+    drawn = (least >> np.uint64(16)).astype(np.uint16)
+    bits = np.unpackbits(least.view(np.uint8)).reshape(BANDS, DRAWN, 64)
+    prints = np.packbits(bits.sum(axis=1) * 2 > DRAWN, axis=1).view(np.int64).ravel()
+    return prints, drawn
+
+
+def _sampled(docs: DataFrame, width: int) -> DataFrame:
+    """``(text, node)`` of distinct texts with their fingerprints and drawn shingles."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [sample_prints(t.as_py(), width) for t in batch.column(1)]
+            prints = pa.array([p.tolist() for p, _ in rows], pa.list_(pa.int64()))
+            drawn = pa.array([d.tobytes() for _, d in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, drawn], ["node", "prints", "drawn"])
+
+    return docs.mapInArrow(run, "node bigint, prints array<bigint>, drawn binary")
+
+
+def _proposed(met: DataFrame, named: DataFrame, least: float, forest: bool) -> DataFrame:
+    """``(a, b)``: pairs of a bucket in different components whose drawn shingles are equal in a
+    share of ``least``: all of them, or with ``forest`` those that would join two sets.
+
+    Crowded buckets are dealt as in ``near_links``; those of a single component are left out.
+    """
+    rows = met.join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = (
+        rows.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .filter("low <> high")
+        .select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("parts"))
+    )
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("part"))
+    pairs = F.transform(others, lambda o: F.xxhash64("key", F.least(o, F.col("part")), F.greatest(o, F.col("part"))))
+    dealt = rows.join(sizes, "key").withColumn("part", part).select(
+        "node", "comp", "drawn", F.explode(F.when(F.col("parts") > 1, pairs).otherwise(F.array("key"))).alias("key")
+    )
+
+    def run(frames):
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            last = frame["key"].to_numpy() == frame["key"].iloc[-1]
+            rest, whole = frame[last], frame[~last]
+            for _, bucket in whole.groupby("key"):
+                yield from _alike(bucket, least, forest)
+        if rest is not None:
+            yield from _alike(rest, least, forest)
+
+    ordered = dealt.repartition("key").sortWithinPartitions("key", "node")
+    return ordered.mapInPandas(run, "a bigint, b bigint").distinct()
+
+
+def _alike(bucket: pd.DataFrame, least: float, forest: bool):
+    node = bucket["node"].to_numpy()
+    _, root = np.unique(bucket["comp"].to_numpy(), return_inverse=True)
+    drawn = np.frombuffer(b"".join(bucket["drawn"]), np.uint16).reshape(len(node), -1)
+    for i in range(len(node) - 1):
+        apart = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        near = apart[(drawn[apart] == drawn[i]).mean(axis=1) >= least]
+        if forest and len(near):
+            near = near[np.unique(root[near], return_index=True)[1]]
+            root[np.isin(root, root[near])] = root[i]
+        if len(near):
+            yield pd.DataFrame({"a": node[i], "b": node[near]})
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """``(a, b, near)``: whether the Jaccard similarity of each pair is ``least`` or more."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, left, right = batch.columns
+            near = [jaccard(x.as_py(), y.as_py(), width) >= least for x, y in zip(left, right)]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(run, "a bigint, b bigint, near boolean")
+
+
+def similar_components(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """``(doc_id, tie, root)`` for every row of ``docs(doc_id, text)``.
+
+    Rows are linked if the Jaccard similarity of their sets of ``width``-word shingles is ``least``
+    or more; ``root`` names the component. Candidates are texts with an equal fingerprint of
+    ``sample_prints``, every link is verified on the whole texts. Candidates that are likely links
+    are verified first, as a forest, then the possible ones, last all pairs that are still in
+    different components. Texts without a word are linked to each other. An empty table gives an
+    empty result.
+    """
+    rows = docs.select(
+        F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    rows = rows.withColumn("node", F.xxhash64("text"))
+    texts = rows.select("node", "text")
+    prints = write_scratch(_sampled(texts, width).dropDuplicates(["node"]), "sample-prints")
+    keys = F.transform("prints", lambda p, i: F.xxhash64(i, p))
+    keyed = prints.select("node", F.explode(keys).alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    met = write_scratch(keyed.join(crowded, "key").join(prints.select("node", "drawn"), "node"), "met")
+    involved = texts.dropDuplicates(["node"]).join(met.select("node").distinct(), "node", "left_semi")
+    involved = write_scratch(involved, "similar-texts")
+    named = met.select("node", F.col("node").alias("comp")).limit(0)
+    judged = None
+    for margin, forest in ((LIKELY, True), (POSSIBLE, True), (POSSIBLE, False)):
+        pairs = _proposed(met, named, least + margin, forest)
+        if judged is not None:
+            pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        found = write_scratch(_verified(write_scratch(pairs, "pairs"), involved, least, width), "judged")
+        judged = found if judged is None else judged.unionByName(found)
+        links = judged.filter("near").select("a", "b")
+        named = write_scratch(connected_components(links).withColumnRenamed("component", "comp"), "named")
+    return rows.join(named, "node", "left").select("doc_id", "tie", F.coalesce("comp", "node").alias("root"))
+
+
 def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """The rows of ``docs`` that stand for their group of near-duplicates, one each.
 
@@ -191,7 +343,15 @@ def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     the smaller hash of the text. A row without id stays only where no row of its group has one. Of
     rows equal in id and text one stays.
     """
-    found = simhash_components(docs, radius, width)
+    return _first_of_each(docs, simhash_components(docs, radius, width))
+
+
+def keep_one_similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """Like ``keep_one`` for the components of ``similar_components``."""
+    return _first_of_each(docs, similar_components(docs, least, width))
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     chosen = write_scratch(best.select(F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__tie")), "chosen")
