@@ -88,11 +88,10 @@ def s8_read_lemma_json(spark, sf_dir):
 
 
 def s8_read_lemma_object(spark, sf_dir):
-    """The whole dictionary as one JSON object, which is one task to write and to read."""
+    """The dictionary as JSON objects of a bounded size, one per line."""
     path = scratch_path(spark, "lemma-object")
-    entries = F.map_from_entries(F.collect_list(F.struct("form", "lemma")))
-    I.lemma_lookup(spark, sf_dir).agg(F.to_json(entries)).coalesce(1).write.text(path)
-    return S.read_lemma_json(spark, f"{path}/part-*").select("form", "lemma")
+    S.write_lemma_objects(I.lemma_lookup(spark, sf_dir), path)
+    return S.read_lemma_json(spark, path, json_lines=True).select("form", "lemma")
 
 
 def s9_write_lemma_dict(spark, sf_dir):

@@ -47,6 +47,17 @@ def read_lemma_json(spark: SparkSession, path: str, json_lines: bool = False) ->
     ).select("position", "form", "lemma")
 
 
+def write_lemma_objects(lookup: DataFrame, path: str, size: int = 10_000) -> None:
+    """Write ``(form, lemma)`` as JSON objects of about ``size`` entries, one per line.
+
+    Entries are dealt to objects by a hash of the form, so that no object grows with the table.
+    """
+    objects = lookup.count() // size + 1
+    number = F.pmod(F.xxhash64("form"), F.lit(objects))
+    entries = F.map_from_entries(F.collect_list(F.struct("form", "lemma")))
+    lookup.groupBy(number.alias("number")).agg(F.to_json(entries).alias("value")).select("value").write.text(path)
+
+
 def lemma_lines(inverted: DataFrame) -> DataFrame:
     """``lemma -> lemma form form …`` lines from an inverted lookup, as ``(lemma, line)``."""
     line = F.concat_ws(" ", F.col("lemma"), F.lit("->"), F.col("lemma"), F.array_join("forms", " "))

@@ -191,3 +191,19 @@ def test_dump_to_table(spark, tmp_path):
     assert sorted(rows) == [
         (datetime.date(2016, 6, 28), "d", "last, kept"), (datetime.date(2016, 6, 30), "some news", "Some text.")
     ]
+
+
+def test_lemma_objects_are_bounded(spark, tmp_path):
+    lookup = spark.range(500).selectExpr("concat('f', id) AS form", "concat('l', id % 7) AS lemma")
+    path = str(tmp_path / "objects")
+    S.write_lemma_objects(lookup, path, size=20)
+    sizes = [len(json.loads(r["value"])) for r in spark.read.text(path).collect()]
+    assert sum(sizes) == 500 and len(sizes) > 15 and max(sizes) < 60
+    got = S.read_lemma_json(spark, path, json_lines=True)
+    assert sorted(map(tuple, got.select("form", "lemma").collect())) == sorted(map(tuple, lookup.collect()))
+
+
+def test_one_lemma_object(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{"went": "go",\n "mice": "mouse"}')
+    got = S.read_lemma_json(spark, str(tmp_path / "one.json")).select("form", "lemma")
+    assert sorted(map(tuple, got.collect())) == [("mice", "mouse"), ("went", "go")]
