@@ -105,6 +105,7 @@ LOOKALIKES = (
 # --- End of fixed values. ---
 
 TOKEN = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+PLACED = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
 UNKNOWN = "unknown"
 
 
@@ -272,6 +273,84 @@ def paragraphs(text: str) -> Iterator[tuple[int, int, list[str]]]:
         start = end + 1
 
 
+def blocks(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Start, end and words of each run of lines that all have a word; a line of comment marks only
+    ends it, other comment marks are no words."""
+    start, end, held = 0, -2, []
+    for a, b, words in paragraphs(text):
+        if held and a != end + 1:
+            yield start, end, held
+            held = []
+        if not held:
+            start = a
+        held.extend(words)
+        end = b
+    if held:
+        yield start, end, held
+
+
+class _Windows:
+    """The windows of a block that hold enough of a template, each as long as what was found."""
+
+    def __init__(self, model: LicenseModel, similar: float):
+        self.similar, self.shingles = similar, model.shingles
+        self.of: dict[tuple[str, ...], list[int]] = {}
+        for t, (_, shingles) in enumerate(model.shingles):
+            for gram in shingles:
+                self.of.setdefault(gram, []).append(t)
+
+    def __call__(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """First and last word, exclusive. Of a template, matches that lie within one and a half
+        lengths are taken together, without overlap."""
+        places: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+        for n in (2, 3):
+            if not self.of.keys() & set(grams(words, n)):
+                continue
+            for i, gram in enumerate(grams(words, n)):
+                for t in self.of.get(gram, ()):
+                    places.setdefault(t, []).append((i, gram))
+        for t, found in places.items():
+            shingles = self.shingles[t][1]
+            reach, size, first = 1.5 * (len(shingles) + 2), len(next(iter(shingles))), 0
+            while first < len(found):
+                near = [(i, g) for i, g in found[first : first + int(reach) + 1] if i < found[first][0] + reach]
+                if len({g for _, g in near}) >= self.similar * len(shingles):
+                    yield near[0][0], near[-1][0] + size
+                    first += len(near)
+                else:
+                    first += 1
+
+
+def notices(model: LicenseModel, finder: _Finder, windows: _Windows, text: str, params: LicenseParams) -> list[tuple]:
+    """The notices of a text in its order: lines that are classified as one, and windows of blocks
+    of lines that are and hold enough of a template. Of windows that overlap the most similar one
+    counts; a window within a confirmed line of its family, and an unconfirmed line that touches a
+    window of its family, say the same and are left out."""
+    lines, more = [], []
+    for start, end, words in paragraphs(text):
+        hit = classify(model, finder, words, params)
+        if hit:
+            lines.append((hit[0], start, end, *hit[1:], hit[2] >= params.similar))
+    for start, end, words in blocks(text):
+        spans, placed = sorted(set(windows(words))), None
+        for a, b in spans:
+            hit = classify(model, finder, words[a:b], params)
+            if hit and hit[2] >= params.similar:
+                placed = placed or [m.span() for m in PLACED.finditer(text, start, end)]
+                if len(placed) == len(words):
+                    more.append((hit[0], placed[a][0], placed[b - 1][1], *hit[1:], True))
+                else:  # a letter whose lower case is another one
+                    more.append((hit[0], start, end, *hit[1:], True))
+    touch = lambda x, y: x[1] < y[2] and y[1] < x[2]
+    kept: list[tuple] = []
+    for w in sorted(more, key=lambda w: (-w[4], w[1], w[0])):
+        inside = any(n[5] and n[0] == w[0] and touch(n, w) for n in lines)
+        if not inside and not any(touch(w, k) for k in kept):
+            kept.append(w)
+    lines = [n for n in lines if n[5] or not any(n[0] == k[0] and touch(n, k) for k in kept)]
+    return sorted(lines + kept, key=lambda n: (n[1], n[2], n[0]))
+
+
 def classify(model: LicenseModel, finder: _Finder, words: list[str], params: LicenseParams):
     """Family, probability and similarity of a paragraph, or None if it is of the unknown class."""
     held = finder(words)
@@ -289,26 +368,17 @@ FOUND = "array<struct<family string, start int, end int, probability double, sim
 
 
 def find_licenses(docs: DataFrame, model: LicenseModel, params: LicenseParams = LicenseParams()) -> DataFrame:
-    """``docs`` with ``licenses``: the paragraphs (lines) of each text that are licence notices.
+    """``docs`` with ``licenses``: the lines and wrapped passages of each text that are licence notices.
 
     Entries are in order of the text, with positions in code points, ends exclusive. Whole texts
-    are read line by line. A null or empty text has none; repeated rows are treated alike. A column
+    are read, see ``notices``. A null or empty text has none; repeated rows are treated alike. A column
     ``licenses`` of ``docs`` is replaced.
     """
 
     @F.pandas_udf(FOUND)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = _Finder(model.features)
+        finder, windows = _Finder(model.features), _Windows(model, params.similar)
         for texts in batches:
-            out = []
-            for text in texts:
-                found = []
-                for start, end, words in paragraphs(text or ""):
-                    hit = classify(model, finder, words, params)
-                    if hit:
-                        family, p, like = hit
-                        found.append((family, start, end, p, like, like >= params.similar))
-                out.append(found)
-            yield pd.Series(out)
+            yield pd.Series([notices(model, finder, windows, text or "", params) for text in texts])
 
     return docs.withColumn("licenses", find(F.col("text")))

@@ -138,3 +138,24 @@ def test_license_awkward_rows(spark):
     assert shown[0] == shown[1] == shown[4] == [] and shown[2] == shown[3] == [("mit", 2, 34)]
     assert shown[5][0][0] == "mit"
     assert licenses.find_licenses(docs.limit(0), licenses.fit_licenses(docs.limit(0))).count() == 0
+
+
+def test_wrapped_notices_and_two_in_a_line(spark):
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer."""
+    isc = """# Permission to use, copy, modify, and/or distribute this software for any
+# purpose with or without fee is hereby granted, provided that the above
+# copyright notice and this permission notice appear in all copies."""
+    mit = """// Permission is hereby granted, free of charge, to any person obtaining a
+// copy of this software and associated documentation files (the "Software"),
+// to deal in the Software without restriction, including without limitation"""
+    two = "Licensed under the Apache License, Version 2.0 and a story of a garden. " + licenses.TEMPLATES["bsd"][3]
+    plain = "He was released from prison\nunder the terms of a licence\nand met the general public"
+    docs = spark.createDataFrame(list(enumerate([bsd, isc, mit, two, plain])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.find_licenses(docs, licenses.fit_licenses(docs)).collect()}
+    families = [sorted({n["family"] for n in got[i]["licenses"] if n["confirmed"]}) for i in range(5)]
+    assert families == [["bsd"], ["isc"], ["mit"], ["apache-2.0", "bsd"], []]
+    found = [n for n in got[0]["licenses"] if n["confirmed"]]
+    assert bsd[found[0]["start"] : found[0]["end"]].startswith("Redistribution and use")
