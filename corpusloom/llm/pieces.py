@@ -6,7 +6,7 @@ one with the longer last piece wins, from the end backwards.
 """
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
@@ -141,6 +141,21 @@ def written(text: str) -> str:
     return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
+def shared_table(spark, table: PieceTable):
+    """A broadcast of plain dicts and lists, a few MB whatever the corpus: a broadcast is pickled by
+    name, so an object would need this package on the executors."""
+    plain = {f.name: getattr(table, f.name) for f in fields(table) if f.name not in ("seen", "known")}
+    return spark.sparkContext.broadcast(plain)
+
+
+def _rebuilt(shared) -> PieceTable:
+    """The table of a broadcast; a worker keeps it, and with it what it has encoded."""
+    held = shared.value
+    if "" not in held:
+        held[""] = PieceTable(**held)
+    return held[""]
+
+
 def load_pieces(path: str = MODEL, by_rank: bool = True) -> PieceTable:
     """The pieces of a SentencePiece model with byte fallback.
 
@@ -329,13 +344,13 @@ def encode_long(docs: DataFrame, shared, size: int, chunk: int = CHUNK) -> DataF
                     )
 
     def matrices(frames):
-        table = shared.value
+        table = _rebuilt(shared)
         for frame in frames:
             made = [transfer(table, p.decode("utf-8", "surrogatepass"), n).tobytes() for p, n in zip(frame["part"], frame["limit"])]
             yield frame[["doc_id", "tie", "chunk"]].assign(matrix=made)
 
     def chains(frames):
-        table = shared.value
+        table = _rebuilt(shared)
         for frame in frames:
             made = [
                 _chains(table, p.decode("utf-8", "surrogatepass"), n, np.frombuffer(e, np.int64))
@@ -379,12 +394,11 @@ def encode_documents(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) ->
     has are replaced. Rows need a ``doc_id``, which may be null or repeated.
     """
     keep = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "decoded")]
-    # A few MB whatever the corpus. A worker keeps the object, and with it what it has encoded.
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = shared_table(docs.sparkSession, table)
     out = T.StructType([*docs.select(*keep).schema.fields, *_RESULT.fields])
 
     def whole(batches):
-        table = shared.value
+        table = _rebuilt(shared)
         for part in _parts_of(batches):
             texts = part.column(len(keep)).to_pylist()
             yield _with_ids(part, len(keep), [table.encode(t) for t in texts], texts, table)
@@ -399,7 +413,7 @@ def encode_documents(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) ->
     found = write_scratch(encode_long(once, shared, table.longest, chunk), "long-ids")
 
     def rejoined(batches):
-        table = shared.value
+        table = _rebuilt(shared)
         for part in _parts_of(batches):
             ids = [np.array(i, "<i4") for i in part.column(len(keep) + 1).to_pylist()]
             yield _with_ids(part, len(keep), ids, part.column(len(keep)).to_pylist(), table)
@@ -409,6 +423,44 @@ def encode_documents(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) ->
     return short.unionByName(joined.mapInArrow(rejoined, out))
 
 
+def decode_documents(encoded: DataFrame, table: PieceTable, chunk: int = CHUNK) -> DataFrame:
+    """The columns of ``encoded`` but for ``ids``, with the ``text`` that its piece ids stand for.
+
+    ``ids`` is an array of ints, as ``encode_documents`` returns or has stored them. Ids are turned
+    into bytes ``chunk`` at a time and read as UTF-8 once joined, so a cut may lie within a
+    character that is written as bytes. No ids, or null, give an empty text; an id that the table
+    does not have, or bytes that are no UTF-8, which no text is encoded to, give null. A column
+    ``text`` of ``encoded`` is replaced; repeated rows are decoded alike; an empty table gives an
+    empty result.
+    """
+    keep = [c for c in encoded.columns if c not in ("text", "ids")]
+    shared = shared_table(encoded.sparkSession, table)
+    out = T.StructType([*encoded.select(*keep).schema.fields, T.StructField("text", T.StringType())])
+
+    def run(batches):
+        table = _rebuilt(shared)
+        for part in _parts_of(batches):
+            lists = part.column(len(keep))
+            texts = [_text_of(table, lists[i].values, chunk) for i in range(len(lists))]
+            columns = [*part.columns[: len(keep)], pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, out.names)
+
+    return encoded.select(*keep, "ids").mapInArrow(run, out)
+
+
+def _text_of(table: PieceTable, ids: pa.Array | None, chunk: int) -> str | None:
+    known, parts = table.written, []
+    for at in range(0, len(ids) if ids is not None else 0, chunk):
+        part = ids.slice(at, chunk).to_pylist()
+        if any(i is None or not 0 <= i < len(known) for i in part):
+            return None
+        parts.append(b"".join([known[i] for i in part]))
+    try:
+        return b"".join(parts)[1:].decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
 def _parts_of(batches, rows: int = 256):
     """Batches in short parts, so that few results are held at once."""
     for batch in batches:

@@ -1,6 +1,9 @@
 """Piece chains against a plain dynamic program over the whole text, and exact round trips."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -77,3 +80,52 @@ def test_whole_query(spark, sf_dir, table):
     for r in got[:40]:
         if len(texts[r["doc_id"]]) < 3000:
             assert r["ids"] == brute(table, texts[r["doc_id"]])
+
+
+def test_stored_ids_decode_to_the_texts(spark, sf_dir, table, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-i - 1, t, None) for i, t in enumerate(SAMPLES)] + [(None, "日本語" * 40, "ja"), (-1, "", None), (-1, "", None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    pieces.encode_documents(docs, table).drop("decoded").write.parquet(f"{tmp_path}/ids")
+    stored = spark.read.parquet(f"{tmp_path}/ids")
+    back = pieces.decode_documents(stored, table, chunk=5)
+    assert back.columns == ["doc_id", "lang", "n_pieces", "text"]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"])
+    got = sorted((key(r) for r in back.collect()), key=str)
+    assert got == sorted((key(r) for r in docs.collect()), key=str)
+    assert pieces.decode_documents(stored.limit(0), table).count() == 0
+
+
+def test_ids_that_no_text_has(spark, table):
+    byte = table.byte_ids
+    rows = [(1, [10**6]), (2, [-1]), (3, [None]), (4, [table.pieces["▁the"], byte[0xFF]]), (5, None), (6, []),
+            (7, [table.pieces["▁the"], byte[0xC3], byte[0xA9]])]
+    encoded = spark.createDataFrame(rows, "doc_id bigint, ids array<int>")
+    got = {r["doc_id"]: r["text"] for r in pieces.decode_documents(encoded, table, chunk=2).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: None, 5: "", 6: "", 7: "theé"}
+
+
+def test_executors_need_not_have_the_package(sf_dir, tmp_path):
+    """In a process of its own, started elsewhere, only the driver's ``sys.path`` knows the package."""
+    root = str(Path(__file__).resolve().parents[2])
+    job = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry", {root + "/__spark_entry__.py"!r})
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+rows = entry.queries()["op3_sentencepiece"](spark, {sf_dir!r}).collect()
+assert rows and all(r["decoded"] for r in rows)
+"""
+    env = {"PATH": "/usr/bin:/bin", "HOME": str(tmp_path), "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", job], cwd=tmp_path, env=env | _java(), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def _java() -> dict[str, str]:
+    import os
+
+    return {k: v for k, v in os.environ.items() if k in ("JAVA_HOME", "PATH", "SPARK_LOCAL_IP")}
