@@ -277,26 +277,36 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame
     document taken whole keeps its text, one taken in part has its taken words in order, joined by
     spaces. One that is not taken has no row, one taken twice has two rows.
     """
-    keyed = docs.withColumns({"size": n_words(F.col("text")), "tie": F.xxhash64("text")})
+    # A row's own columns travel in one, so that none can clash with those worked out here.
+    keyed = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("source").alias("source"),
+        n_words(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("tie"),
+        F.struct(*docs.columns).alias("row"),
+        F.monotonically_increasing_id().alias("key"),
+    )
     keyed = write_scratch(keyed, "sizes")
-    plan = source_plan(keyed, params)
-    placed = write_scratch(place_documents(keyed, plan), "places")
+    sized = keyed.select("doc_id", "source", "size", "tie", "key")
+    plan = source_plan(sized, params)
+    placed = write_scratch(place_documents(sized, plan).select("key", "sid", "start", "size"), "places")
     slots = draw_slots(plan, params).select("sid", "turn", "block").hint("merge")
     runs = F.sort_array(F.collect_list(F.struct("first", "n")))
     taken = (
-        pieces(placed.select("sid", "start", "size"), params.block)
+        pieces(placed, params.block)
         .join(slots, ["sid", "block"])
-        .groupBy("sid", "start", "turn")
+        .groupBy("key", "turn")
         .agg(runs.alias("runs"), F.sum("n").alias("taken"))
         .hint("merge")
     )
     # Words are cut only where a part was taken; slices follow each other in the text.
-    all_words = words(F.col("text"))
+    all_words = words(F.col("row.text"))
     cut = F.array_join(
         F.flatten(F.transform("runs", lambda r: F.slice(all_words, (r["first"] + 1).cast("int"), r["n"].cast("int")))), " "
     )
-    text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(cut)
-    out = placed.filter("size > 0").join(taken, ["sid", "start"]).withColumn("text", text)
+    text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(cut)
+    out = keyed.filter("size > 0").join(taken, "key").withColumn("text", text)
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*((own[c] if c in own else F.col("row").getField(c)).alias(c) for c in docs.columns))

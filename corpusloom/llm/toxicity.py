@@ -212,19 +212,29 @@ def _descend(own, other, y, names, bias, params) -> tuple[dict[str, float], floa
     return {name: float(x) for name, x in zip(names, w) if x}, float(b)
 
 
+def toxicity_of(text: Column, model: ToxicityModel) -> Column:
+    """The score of a text, a double from 0 to 1; a null text counts as empty."""
+    weights, bias = model.weights, model.bias
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: score_words(weights, bias, text)).astype(float)
+
+    return score(text)
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with ``toxicity``, a double from 0 to 1, for every row.
 
     Whole texts are read; null and empty texts get the score of a text without known words. Equal
     texts have equal scores. A column ``toxicity`` of ``docs`` is replaced.
     """
-    weights, bias = model.weights, model.bias
+    return docs.withColumn("toxicity", toxicity_of(F.col("text"), model))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: score_words(weights, bias, text)).astype(float)
 
-    return docs.withColumn("toxicity", score(F.col("text")))
+def drop_toxic(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``least``, with all their columns, whatever their names."""
+    return docs.filter(toxicity_of(F.col("text"), model) < least)
 
 
 def train_part() -> Column:

@@ -2,6 +2,9 @@
 
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpusloom.llm import pieces
 
@@ -42,3 +45,29 @@ def test_awkward_documents(spark, tmp_path):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     assert os.path.isdir(tmp_path)
+
+
+INNER = (
+    "size tie part parts sid start taken offset runs key row s turn block first n n_words fp root component node "
+    "component_id best base cands seen half added vec toxicity score features text_a __base __id __tie"
+).split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_extra_columns_of_any_name_are_carried(spark, tmp_path, name):
+    """Columns named like those that a stage works out inside keep their values in every row."""
+    texts = [f"vile word number{chr(97 + i % 26)} a story{chr(97 + i % 7)} of {i} mail m{i}@mail.org" for i in range(40)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    docs = docs.select("*", *((F.col("doc_id") * 100 + k).alias(c) for k, c in enumerate(INNER)))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    left = {"text", "ids", "n_pieces", "decoded"} if name == "sentencepiece" else set()
+    assert [c for c in out.columns if c not in left] == [c for c in docs.columns if c not in left]
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        assert [r[c] for c in INNER] == [r["doc_id"] * 100 + k for k in range(len(INNER))]
