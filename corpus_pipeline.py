@@ -18,13 +18,13 @@ def drop_toxic(spark, docs, sf_dir):
         toxicity.ToxicityParams(),
     )
     model = toxicity.fit_toxicity(labelled)
-    return toxicity.score_toxicity(docs, model).filter("toxicity < 0.5").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays: sets of five-word shingles with a Jaccard
-    similarity of 0.8 or more, directly or through others."""
-    return simhash.keep_one_similar(docs)
+    """One document of each group stays whose fingerprints, of three-word shingles, differ in three
+    bits at most, directly or through others."""
+    return simhash.keep_one(docs)
 
 
 def redact(spark, docs, sf_dir):
