@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import covertree, langspans, licenses, mixture, pieces, pii, simhash, toxicity, urlrules, vafile
+from corpusloom.llm import (
+    collocations, covertree, decontaminate, langspans, licenses, mixture, pieces, pii, ranking, simhash, toxicity,
+    urlrules, vafile,
+)
 from corpusloom.llm.common import fold, table
 
 SITE_RULES = [
@@ -115,9 +118,34 @@ def op10_language(spark, sf_dir):
     )
 
 
+def op11_decontaminate(spark, sf_dir):
+    """Words of each document inside ten-word windows of the benchmark items, and the items hit."""
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.hit_words(F.col("spans"))
+    return leaks.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+        F.array_join("items", ",").alias("items"),
+    )
+
+
+def op12_ranked_search(spark, sf_dir):
+    """The ten documents that rank highest for each benchmark item."""
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark, sf_dir):
+    """The 2,000 best phrases of two and three words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_exact_search, op2_source_mix, op3_sentencepiece, op4_simhash_dedup, op5_toxicity, op6_licenses,
-    op7_pii, op8_vector_dedup, op9_url_filter, op10_language,
+    op7_pii, op8_vector_dedup, op9_url_filter, op10_language, op11_decontaminate, op12_ranked_search, op13_collocations,
 )}
 
 _SITE = {r.rule: r for r in SITE_RULES}
@@ -182,4 +210,84 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IN ({_BLOCKED}) OR word IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
   'word:' || word AS word_rule
 FROM worded""",
+    "op11_decontaminate": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+s AS (
+  SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p
+  FROM i WHERE item_id IS NOT NULL AND len(w) > 0),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(w[p : p + m - 1], ' ') AS g FROM s),
+places AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM windows)),
+grams AS (SELECT doc_id, m, p, array_to_string(w[p : p + m - 1], ' ') AS g FROM places),
+found AS (SELECT doc_id, item_id, m, p FROM grams JOIN windows USING (m, g)),
+hit AS (
+  SELECT doc_id, count(DISTINCT x) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + m)) AS x FROM found) GROUP BY doc_id),
+held AS (
+  SELECT doc_id, count(*) AS n_items, list_sort(list(item)) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+  coalesce(array_to_string(items, ','), '') AS items
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN held ON held.doc_id = d.doc_id""",
+    "op12_ranked_search": r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+n AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+m AS (SELECT doc_id, 25 + (75 * CAST(n AS BIGINT) * docs) // words AS m FROM n, c),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, c GROUP BY term, docs),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op13_collocations": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+  FROM w, range(1, 4) AS s(m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase),
+words AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+inner_ AS (
+  SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a AS longer FROM c WHERE m = 3),
+dropped AS (SELECT lang, phrase, max(longer) AS longer FROM inner_ GROUP BY lang, phrase),
+kept AS (
+  SELECT c.* FROM c LEFT JOIN dropped ON c.m = 2 AND dropped.lang = c.lang AND dropped.phrase = c.phrase
+  WHERE longer IS NULL OR 100 * longer < 50 * a),
+cut AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : m], ' ') AS rest
+  FROM kept, range(1, 3) AS s(k) WHERE k < m),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, x.f AS l, y.f AS r, k,
+    CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.first
+  JOIN f y ON y.lang = cut.lang AND y.phrase = cut.rest),
+weakest AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS weak FROM scored) WHERE weak = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM ranked JOIN words USING (lang) WHERE rank <= 2000""",
 }
