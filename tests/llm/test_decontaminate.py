@@ -35,12 +35,12 @@ def brute(docs, items, window=10, width=3, least=1.0):
                 if same >= max(1, ceil(least * s)):
                     hit |= set(range(p, p + len(g)))
                     held.add(item)
-        out.append((doc_id, len(w), hit, sorted(held)))
+        out.append((doc_id, len(w), sorted(hit), sorted(held)))
     return out
 
 
 def positions(spans):
-    return {x for b, e in zip(spans[::2], spans[1::2]) for x in range(b, e)}
+    return [x for b, e in zip(spans[::2], spans[1::2]) for x in range(b, e)]
 
 
 def compare(spark, docs, items, **params):
