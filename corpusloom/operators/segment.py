@@ -7,39 +7,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.session import fits_broadcast, lookup_size, write_scratch
+from corpusloom.sources.positions import running_count
 
-BLOCK_LINES = 100_000
 
-
-def segment_lines(
-    lines: DataFrame, keep_last: bool = True, block_lines: int = BLOCK_LINES
-) -> DataFrame:
+def segment_lines(lines: DataFrame, keep_last: bool = True, parts: int | None = None) -> DataFrame:
     """Articles from ``(file, line_no, line)`` as ``(file, article_no, url, content)``.
 
     A running count over a file would put the file into one task, and one file may hold a third
-    of all lines. Lines are therefore numbered within blocks of ``block_lines``; a summary with
-    one row per block carries the state from block to block. With ``keep_last=False`` the last
-    article of every file is left out.
+    of all lines. The lines are therefore dealt into ranges of file and number, whatever the numbers
+    are: sparse and huge ones make no more ranges than dense ones. Openings are counted within each
+    range as it is written; a summary with one row for each range and file carries the count on.
+    There are ``parts`` ranges, else as many as shuffles have partitions. Lines without file or
+    number are left out; lines of equal number are ordered by their text. With ``keep_last=False``
+    the last article of every file is left out.
     """
-    blocks = lines.select(
-        "file",
-        (F.col("line_no") - F.pmod("line_no", F.lit(block_lines))).alias("block"),
-        "line_no",
-        "line",
-        X.is_article_start("line").alias("opens"),
+    rows = lines.filter("file is not null and line_no is not null").select(
+        "file", "line_no", "line", F.coalesce(X.is_article_start("line"), F.lit(False)).alias("opens")
     )
-    summary = blocks.groupBy("file", "block").agg(F.count_if("opens").alias("opened"))
-    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    by = ("file", "line_no")
+    ranged = rows.repartitionByRange(*by) if parts is None else rows.repartitionByRange(parts, *by)
+    counted = ranged.sortWithinPartitions("file", "line_no", "line").withColumns(
+        {"part": F.spark_partition_id(), "within": running_count(F.col("file"), F.col("opens"))}
+    )
+    counted = write_scratch(counted, "ranged-lines")
+    summary = counted.groupBy("file", "part").agg(F.max("within").alias("opened"))
+    earlier = W.partitionBy("file").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     carried = summary.select(
         "file",
-        "block",
+        "part",
         F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("before"),
         F.sum("opened").over(W.partitionBy("file")).alias("articles"),
     )
-    within = W.partitionBy("file", "block").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    numbered = blocks.join(carried, ["file", "block"]).withColumn(
-        "article_no", F.col("before") + F.sum(F.col("opens").cast("bigint")).over(within)
-    )
+    carried = write_scratch(carried, "range-counts")
+    if fits_broadcast(*lookup_size(carried)):
+        carried = F.broadcast(carried)
+    numbered = counted.join(carried, ["file", "part"]).withColumn("article_no", F.col("before") + F.col("within"))
     # Number 0 is what precedes the first article.
     kept = numbered.filter("article_no > 0")
     if not keep_last:

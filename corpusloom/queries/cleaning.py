@@ -100,6 +100,17 @@ def s2_segment_files(spark, sf_dir):
     return D.segment_articles(spark, _dump(spark, sf_dir), keep_last=True).select("url", "content")
 
 
+def s2_files_without_last(spark, sf_dir):
+    """Leaving out the last article takes one from every file of the dump."""
+    path = _dump(spark, sf_dir)
+    count = lambda keep_last: D.segment_articles(spark, path, keep_last).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    whole, cut = count(True).withColumnRenamed("n", "articles"), count(False)
+    both = whole.join(cut, "file", "left")
+    return both.agg(
+        F.sum("articles").alias("articles"), F.every(F.col("articles") - F.coalesce("n", F.lit(0)) == 1).alias("one_less")
+    )
+
+
 def s2_segment_all_lines(spark, sf_dir):
     """The default, which keeps the last article of a file."""
     return segment_lines(_conversation_lines(spark, sf_dir)).select(
@@ -147,6 +158,13 @@ def s4_read_articles_headline(spark, sf_dir):
     )
 
 
+def s4_read_line_headlines(spark, sf_dir):
+    """One record per line, with the headline."""
+    return A.read_articles(spark, _tsv(spark, sf_dir, multi_line=False), keep_headline=True).select(
+        _day(), "headline", "content"
+    )
+
+
 def s5_write_articles(spark, sf_dir):
     path = scratch_path(spark, "articles")
     A.write_articles(_clean(spark, sf_dir), path)
@@ -253,8 +271,8 @@ def e1_article_table(spark, sf_dir):
 QUERIES = {
     q.__name__: q
     for q in (
-        s1_dump_preview, s1_dump_lines, s2_segment_files, s2_segment_lines, s2_segment_all_lines, s3_read_articles, s3_read_line_articles,
-        s4_read_articles_headline, s5_write_articles, p1_select_columns, p2_drop_column,
+        s1_dump_preview, s1_dump_lines, s2_segment_files, s2_files_without_last, s2_segment_lines, s2_segment_all_lines,
+        s3_read_articles, s3_read_line_articles, s4_read_articles_headline, s4_read_line_headlines, s5_write_articles, p1_select_columns, p2_drop_column,
         p3_rename_columns, p4_keep_english, p5_drop_empty, f1_url_date, f1_url_date_pages,
         f2_url_tail, f3_news_category, f4_headline, f5_remove_dateline, f6_detect_cjk,
         f7_blank_sign_up, f8_remove_underscores, f9_clean_articles, f10_strip, f11_join_lines,
@@ -296,6 +314,9 @@ FROM ranked WHERE article_no > 0 AND article_no < n GROUP BY file, article_no"""
     + r"SELECT date, regexp_replace(content_new, '\r\n|\r|\n', ' ', 'g') AS content FROM clean WHERE content_new <> ''",
     "s4_read_articles_headline": _ART_CLEAN
     + "SELECT date, headline, content_new AS content FROM clean WHERE content_new <> ''",
+    "s4_read_line_headlines": _ART_CLEAN
+    + r"SELECT date, headline, regexp_replace(content_new, '\r\n|\r|\n', ' ', 'g') AS content FROM clean WHERE content_new <> ''",
+    "s2_files_without_last": "SELECT count(*) AS articles, true AS one_less FROM documents",
     "s5_write_articles": _ART_CLEAN + "SELECT date, headline, content_new FROM clean WHERE content_new <> ''",
     "p1_select_columns": _ART + f"SELECT {_DAY} AS date, url, content FROM articles",
     "p2_drop_column": _ART + "SELECT doc_id, url FROM articles",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.quoted import quote_count, read_quoted
+
 ARTICLE_SCHEMA = T.StructType(
     [
         T.StructField("date", T.DateType(), True),
@@ -27,13 +29,35 @@ def read_articles(
 ) -> DataFrame:
     """``(date, content)`` or, on request, ``(date, headline, content)``.
 
-    A record is a line, as ``write_articles`` leaves it, and large files are split. With
-    ``multi_line`` line breaks may lie within quoted fields, and a file is read by one task.
+    A record is a line, as ``write_articles`` leaves it. With ``multi_line`` line breaks may lie
+    within quoted fields, which begin and end with their field. Large files are split either way.
     """
-    articles = spark.read.csv(path, schema=schema, multiLine=multi_line, dateFormat="yyyy-MM-dd", **TSV_OPTIONS)
+    if multi_line:
+        articles = _read_quoted_articles(spark, path, schema)
+    else:
+        articles = spark.read.csv(path, schema=schema, dateFormat="yyyy-MM-dd", **TSV_OPTIONS)
     return articles if keep_headline else articles.drop("headline")
 
 
+def _read_quoted_articles(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records with line breaks in quotes, which ``spark.read.csv`` reads a file a task."""
+    line = F.col("value")
+    odd = lambda field: quote_count(field) % 2 == 1
+    # Outside, only a quote that begins a field counts; inside, every one ends or begins a quotation.
+    step = lambda inside, field: F.when(inside, ~odd(field)).otherwise(F.startswith(field, F.lit('"')) & odd(field))
+    walk = lambda begin: F.aggregate(F.split(line, "\t"), F.lit(begin), step)
+    quotes = F.contains(line, F.lit('"'))
+    records = read_quoted(
+        spark, path, "\n",
+        outside=F.when(quotes, walk(False)).otherwise(F.lit(False)),
+        inside=F.when(quotes, walk(True)).otherwise(F.lit(True)),
+    )
+    record = F.regexp_replace("value", r"\r\z", "")
+    options = {"multiLine": "true", "dateFormat": "yyyy-MM-dd", **TSV_OPTIONS}
+    rows = records.select(record.alias("value")).filter("value != ''")
+    return rows.select(F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "), options).alias("r")).select("r.*")
+
+
 def write_articles(
     articles: DataFrame,
     path: str,
@@ -44,9 +68,9 @@ def write_articles(
 ) -> None:
     """Write the named columns as Parquet, or as tab-separated text with ``fmt="tsv"``.
 
-    In text a line break within a field becomes a space, so that files can be split. With
-    ``multi_line`` it is kept, and files are kept to ``rows_per_file`` rows, because readers take
-    one whole file per task.
+    In text a line break within a field becomes a space, so that every reader can split the files.
+    With ``multi_line`` it is kept, and files are kept to ``rows_per_file`` rows, because most
+    readers take one such file per task.
     """
     chosen = articles.select(*columns)
     if fmt == "tsv" and not multi_line:

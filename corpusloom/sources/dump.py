@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import config as C
 from corpusloom.functions import text as X
-from corpusloom.session import BROADCAST_ROWS
-from corpusloom.sources.positions import read_positioned
+from corpusloom.session import fits_broadcast
+from corpusloom.sources.positions import opens_file, read_positioned
 
 _LINE_BREAK = r"\r\n|\r|\n"
 
@@ -28,29 +28,21 @@ def preview(lines: DataFrame, n: int = 30) -> DataFrame:
 
 
 def segment_articles(spark: SparkSession, path: str, keep_last: bool = True) -> DataFrame:
-    """Articles of a dump as ``(file, url, content)``.
+    """Articles of a dump as ``(file, url, content)``, from one scan of the text.
 
     The record separator is the start of the next article, so that Hadoop's splitting of large
-    files yields whole articles and no line is shuffled. What precedes a file's first article is
-    left out. With ``keep_last=False`` so is the last article of every file, for dumps that may end
-    in the middle of one.
+    files yields whole articles and no line is shuffled. Only a file's first record can still carry
+    the prefix, or be a preamble, which is left out; the order of the scan tells which one it is.
+    With ``keep_last=False`` the last article of every file is left out too, for dumps that may end
+    in the middle of one; its position takes a second scan, as no split knows whether a later one
+    has a record.
     """
     records = read_positioned(spark, path, line_sep="\n" + C.ARTICLE_PREFIX)
-    # One row per file: only a file's first record can still carry the prefix or be a preamble.
-    edges = records.groupBy("file").agg(
-        F.min("position").alias("first"), F.max("position").alias("last")
-    )
-    # The driver has listed the files, so the number of rows is known without a job. Both scans
-    # belong to one query and thus number the records alike.
-    if len(records.inputFiles()) <= BROADCAST_ROWS:
-        edges = F.broadcast(edges)
-    marked = records.join(edges, "file")
-    is_first = F.col("position") == F.col("first")
-    opens = X.is_article_start("value")
-    kept = marked.filter(~is_first | opens)
+    marked = records.withColumn("is_first", opens_file(F.col("file"), F.col("position.split_start")))
     if not keep_last:
-        kept = kept.filter(F.col("position") < F.col("last"))
-    body = F.when(is_first, F.substr("value", F.lit(len(C.ARTICLE_PREFIX) + 1))).otherwise(
+        marked = _without_last(marked, records)
+    kept = marked.filter(~F.col("is_first") | X.is_article_start("value"))
+    body = F.when(F.col("is_first"), F.substr("value", F.lit(len(C.ARTICLE_PREFIX) + 1))).otherwise(
         F.col("value")
     )
     lines = F.split(body, _LINE_BREAK)
@@ -59,3 +51,14 @@ def segment_articles(spark: SparkSession, path: str, keep_last: bool = True) ->
         X.remove_article_prefix(F.element_at(lines, 1)).alias("url"),
         X.join_lines(F.slice(lines, F.lit(2), F.size(lines))).alias("content"),
     )
+
+
+def _without_last(marked: DataFrame, records: DataFrame) -> DataFrame:
+    """All records but the last one of each file. Both scans belong to one query and thus number the
+    records alike."""
+    edges = records.groupBy("file").agg(F.max("position").alias("last"))
+    # The driver has listed the files, so rows and bytes are known without a job.
+    files = records.inputFiles()
+    if fits_broadcast(len(files), sum(len(f.encode()) + 16 for f in files)):
+        edges = F.broadcast(edges)
+    return marked.join(edges, "file").filter(F.col("position") < F.col("last"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.sources.positions import read_positioned
+from corpusloom.sources.quoted import quote_count, read_quoted
 
 
 def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
@@ -25,15 +26,10 @@ def write_stopwords(words: DataFrame, path: str) -> None:
 def read_lemma_json(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """A form-to-lemma lookup as ``(position, form, lemma)``; the last entry of a form wins.
 
-    The file is one JSON object, or one object per line with ``json_lines``, which can be split
-    and suits dictionaries of any size.
+    The file is one JSON object of texts, or one object per line with ``json_lines``. A large file
+    is read by many tasks either way: an object is cut at its commas, those within texts apart.
     """
-    if json_lines:
-        records = read_positioned(spark, path)
-    else:
-        records = spark.read.text(path, wholetext=True).select(
-            F.col("_metadata.file_path").alias("file"), F.lit(0).alias("position"), "value"
-        )
+    records = read_positioned(spark, path) if json_lines else _object_entries(spark, path)
     entries = records.select(
         "file",
         "position",
@@ -47,6 +43,15 @@ def read_lemma_json(spark: SparkSession, path: str, json_lines: bool = False) ->
     ).select("position", "form", "lemma")
 
 
+def _object_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of one JSON object a file, each as an object of its own ``(file, position, value)``."""
+    # Escapes occur within texts only, and no comma is escaped.
+    odd = quote_count(F.regexp_replace("value", r"(?s)\\.", "")) % 2 == 1
+    entries = read_quoted(spark, path, ",", outside=odd, inside=~odd)
+    bare = F.regexp_replace("value", r"\A\s*\{|\}\s*\z", "")
+    return entries.select("file", F.col("number").alias("position"), F.concat(F.lit("{"), bare, F.lit("}")).alias("value"))
+
+
 def write_lemma_objects(lookup: DataFrame, path: str, size: int = 10_000) -> None:
     """Write ``(form, lemma)`` as JSON objects of about ``size`` entries, one per line.
 

@@ -1,17 +1,20 @@
-import re
 import datetime
 import json
 import random
+import re
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import segment
 from corpusloom.operators import wordlists as L
 from corpusloom.operators.segment import segment_lines
 from corpusloom.plans.articles import build_articles
 from corpusloom.sources import articles as A
 from corpusloom.sources import dump as D
 from corpusloom.sources import wordlists as S
+from corpusloom.sources.positions import read_positioned, running_count
 
 
 def expected_articles(lines, keep_last=False):
@@ -62,20 +65,82 @@ def test_segment_articles_of_tiny_files(spark, tmp_path, text):
     assert D.segment_articles(spark, str(tmp_path)).count() == ("URL" in text)
 
 
-@pytest.mark.parametrize("block_lines", [1, 3, 50, 100_000])
+@pytest.mark.parametrize("parts", [1, 7, 60, None])
 @pytest.mark.parametrize("keep_last", [False, True])
-def test_segment_lines(spark, block_lines, keep_last):
+def test_segment_lines(spark, parts, keep_last):
     rows, expected = [], []
     for file in range(4):
         lines = random_lines(file, preamble=file % 2 == 0)
-        rows += [(file, number, line) for number, line in enumerate(lines)]
+        # Dense numbers, sparse ones, negative ones, and huge ones.
+        number_of = [lambda n: n, lambda n: n**3, lambda n: n * 1000 - 50_000, lambda n: (n // 3) * (1 << 40) + n % 3][file]
+        rows += [(file, number_of(number), line) for number, line in enumerate(lines)]
         for number, (url, content) in enumerate(expected_articles(lines, keep_last), 1):
             expected.append((file, number, url, content))
+    rows += [(None, 1, "URL: http://no/file"), (9, None, "URL: http://no/number"), (1, -1, None)]
     table = spark.createDataFrame(rows, "file long, line_no long, line string").repartition(5)
-    found = segment_lines(table, keep_last, block_lines).collect()
+    found = segment_lines(table, keep_last, parts).collect()
     assert sorted((r["file"], r["article_no"], r["url"], r["content"]) for r in found) == sorted(expected)
 
 
+def test_a_hot_file_of_sparse_numbers_is_spread(spark, monkeypatch):
+    """The summary has a row for each range and file, whatever the numbers; no range is large."""
+    kept = {}
+    write = segment.write_scratch
+    monkeypatch.setattr(segment, "write_scratch", lambda df, name: kept.setdefault(name, write(df, name)))
+    line = F.when(F.col("id") % 9 == 0, F.concat(F.lit("URL: u"), "id")).otherwise(F.lit("text"))
+    table = spark.range(20_000).select(
+        F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 50).alias("file"), F.shiftleft("id", 32).alias("line_no"), line.alias("line")
+    )
+    found = segment.segment_lines(table, parts=16)
+    assert found.count() == sum(1 for i in range(0, 20_000, 9))
+    assert kept["range-counts"].count() <= 16 + 50
+    sizes = [r["count"] for r in kept["ranged-lines"].groupBy("part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * 20_000 / 16
+
+
+def test_running_counts_cross_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(0, 500, numPartitions=3).select("id", (F.col("id") % 10 == 0).alias("flag"), F.expr("id div 60").alias("key"))
+        walked = rows.withColumn("n", running_count(F.col("key"), F.col("flag"))).withColumn("part", F.spark_partition_id())
+        seen = {}
+        for r in walked.orderBy("id").collect():
+            seen[r["part"], r["key"]] = seen.get((r["part"], r["key"]), 0) + r["flag"]
+            assert r["n"] == seen[r["part"], r["key"]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@contextmanager
+def small_splits(spark, size, batch=10_000):
+    """Splits of ``size`` bytes, several of them a task, and small batches of rows."""
+    conf = {
+        "spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch),
+    }
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("size", [97, 300, 100_000])
+def test_first_records_of_packed_files(spark, tmp_path, size):
+    """Many files share a task, and a record may look like an article that opens a file."""
+    expected = []
+    for number in range(40):
+        lines = [[], ["preamble"], ["", "URL: x", "body"]][number % 3] + [f"URL: URL: http://x/{number}", "URL:", " text ", "URL: end"]
+        data = "\n".join(lines).encode()
+        (tmp_path / f"d{number:02d}.txt").write_bytes(b"\xef\xbb\xbf" * (number % 2) + data)
+        expected += expected_articles(lines, keep_last=True)
+    with small_splits(spark, size, batch=3):
+        found = [(r["url"], r["content"]) for r in D.segment_articles(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(expected)
+
+
 def test_preview(spark, tmp_path):
     (tmp_path / "a.txt").write_text("".join(f" line {i} \n" for i in range(100)))
     (tmp_path / "b.txt").write_text("last\n")
@@ -108,6 +173,53 @@ def test_reads_doubled_quotes_of_other_writers(spark, tmp_path):
     assert rows[1]["content"] == 'a "b"\tc\nd' and rows[0]["headline"] == "h2"
 
 
+FIELDS = ["", "a", "plain words", 'say "so"', '"', '""', "two\nlines", "\n", 'mix "\t\n" of, all', "\r\nx", "é\n\n日本", "tab\there", '"\n"']
+
+
+@pytest.mark.parametrize("seed, size, batch", [(1, 300, 10_000), (2, 900, 2), (3, 10**6, 10_000)])
+def test_quoted_line_breaks_by_many_tasks(spark, tmp_path, seed, size, batch):
+    """Equal to the reader that takes a file a task, for random fields, splits and batches."""
+    rng = random.Random(seed)
+    draw = lambda: rng.choice([None, datetime.date(2016, 1, rng.randint(1, 28))])
+    rows = [(draw(), *(rng.choice([None, *FIELDS, "w" * rng.randrange(90), "long\n" * rng.randrange(40)]) for _ in range(2))) for _ in range(120)]
+    df = spark.createDataFrame(rows, A.ARTICLE_SCHEMA).coalesce(2)
+    path = str(tmp_path / "tsv")
+    A.write_articles(df, path, ("date", "headline", "content"), fmt="tsv", multi_line=True)
+    whole = spark.read.csv(path, schema=A.ARTICLE_SCHEMA, multiLine=True, dateFormat="yyyy-MM-dd", **A.TSV_OPTIONS).collect()
+    with small_splits(spark, size, batch):
+        back = A.read_articles(spark, path, keep_headline=True, multi_line=True)
+        scans = read_positioned(spark, path, "\n").rdd.getNumPartitions()
+        found = back.collect()
+    assert scans > 4 or size > 1000
+    assert sorted(map(repr, found)) == sorted(map(repr, whole))
+
+
+def test_bare_quotes_of_other_writers(spark, tmp_path):
+    """A quote inside an unquoted field opens nothing; CRLF ends records; blank lines are none."""
+    text = '2016-06-30\t5" disk\tx "y" z\r\n\r\n2016-06-29\t"a ""b""\r\nc"\t"q"\r\n2016-06-28\t\t"\n"\r\n'
+    (tmp_path / "x.tsv").write_bytes(text.encode())
+    for size in (7, 1000):
+        with small_splits(spark, size):
+            rows = A.read_articles(spark, str(tmp_path), keep_headline=True, multi_line=True).collect()
+        found = {str(r["date"]): (r["headline"], r["content"]) for r in rows}
+        assert len(rows) == 3
+        assert found["2016-06-30"] == ('5" disk', 'x "y" z')
+        assert found["2016-06-29"][0].replace("\r", "") == 'a "b"\nc' and found["2016-06-29"][1] == "q"
+        assert found["2016-06-28"] == (None, "\n")
+
+
+def test_changed_splits_raise(spark, tmp_path):
+    (tmp_path / "x.tsv").write_text("2016-06-30\ta\tb\n" * 50)
+    with small_splits(spark, 100):
+        rows = A.read_articles(spark, str(tmp_path), multi_line=True)
+    with small_splits(spark, 130):
+        with pytest.raises(Exception, match="splits"):
+            rows = A.read_articles(spark, str(tmp_path), multi_line=True)
+            (tmp_path / "x.tsv").write_text("2016-06-30\ta\tb\n" * 500)
+            spark.catalog.refreshByPath(str(tmp_path))
+            rows.select("content").count()
+
+
 def test_lines_are_split_over_tasks(spark, tmp_path):
     df = spark.createDataFrame(HARD, A.ARTICLE_SCHEMA)
     path = str(tmp_path / "tsv")
@@ -203,6 +315,30 @@ def test_lemma_objects_are_bounded(spark, tmp_path):
     assert sorted(map(tuple, got.select("form", "lemma").collect())) == sorted(map(tuple, lookup.collect()))
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_one_lemma_object_by_many_tasks(spark, tmp_path, indent):
+    rng = random.Random(indent or 0)
+    part = lambda: "".join(rng.choice(['a', 'b', '"', ",", "\\", "}", "{", " ", "é", "\n", ":"]) for _ in range(rng.randrange(6)))
+    entries = {f"{part()}{i}": f"{part()}l{i % 9}" for i in range(700)}
+    text = json.dumps(entries, indent=indent, ensure_ascii=False)
+    # The last entry of a form wins, also where another task reads it.
+    text = text[:-1].rstrip() + ', "same": "first", ' + ", ".join(f'"pad{i}": "x"' for i in range(50)) + ', "same": "last"}\n'
+    (tmp_path / "one.json").write_text(text)
+    want = json.loads(text)
+    for size, batch in ((150, 3), (4000, 10_000), (10**7, 10_000)):
+        with small_splits(spark, size, batch):
+            got = S.read_lemma_json(spark, str(tmp_path)).collect()
+        assert {r["form"]: r["lemma"] for r in got} == want
+    ordered = [r["form"] for r in sorted(got, key=lambda r: r["position"]) if r["form"] != "same"]
+    assert ordered == [f for f in want if f != "same"]
+
+
+@pytest.mark.parametrize("text", ["{}", " { } \n", ""])
+def test_empty_lemma_objects(spark, tmp_path, text):
+    (tmp_path / "one.json").write_text(text)
+    assert S.read_lemma_json(spark, str(tmp_path)).count() == 0
+
+
 def test_one_lemma_object(spark, tmp_path):
     (tmp_path / "one.json").write_text('{"went": "go",\n "mice": "mouse"}')
     got = S.read_lemma_json(spark, str(tmp_path / "one.json")).select("form", "lemma")
