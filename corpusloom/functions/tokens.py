@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,40 @@ class InlineLookup:
         return F.get(table, F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))[key]
 
 
+class FormFilter:
+    """A Bloom filter over the keys of a table, written into the expression as an array of longs.
+
+    It has 16 bits a key, ``MAX_BITS`` (2 MB) at most: beyond 131,072 keys a growing share of other keys
+    passes, up to all of them. Nothing is ever missed, so a test may only save work.
+    """
+
+    MAX_BITS = 1 << 24
+
+    def __init__(self, lookup: DataFrame, key: str, rows: int):
+        self.bits = min(self.MAX_BITS, 1 << max(6, (16 * rows - 1).bit_length()))
+        self.probes = max(1, min(4, round(0.7 * self.bits / max(1, rows))))
+        held = lookup.select(F.explode(F.array(*self._places(F.col(key)))).alias("at"))
+        words = held.groupBy(F.shiftright("at", 6).alias("i")).agg(
+            F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("b")
+        )
+        array = [0] * (self.bits // 64)
+        for row in words.collect():  # one row for each long of the array at most
+            array[row["i"]] = row["b"]
+        self._literal = json.dumps(array)
+
+    def _places(self, key: Column) -> list[Column]:
+        hashed = F.xxhash64(key)
+        low, step = hashed.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hashed, 32).bitwiseOR(F.lit(1))
+        return [(low + step * j).bitwiseAND(F.lit(self.bits - 1)) for j in range(self.probes)]
+
+    def may_hold(self, key: Column) -> Column:
+        """False only for keys that the table does not have; null for null."""
+        array = F.from_json(F.lit(self._literal), "array<bigint>")
+        bit = lambda at: F.getbit(F.get(array, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        tests = [bit(at) for at in self._places(key)]
+        return F.when(key.isNotNull(), reduce(lambda a, b: a & b, tests))
+
+
 def count_terms(tokens: ColumnOrName) -> Column:
     """Distinct tokens with their counts: ``array<struct<term, tf>>``, NULL for no tokens.
 

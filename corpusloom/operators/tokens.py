@@ -41,14 +41,14 @@ def remove_stopwords(
     """Drop stopwords whatever their case; a null word stands for nothing.
 
     A list of usual size is tested inside each row. Only a word table beyond ``INLINE_WORDS``, or
-    any with ``strategy="join"``, is joined to exploded tokens, which costs a shuffle of the tokens
-    by document. Both give the same rows.
+    any with ``strategy="join"``, is joined to the tokens that may be in it. Both give the same rows.
     """
     if isinstance(words, DataFrame):
         listed = words.filter("word is not null").select(F.lower("word").alias("word")).distinct()
         head = [] if strategy == "join" else listed.limit(INLINE_WORDS + 1).collect()
         if strategy == "join" or len(head) > INLINE_WORDS:
-            return J.rewrite_tokens(docs, lambda rows: J.drop_words(rows, listed), tokens, out, key)
+            gone = listed.select(F.col("word").alias("form"), F.lit(None).cast("string").alias("lemma"))
+            return J.rewrite_tokens(docs, gone, tokens, out, key, lower=True)
         words = [row["word"] for row in head]
     return docs.withColumn(out, K.without_words(tokens, words))
 
@@ -85,13 +85,13 @@ def lemmatize(
 
     Entries without a form or lemma are left out, and of several lemmas of a form the smallest is
     taken. A dictionary within the inline limits is looked up inside each row. A larger one, or any
-    with ``strategy="join"``, is joined to exploded tokens, which costs a shuffle of the tokens by
-    word and one by document. Both give the same rows.
+    with ``strategy="join"``, is joined to the tokens that may be in it, by a shuffle of those by word
+    and one of the rows. Both give the same rows.
     """
     lemmas = write_scratch(J.one_lemma(lemmas), "lemma-table")
     rows, size = lookup_size(lemmas)
     if strategy == "join" or not fits_inline(rows, size):
-        return J.rewrite_tokens(docs, lambda rows: J.map_lemmas(rows, lemmas), tokens, out, key)
+        return J.rewrite_tokens(docs, lemmas, tokens, out, key)
     table = K.InlineLookup(lemmas, "form", "lemma", rows)
     return docs.withColumn(
         out, F.transform(tokens, lambda token: F.coalesce(table.get(token), token))

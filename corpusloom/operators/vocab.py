@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import tokens as K
-from corpusloom.session import write_scratch
+from corpusloom.operators.lookups import lookup_join
+from corpusloom.session import fits_inline, lookup_size, write_scratch
 
 # A document has some thousands of distinct terms on average, so this share bounds a vocabulary to some
 # millions of terms, whatever the corpus.
@@ -107,14 +110,9 @@ def _near_the_top(stats: DataFrame, column: str, size: int) -> DataFrame:
 def bag_of_words(
     docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "doc_id"
 ) -> DataFrame:
-    """``(key, term_id, tf)``; terms outside the vocabulary are left out.
-
-    The vocabulary is bounded by construction and is broadcast.
-    """
+    """``(key, term_id, tf)``; terms outside the vocabulary are left out."""
     counts = term_counts(docs, tokens, key)
-    return counts.join(F.broadcast(vocab.select("term", "term_id")), "term").select(
-        key, "term_id", "tf"
-    )
+    return lookup_join(counts, vocab.select("term", "term_id"), "term", "inner").select(key, "term_id", "tf")
 
 
 def tf_idf(counts: DataFrame, vocab: DataFrame, n_docs: int | Column) -> DataFrame:
@@ -122,9 +120,7 @@ def tf_idf(counts: DataFrame, vocab: DataFrame, n_docs: int | Column) -> DataFra
     total = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
     idf = F.ln((total + 1) / (F.col("df") + 1))
     weights = vocab.select("term_id", idf.alias("idf"))
-    return counts.join(F.broadcast(weights), "term_id").withColumn(
-        "tf_idf", F.col("tf") * F.col("idf")
-    )
+    return lookup_join(counts, weights, "term_id", "inner").withColumn("tf_idf", F.col("tf") * F.col("idf"))
 
 
 def terms_in_order(vocab: DataFrame) -> list[str]:
@@ -138,7 +134,37 @@ def vectorizer(terms: list[str], tokens: str = "tokens", out: str = "features")
 
 
 def vectorize(
-    docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "features"
+    docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "features", key: str = "doc_id"
 ) -> DataFrame:
-    """Add sparse term counts as a Spark ML vector, indexed by ``term_id``."""
-    return vectorizer(terms_in_order(vocab), tokens, out).transform(docs)
+    """Add sparse term counts as a Spark ML vector, indexed by ``term_id`` from 0 on.
+
+    A vocabulary within the inline limits becomes a Spark ML model. A larger one never reaches the
+    driver: the counts are joined with it and each row's vector is put together from its term ids.
+    Both give the same vectors; a row without known terms, or with null tokens, has an empty one.
+    """
+    rows, size = lookup_size(vocab.select("term_id", "term"))
+    if fits_inline(rows, size):
+        return vectorizer(terms_in_order(vocab), tokens, out).transform(docs)
+    return assemble_vectors(docs, vocab, rows, tokens, out, key)
+
+
+def assemble_vectors(docs: DataFrame, vocab: DataFrame, size: int, tokens: str, out: str, key: str) -> DataFrame:
+    """``vectorize`` by joining; ``size`` is the number of terms.
+
+    Rows are told apart by key and tokens, as equal ones have equal vectors.
+    """
+    marked = docs.withColumn("__row", F.struct(F.col(key), F.xxhash64(tokens)))
+    once = marked.select("__row", F.col(tokens).alias("__tokens")).dropDuplicates(["__row"])
+    cells = bag_of_words(once, vocab, "__tokens", "__row")
+    lists = cells.groupBy(F.col("__row").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("term_id", "tf"))).alias("__cells"))
+    joined = marked.join(lists, F.col("__row").eqNullSafe(F.col("__key")), "left")
+    held = F.coalesce("__cells", F.array().cast("array<struct<term_id:int,tf:bigint>>"))
+    parts = F.struct(
+        F.lit(0).alias("type"),
+        F.lit(size).alias("size"),
+        F.transform(held, lambda c: c["term_id"]).alias("indices"),
+        F.transform(held, lambda c: c["tf"].cast("double")).alias("values"),
+    )
+    # The parser builds a vector from its written parts; there is no cast that does.
+    vector = F.from_json(F.to_json(F.struct(parts.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))
+    return joined.withColumn(out, vector["v"]).drop("__row", "__key", "__cells")

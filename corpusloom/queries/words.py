@@ -226,9 +226,10 @@ def l7_sorted_words(spark, sf_dir):
 
 
 def l8_word_class_counts(spark, sf_dir):
-    # Counted per word before the classes come in; a word may be in several classes.
-    counts = _exploded_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
+    # Only words of a class are counted, once; a word may be in several classes.
     classes = L.word_classes(spark)
+    listed = F.broadcast(classes.select("word").distinct())
+    counts = _exploded_words(spark, sf_dir).join(listed, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
     found = classes.join(counts, "word", "left")
     return found.groupBy("class").agg(
         F.count(F.lit(1)).alias("words"),

@@ -93,12 +93,65 @@ def test_lemmatize_by_join(words, lemmas, monkeypatch):
     assert column(T.lemmatize(words, lemmas), "tokens") == EXPECTED
 
 
-def test_lemmatize_by_salted_join(words, lemmas, monkeypatch):
+def test_lemmatize_by_shuffled_join(words, lemmas, monkeypatch):
     monkeypatch.setattr(T, "fits_inline", lambda rows, size: False)
     monkeypatch.setattr(J, "fits_broadcast", lambda rows, size: False)
     assert column(T.lemmatize(words, lemmas), "tokens") == EXPECTED
 
 
+def hot_docs(spark, n=400):
+    """Documents in which one word is a third of all tokens and thousands occur once."""
+    rows = [(i, ["hot", f"rare{i}", "none", "hot" if i % 2 else f"more{i}", "HOT", None]) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+
+
+def test_the_sketch_names_frequent_words_only(spark):
+    tokens = J.explode_tokens(hot_docs(spark))
+    heavy = J.heavy_values(tokens, "token")
+    assert {"hot", "none", "HOT"} <= set(heavy) and len(heavy) <= J.HEAVY
+    assert J.heavy_values(tokens.limit(0), "token") == []
+    numbers = spark.range(5000).select((F.col("id") % 1250 * (F.col("id") % 2)).alias("id"))
+    assert 0 in J.heavy_values(numbers, "id")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_heavy_and_rare_words_join_alike(spark, monkeypatch, how):
+    tokens = J.explode_tokens(hot_docs(spark))
+    lookup = spark.createDataFrame([("hot", "h"), ("none", "n"), ("rare7", "r"), ("absent", "x")], "token string, lemma string")
+    want = sorted(map(str, J.lookup_join(tokens, lookup, "token", how).collect()))
+    monkeypatch.setattr(J, "fits_broadcast", lambda rows, size: False)
+    joined = J.lookup_join(tokens, lookup, "token", how)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, joined.collect())) == want and "explode(sequence" not in plan
+
+
+def test_a_form_filter_misses_nothing(spark, monkeypatch):
+    forms = spark.range(3000).select(F.concat(F.lit("form"), "id").alias("form"))
+    others = spark.range(20_000).select(F.concat(F.lit("other"), "id").alias("form"))
+    held = K.FormFilter(forms, "form", 3000)
+    assert forms.filter(~held.may_hold(F.col("form"))).count() == 0
+    assert others.filter(held.may_hold(F.col("form"))).count() < 400
+    assert spark.range(1).select(held.may_hold(F.lit(None).cast("string")).alias("x")).first()["x"] is None
+    monkeypatch.setattr(K.FormFilter, "MAX_BITS", 1 << 10)
+    full = K.FormFilter(forms, "form", 3000)
+    assert forms.filter(~full.may_hold(F.col("form"))).count() == 0
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_only_tokens_that_may_have_an_entry_leave_their_row(spark, monkeypatch, small):
+    monkeypatch.setattr(J, "fits_broadcast", lambda rows, size: small)
+    lookup = spark.createDataFrame([("hot", "h"), ("rare7", "r"), ("rare9", None), ("HOT", None)], "form string, lemma string")
+    docs = hot_docs(spark)
+    out = J.rewrite_tokens(docs, lookup, "tokens", "out")
+    change = {"hot": "h", "rare7": "r", "rare9": None, "HOT": None}
+    for r in out.collect():
+        want = [change.get(t, t) for t in r["tokens"] if t is not None]
+        assert r["out"] == [t for t in want if t is not None]
+    held = K.FormFilter(lookup, "form", 4)
+    leaving = docs.select(F.explode("tokens").alias("t")).filter(held.may_hold(F.col("t")) & ~F.col("t").isin("hot", "HOT", "none"))
+    assert leaving.count() <= 2 + 30
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_stopwords_by_join(spark, words, monkeypatch, small):
     monkeypatch.setattr(T, "INLINE_WORDS", 1)
