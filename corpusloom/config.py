@@ -62,7 +62,8 @@ class TopicParams:
 
     ``steps_per_pass`` is the number of training steps a pass has, whatever the size of the corpus:
     each step draws one in so many documents. ``None`` leaves Spark's default sampling rate. Spark
-    draws with replacement, so that a pass meets about 63 % of the documents, not every one.
+    draws with replacement, so that a pass meets about 63 % of the documents, not every one. Of
+    ``restarts`` fits, with seeds from ``seed`` on, the one of the highest likelihood is kept.
     """
 
     topics: int = 20
@@ -78,6 +79,7 @@ class TopicParams:
     steps_per_pass: int | None = None
     symmetric_priors: bool = False
     seed: int = 1
+    restarts: int = 1
     top_words: int = 20
     features_col: str = "features"
 

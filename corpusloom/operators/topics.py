@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil
 
 from pyspark import StorageLevel
@@ -143,6 +143,25 @@ def fit_topics(
     return TopicModel(model, vocab, vectorizer, settings, idf)
 
 
+def fit_best(docs: DataFrame, settings: TopicParams, tokens: str = "tokens", key: str = "doc_id") -> TopicModel:
+    """The fit of the highest log likelihood among ``settings.restarts`` ones.
+
+    A single fit may end with two themes in one topic, and another theme in two. ``docs`` is read again
+    for every fit; hand over prepared documents. All fits share one vocabulary.
+    """
+    best, most, vocab = None, None, None
+    for restart in range(max(1, settings.restarts)):
+        own = replace(settings, seed=settings.seed + restart)
+        model = fit_topics(docs, own, tokens, key, vocab)
+        if settings.restarts <= 1:
+            return model
+        vocab = model.vocab
+        likelihood = model.quality(docs).first()["log_likelihood"]
+        if best is None or (likelihood is not None and (most is None or likelihood > most)):
+            best, most = model, likelihood
+    return best
+
+
 def fit_tasks(n_docs: int) -> int:
     """The number of tasks a training step has."""
     return max(1, min(SMALL_TASKS, ceil(n_docs / SMALL_TASK)), ceil(n_docs / VECTORS_PER_TASK))

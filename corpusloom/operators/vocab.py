@@ -65,10 +65,30 @@ def build_vocab(
     vocabulary from growing with the corpus, since only so many terms can each occur in a fixed
     share of the documents.
     """
+    _check_bound(size, min_df_frac)
+    total = F.lit(n_docs) if n_docs is not None else doc_count(docs)
+    return vocab_of(
+        term_stats(docs, tokens), total, min_df_frac, max_df_frac, min_df_count, max_df_count, size, order
+    )
+
+
+def _check_bound(size: int | None, min_df_frac: float | None) -> None:
     if size is None and (min_df_frac or 0) < SMALLEST_SHARE:
         raise ValueError(f"give size or a min_df_frac of at least {SMALLEST_SHARE}, else the vocabulary grows with the corpus")
-    total = F.lit(n_docs) if n_docs is not None else doc_count(docs)
-    stats = term_stats(docs, tokens)
+
+
+def vocab_of(
+    stats: DataFrame,
+    total: Column,
+    min_df_frac: float | None = None,
+    max_df_frac: float | None = None,
+    min_df_count: float | None = None,
+    max_df_count: float | None = None,
+    size: int | None = None,
+    order: str = "cf",
+) -> DataFrame:
+    """``build_vocab`` from the statistics ``(term, df, cf)`` of ``total`` documents."""
+    _check_bound(size, min_df_frac)
     df = F.col("df")
     if min_df_count is not None:
         stats = stats.filter(df >= F.lit(float(min_df_count)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from corpusloom.config import TopicParams, batch_profile, multicore_profile, spark_profile
 from corpusloom.functions import tokens as K
 from corpusloom.operators import tokens as T
-from corpusloom.operators.topics import TopicModel, fit_topics
+from corpusloom.operators.topics import TopicModel, fit_best
 from corpusloom.session import write_scratch
 
 Words = DataFrame | Iterable[str]
@@ -19,7 +19,7 @@ def _fitted(docs: DataFrame, settings: TopicParams) -> tuple[TopicModel, DataFra
     """The model and the documents it was trained on, whose preparation is written out once."""
     kept = [c for c in docs.columns if c not in ("content", "text")]
     prepared = write_scratch(docs.select(*kept), "prepared")
-    return fit_topics(prepared, settings), prepared
+    return fit_best(prepared, settings), prepared
 
 
 def train_spark(

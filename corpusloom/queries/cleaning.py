@@ -9,6 +9,7 @@ from corpusloom import config as C
 from corpusloom.functions import text as X
 from corpusloom.operators import clean
 from corpusloom.operators.segment import segment_lines
+from corpusloom.operators.sentences import stop_statistics
 from corpusloom.plans.articles import article_table
 from corpusloom.queries.inputs import ARTICLES_CTE, URL_SQL, articles, table, urls, with_
 from corpusloom.session import scratch_path
@@ -263,6 +264,12 @@ def f13_sentences(spark, sf_dir):
     )
 
 
+def f13_stop_statistics(spark, sf_dir):
+    """How often words have a full stop, from which abbreviations are learned."""
+    found = stop_statistics(articles(spark, sf_dir))
+    return found.filter("with_stop >= 3")
+
+
 def e1_article_table(spark, sf_dir):
     described = article_table(spark, _dump(spark, sf_dir), keep_last=True)
     return described.select(_day(), "news_category", "headline", "content", "url")
@@ -276,7 +283,7 @@ QUERIES = {
         p3_rename_columns, p4_keep_english, p5_drop_empty, f1_url_date, f1_url_date_pages,
         f2_url_tail, f3_news_category, f4_headline, f5_remove_dateline, f6_detect_cjk,
         f7_blank_sign_up, f8_remove_underscores, f9_clean_articles, f10_strip, f11_join_lines,
-        f12_flatten, f13_sentences, e1_article_table,
+        f12_flatten, f13_sentences, f13_stop_statistics, e1_article_table,
     )
 }
 
@@ -348,6 +355,18 @@ FROM ranked WHERE article_no > 0 AND article_no < n GROUP BY file, article_no"""
     + rf", cut AS (SELECT doc_id, string_split(regexp_replace(content, '([.!?])[{_RE_WS}]+', "
     r"'\1' || chr(1), 'g'), chr(1)) AS l FROM articles) "
     "SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS sentence FROM cut",
+    "f13_stop_statistics": _ART
+    + rf""", cut AS (
+  SELECT doc_id, list_filter(string_split_regex(content, '[{_RE_WS}]+'), lambda x: x <> '') AS l FROM articles),
+told AS (
+  SELECT unnest(l) AS token, generate_subscripts(l, 1) AS i, l, len(l) AS n FROM cut),
+facts AS (
+  SELECT regexp_replace(regexp_replace(lower(token), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g'), '\.$', '') AS word,
+    ends_with(token, '.') AS stop, regexp_matches(l[i + 1], '^[^\p{{L}}\p{{N}}]*[\p{{Ll}}\p{{N}}]') AS small
+  FROM told WHERE i < n)
+SELECT word, count(*) FILTER (WHERE stop) AS with_stop, count(*) FILTER (WHERE NOT stop) AS without,
+  count(*) FILTER (WHERE stop AND small) AS before_lower
+FROM facts WHERE word <> '' GROUP BY word HAVING count(*) FILTER (WHERE stop) >= 3""",
     "e1_article_table": with_(ARTICLES_CTE, _DUMP_CTE)
     + f"SELECT {_DAY} AS date, {_CATEGORY} AS news_category, {_HEADLINE} AS headline, "
     f"{_joined_lines('body')} AS content, url FROM dump",

@@ -10,13 +10,14 @@ from corpusloom.operators import profile as P
 from corpusloom.operators import vocab as V
 from corpusloom.operators.clean import describe_urls
 from corpusloom.operators.lookups import name_terms
+from corpusloom.operators.termstats import batch_stats, documents_of, read_stats, terms_of, write_batch
 from corpusloom.operators.tokens import preprocess
 from corpusloom.operators.wordlists import invert_lemmas
 from corpusloom.queries import cleaning
 from corpusloom.queries import inputs as I
 from corpusloom.queries.inputs import ALL, ARTICLES_CTE, LEMMAS, STATS_CTE, TOK_CTE, with_
 from corpusloom.queries.words import _KEPT_CTE, _LEMMA_CTE
-from corpusloom.session import write_scratch
+from corpusloom.session import scratch_path, write_scratch
 
 _TOP_WORDS_SIZE = 10_000
 _TRIAL_ROWS = 2_000
@@ -162,12 +163,28 @@ def e2_lemma_vocabulary(spark, sf_dir):
     return vocab.select(_term_id(), "term", "df", "cf")
 
 
+def a9_merged_stats(spark, sf_dir):
+    """The statistics of three batches of the documents, added up, with the row of totals."""
+    docs = I.tokens(spark, sf_dir)
+    path = scratch_path(spark, "batches")
+    for batch in range(3):
+        write_batch(batch_stats(docs.filter(F.pmod("doc_id", F.lit(3)) == batch)), path, f"b{batch}")
+    return read_stats(spark, path)
+
+
+def v2_vocabulary_of_stats(spark, sf_dir):
+    """The vocabulary from the table of term statistics, without reading the texts again."""
+    stats = I.term_table(spark, sf_dir)
+    vocab = V.vocab_of(terms_of(stats), documents_of(stats), min_df_frac=0.02, max_df_frac=0.8, size=_TOP_WORDS_SIZE)
+    return vocab.select(_term_id(), "term", "df", "cf")
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         a1_count_articles, a2_count_categories, a3_date_range, a4_top_categories,
         a5_thirty_categories, a6_categories_of_first_rows, a7_group_forms, a8_term_counts,
-        a9_term_stats, o1_first_documents, o2_head_and_tail, o3_categories_ascending,
+        a9_term_stats, a9_merged_stats, v2_vocabulary_of_stats, o1_first_documents, o2_head_and_tail, o3_categories_ascending,
         v1_count_vectors, v2_vocabulary, v3_alphabetical_vocabulary, v4_dictionary,
         v5_bag_of_words, v6_tf_idf, e2_lemma_vocabulary,
     )
@@ -219,6 +236,8 @@ ORACLES = {
     + _categories(f"(SELECT * FROM described ORDER BY doc_id LIMIT {_TRIAL_ROWS_INCLUSIVE})", 15, "n"),
     "a7_group_forms": with_(*LEMMAS) + "SELECT lemma, count(*) AS n_forms FROM lemmas GROUP BY lemma",
     "a8_term_counts": with_(TOK_CTE) + "SELECT doc_id, token AS term, count(*) AS tf FROM tok GROUP BY ALL",
+    "a9_merged_stats": with_(TOK_CTE, STATS_CTE)
+    + "SELECT term, df, cf FROM stats UNION ALL SELECT NULL, (SELECT count(*) FROM documents), (SELECT count(*) FROM tok)",
     "a9_term_stats": with_(TOK_CTE, STATS_CTE) + "SELECT term, df, cf FROM stats",
     "o1_first_documents": f"SELECT doc_id, lang, source, text FROM documents ORDER BY doc_id LIMIT {_TRIAL_ROWS}",
     "o2_head_and_tail": _DESCRIBED
@@ -226,6 +245,7 @@ ORACLES = {
     "UNION ALL SELECT doc_id, news_category, headline, 'tail' FROM (FROM described ORDER BY doc_id DESC LIMIT 5)",
     "o3_categories_ascending": _DESCRIBED + _BY_CATEGORY.format("described"),
     "v1_count_vectors": _TERMS + f"SELECT doc_id, term, tf FROM ({_COUNTS})",
+    "v2_vocabulary_of_stats": _TERMS + "SELECT term_id, term, df, cf FROM vocab",
     "v2_vocabulary": _TERMS + "SELECT term_id, term, df, cf FROM vocab",
     "v3_alphabetical_vocabulary": with_(
         r"toklist AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS l FROM documents)",

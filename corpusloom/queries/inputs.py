@@ -6,12 +6,14 @@ by expressions on the document key, written once in SQL that both engines unders
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import config as C
 from corpusloom.functions import tokens as K
-from corpusloom.operators.vocab import doc_count, term_stats
+from corpusloom.operators.termstats import batch_stats, documents_of, terms_of
 from corpusloom.operators.wordlists import combine_words, word_classes
 from corpusloom.session import spread, write_scratch
 
@@ -81,24 +83,32 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", K.tokenize("text").alias("tokens"))
 
 
-def frequent_words(docs: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
+@lru_cache(maxsize=8)
+def term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term statistics of the documents, counted once per session: what stopwords, lemmas and
+    vocabularies of the queries are drawn from."""
+    return write_scratch(batch_stats(tokens(spark, sf_dir)), "term-table")
+
+
+def frequent_words(spark: SparkSession, sf_dir: str, share: float = FREQUENT_SHARE) -> DataFrame:
     """``(word)`` for terms in at least ``share`` of the documents.
 
     However large the corpus, only so many terms can each occur in a tenth of it.
     """
-    common = term_stats(docs).filter(F.col("df") >= F.lit(share) * doc_count(docs))
+    table_ = term_table(spark, sf_dir)
+    common = terms_of(table_).filter(F.col("df") >= F.lit(share) * documents_of(table_))
     return common.select(F.col("term").alias("word"))
 
 
 def stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(word)``: the configured classes and the frequent words of the corpus."""
-    listed = combine_words(word_classes(spark), frequent_words(tokens(spark, sf_dir)))
+    listed = combine_words(word_classes(spark), frequent_words(spark, sf_dir))
     return write_scratch(listed.distinct(), "stopwords")
 
 
 def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(form, lemma)``: tokens traced to their shortest stem in the corpus."""
-    terms = tokens(spark, sf_dir).select(F.explode(F.array_distinct("tokens")).alias("form")).distinct()
+    terms = terms_of(term_table(spark, sf_dir)).select(F.col("term").alias("form"))
     stems = F.array_compact(
         F.array(
             *(

@@ -7,6 +7,7 @@ each profile, the mass of its tokens and its parameters are worked out in SQL.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from corpusloom.config import (
     spark_trial_profile,
 )
 from corpusloom.functions import tokens as K
+from corpusloom.operators.matching import match_topics
 from corpusloom.operators.topics import TopicModel, fit_topics
 from corpusloom.plans.topic_jobs import train_batch, train_multicore, train_spark
 from corpusloom.queries import inputs as I
@@ -201,24 +203,65 @@ def m9_frequency_facts(spark, sf_dir):
     )
 
 
-_THEMES = 3
+_THEMES, _THEME_WORDS = 3, 12
 
 
-def m_planted_topics(spark, sf_dir):
-    """Documents whose words come from one of three separate groups share their dominant topic with
-    their group and with no other."""
+def _planted(spark, sf_dir):
+    """``(doc_id, theme, text)``: forty words from one of three separate groups, told by the key."""
     number = F.pmod(F.col("doc_id"), F.lit(_THEMES))
-    word = lambda i: F.concat(F.lit("group"), number.cast("string"), F.lit("word"), (F.pmod(F.xxhash64("doc_id", i), F.lit(12))).cast("string"))
-    docs = I.table(spark, sf_dir, "documents").select(
-        "doc_id", number.alias("theme"), F.transform(F.sequence(F.lit(1), F.lit(40)), word).alias("tokens")
+    letter = lambda i: F.char(F.lit(97) + i)
+    word = lambda i: F.concat(F.lit("theme"), letter(number), F.lit("word"), letter(F.pmod(F.xxhash64("doc_id", i), F.lit(_THEME_WORDS))))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), word), " ")
+    return write_scratch(
+        I.table(spark, sf_dir, "documents").select("doc_id", number.alias("theme"), text.alias("text")), "planted"
+    )
+
+
+def _recovered(spark, sf_dir, train, settings):
+    """For each planted theme how many of its words are the first ones of the topic matched to it,
+    and how many of its documents have that topic as their main one. Themes are matched one to one,
+    so a model with fewer real topics than themes cannot give every theme its own. The best of three
+    fits is taken, as a single one may merge two themes."""
+    docs = _planted(spark, sf_dir)
+    no_lemmas = spark.createDataFrame([], "form string, lemma string")
+    model, prepared = train(docs, [], no_lemmas, replace(settings, topics=_THEMES, top_words=_THEME_WORDS, restarts=3), text="text")
+    words = docs.select(F.col("theme").alias("topic"), F.explode(F.split("text", " ")).alias("term"))
+    matched = match_topics(words, model.describe())
+    main = model.mixtures(prepared).join(docs.select("doc_id", F.col("theme").alias("left")), "doc_id")
+    joined = main.join(F.broadcast(matched), "left")
+    return joined.groupBy(F.col("left").alias("theme"), F.col("common").alias("words")).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("dominant_topic") == F.col("right")).alias("recovered")
     )
-    docs = write_scratch(docs, "planted")
+
+
+def m1_recovered_topics(spark, sf_dir):
+    return _recovered(spark, sf_dir, train_spark, replace(SPARK_JOB, max_iter=60))
+
+
+def m2_recovered_topics(spark, sf_dir):
+    return _recovered(spark, sf_dir, train_multicore, MULTICORE_JOB)
+
+
+def m3_recovered_topics(spark, sf_dir):
+    return _recovered(spark, sf_dir, train_batch, replace(BATCH_JOB, passes=12))
+
+
+def m10_prepared_documents(spark, sf_dir):
+    """The prepared documents that a model is trained on are written once and read again."""
+    docs = _trained(spark, sf_dir, SPARK_TRIAL)[1]
+    return docs.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+def m_planted_topics(spark, sf_dir):
+    """Documents whose words come from one of three separate groups share their dominant topic with
+    their group and with no other: as many topics are dominant as there are groups."""
+    docs = _planted(spark, sf_dir).withColumn("tokens", F.split("text", " "))
     model = fit_topics(docs, TopicParams(topics=_THEMES, max_iter=60, vocab_size=100, min_df_frac=0.001, max_df_frac=1.0))
     best = model.mixtures(docs).join(docs.select("doc_id", "theme"), "doc_id")
-    share = best.groupBy("theme", "dominant_topic").agg(F.count(F.lit(1)).alias("n"))
+    share = write_scratch(best.groupBy("theme", "dominant_topic").agg(F.count(F.lit(1)).alias("n")), "shares")
     return share.groupBy("theme").agg(
         F.count(F.lit(1)).alias("topics"), F.sum("n").alias("documents"),
-    )
+    ).withColumn("all_topics", share.agg(F.count_distinct("dominant_topic").alias("n")).scalar())
 
 
 QUERIES = {
@@ -227,7 +270,8 @@ QUERIES = {
         m1_spark_topics, m1_weighted_topics, m2_multicore_topics, m3_batch_topics, m4_doc_topics,
         m4_share_sums, m5_quality, m6_top_terms, m6_topic_shape, m7_batch_keywords, m8_model_params,
         m9_topic_frequencies, m1_topic_facts, m2_topic_facts, m3_topic_facts, m5_quality_facts,
-        m7_keyword_facts, m8_param_facts, m9_frequency_facts, m_planted_topics,
+        m7_keyword_facts, m8_param_facts, m9_frequency_facts, m1_recovered_topics, m2_recovered_topics,
+        m3_recovered_topics, m10_prepared_documents, m_planted_topics,
     )
 }
 
@@ -272,6 +316,11 @@ def _facts(vocab: str, topics: int) -> str:
     )
 
 
+_RECOVERED = (
+    f"SELECT doc_id % {_THEMES} AS theme, {_THEME_WORDS}::BIGINT AS words, count(*) AS documents, count(*) AS recovered "
+    "FROM documents GROUP BY 1"
+)
+
 ORACLES = {
     "m1_topic_facts": _facts(_MODEL_VOCAB, 20),
     "m2_topic_facts": _facts(_MULTICORE_VOCAB, 20),
@@ -287,7 +336,13 @@ ORACLES = {
     "UNION ALL SELECT 'vocabSize', CAST(count(*) AS VARCHAR) FROM vocab",
     "m9_frequency_facts": _MODEL_VOCAB
     + "SELECT topic, least(20, n) AS terms, true AS same FROM range(20) t(topic), (SELECT count(*) AS n FROM vocab)",
-    "m_planted_topics": f"SELECT doc_id % {_THEMES} AS theme, 1::BIGINT AS topics, count(*) AS documents FROM documents GROUP BY 1",
+    "m1_recovered_topics": _RECOVERED,
+    "m2_recovered_topics": _RECOVERED,
+    "m3_recovered_topics": _RECOVERED,
+    "m10_prepared_documents": with_(*ALL, _KEPT_CTE, _LEMMA_CTE)
+    + "SELECT doc_id, count(lemma) AS n_tokens FROM documents LEFT JOIN lem USING (doc_id) GROUP BY doc_id",
+    "m_planted_topics": f"SELECT doc_id % {_THEMES} AS theme, 1::BIGINT AS topics, count(*) AS documents, "
+    f"{_THEMES}::BIGINT AS all_topics FROM documents GROUP BY 1",
     "m4_share_sums": _MODEL_VOCAB[:-1]
     + ", known AS (SELECT DISTINCT doc_id FROM lem WHERE lemma IN (SELECT term FROM vocab)) "
     "SELECT d.doc_id, CAST(20 AS BIGINT) AS topics, "

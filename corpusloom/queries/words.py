@@ -55,7 +55,7 @@ def _joined(docs, tokens, out):
 
 
 def _roots(spark, sf_dir):
-    frequent = I.frequent_words(I.tokens(spark, sf_dir))
+    frequent = I.frequent_words(spark, sf_dir)
     return write_scratch(L.combine_words(L.light_verb_roots(spark), frequent).distinct(), "roots")
 
 
@@ -119,7 +119,7 @@ def p7_not_a_stopword(spark, sf_dir):
 
 
 def p8_lemma_is_root(spark, sf_dir):
-    roots = I.frequent_words(I.tokens(spark, sf_dir)).withColumnRenamed("word", "lemma")
+    roots = I.frequent_words(spark, sf_dir).withColumnRenamed("word", "lemma")
     lookup = I.lemma_lookup(spark, sf_dir)
     return lookup.join(write_scratch(roots, "roots"), "lemma", "left_semi").select("form", "lemma")
 
@@ -214,7 +214,7 @@ def _exploded_words(spark, sf_dir):
 
 
 def l6_build_stopwords(spark, sf_dir):
-    base = I.frequent_words(I.tokens(spark, sf_dir))
+    base = I.frequent_words(spark, sf_dir)
     verbs = L.expand_roots(_roots(spark, sf_dir), I.lemma_lookup(spark, sf_dir))
     return L.build_stopwords(base, L.word_classes(spark), verbs)
 

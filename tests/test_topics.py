@@ -114,3 +114,23 @@ def test_dominant_topics_separate_the_themes(docs):
     trained = fit_topics(docs, replace(SETTINGS, max_iter=60))
     best = trained.mixtures(docs).filter("doc_id < 90").withColumn("theme", F.col("doc_id") % 3)
     assert best.groupBy("theme").agg(F.count_distinct("dominant_topic").alias("n")).filter("n > 1").count() == 0
+
+
+def test_the_best_of_some_fits_is_kept(spark, monkeypatch):
+    """The likelihood decides, not the order; all fits share one vocabulary."""
+    from corpusloom.operators import topics as O
+
+    docs = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["c", "d"]) for i in range(40)], "doc_id long, tokens array<string>")
+    settings = TopicParams(topics=2, max_iter=2, vocab_size=10, min_df_frac=0.001, max_df_frac=1.0, seed=7, restarts=3)
+    figures, seen = {7: -9.0, 8: -3.0, 9: -5.0}, []
+    fit = O.fit_topics
+
+    def noted(*args):
+        seen.append((args[1].seed, args[4] is not None))
+        return fit(*args)
+
+    monkeypatch.setattr(O, "fit_topics", noted)
+    figure = lambda model, docs: spark.createDataFrame([(figures[model.settings.seed],)], "log_likelihood double")
+    monkeypatch.setattr(O.TopicModel, "quality", figure)
+    assert O.fit_best(docs, settings).settings.seed == 8
+    assert seen == [(7, False), (8, True), (9, True)]
