@@ -101,21 +101,26 @@ class _Filter:
         return (self.held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _stripes(found: list[bytes], own: int, lang: str, size: int, frequent: _Filter | None):
+def _split(text: bytes) -> pa.Array:
+    """Like ``tokens``, as an Arrow array, with empty words between separators."""
+    spaced = pa.array([text.translate(_BYTES).replace(b"\n", b" \n ")], pa.large_binary())
+    return pc.split_pattern(spaced, pattern=b" ").flatten()
+
+
+def _stripes(found: pa.Array, own: int | None, lang: str, size: int, frequent: _Filter | None):
     """The stripes of prefixes of ``size`` words in some tokens: their prefixes, those' hashes, where
     each one's entries end, next words (numbers of names, -1 for ``REST``) and counts of all entries
-    in a row, and the names and their hashes.
+    in a row, and the names and their hashes. Only prefixes among the first ``own`` tokens count.
 
     Prefixes that cannot be frequent have no stripe; next words that cannot make a frequent phrase,
     and ends of pieces, are counted under ``REST``, so that every stripe adds up to its prefix.
     """
-    number = dict.fromkeys(found)
-    names = list(number)
-    for i, w in enumerate(names):
-        number[w] = i
-    codes = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-    if b"\n" in number:
-        codes[codes == number[b"\n"]] = -1
+    encoded = found.dictionary_encode()
+    names, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy().astype(np.int64)
+    number = {w: i for i, w in enumerate(names) if w in (b"", b"\n")}
+    codes = codes[codes != number.get(b"", -1)]
+    codes[codes == number.get(b"\n", -1)] = -1
+    own = len(codes) if own is None else own
     # A phrase goes to the end of the tokens at most; behind them stands an end of a piece.
     codes = np.concatenate([codes, np.full(size + 1, -1)])
     hashed = _word_hashes(names, lang)
@@ -126,10 +131,9 @@ def _stripes(found: list[bytes], own: int, lang: str, size: int, frequent: _Filt
     parts = [codes[starts + k] for k in range(size)]
     for c in parts:
         held = held * _GOLD + hashed[c]
-    held = _finished(held)
     if frequent is not None:
-        likely = frequent.may_hold(held)
-        starts, held = starts[likely], held[likely]
+        likely = frequent.may_hold(_finished(held))
+        starts = starts[likely]
         parts = [c[likely] for c in parts]
     follows = codes[starts + size]
     if frequent is not None:
@@ -138,16 +142,33 @@ def _stripes(found: list[bytes], own: int, lang: str, size: int, frequent: _Filt
         for c in (*parts[1:], np.maximum(follows, 0)):
             inner = inner * _GOLD + hashed[c]
         follows = np.where(frequent.may_hold(_finished(inner)), follows, -1)
-    prefix = np.zeros(len(starts), np.int64)
-    for c in parts:
-        _, prefix = np.unique(prefix * len(names) + c, return_inverse=True)
-        prefix = prefix.ravel()
-    keys, counts = np.unique(prefix * (len(names) + 1) + follows + 1, return_counts=True)
-    of, word = keys // (len(names) + 1), keys % (len(names) + 1) - 1
-    ends = np.searchsorted(of, np.arange(of[-1] + 1 if len(of) else 0), side="right")
-    _, first = np.unique(prefix, return_index=True)
-    spelled = [b" ".join([names[c[i]] for c in parts]) for i in first.tolist()]
-    return spelled, held[first], ends, word, counts, names, hashed
+    base = len(names) + 1
+    keys = np.zeros(len(starts), np.int64)
+    for k, c in enumerate(parts):
+        # Numbers of long prefixes are made small again before they can run over.
+        if k and float(len(names)) ** (k + 1) * base > 2**62:
+            _, keys = np.unique(keys, return_inverse=True)
+            keys = keys.ravel()
+        keys = keys * len(names) + c
+    keys, first, counts = _counted(keys * base + follows + 1)
+    of, word = keys // base, keys % base - 1
+    begins = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], len(of)) if len(of) else begins
+    spelled = [names[i] for i in parts[0][first[begins]].tolist()] if size else [b""] * len(begins)
+    held = hashed[parts[0][first[begins]]] if size else np.zeros(len(begins), np.uint64)
+    for c in parts[1:]:
+        more = c[first[begins]]
+        spelled = [b"%b %b" % (p, names[i]) for p, i in zip(spelled, more.tolist())]
+        held = held * _GOLD + hashed[more]
+    return spelled, _finished(held), ends, word, counts, names, hashed
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, where each one stands, and how often."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    begin = np.flatnonzero(np.diff(sorted_, prepend=sorted_[0] - 1)) if len(keys) else np.zeros(0, np.int64)
+    return sorted_[begin], order[begin], np.diff(np.append(begin, len(keys)))
 
 
 _STRIPE = "lang string, prefix binary, slice int, nexts array<binary>, counts array<bigint>"
@@ -169,9 +190,12 @@ def stripes(docs: DataFrame, size: int, frequent, cuts) -> DataFrame:
         number = cuts.value
         pieces = number[(hashes % np.uint64(len(number))).astype(np.int64)]
         of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        to = np.where(word >= 0, hashed[np.maximum(word, 0)] >> np.uint64(8), 0) % pieces[of].astype(np.uint64)
-        order = np.lexsort((to, of))
-        of, to, word, counts = of[order], to[order].astype(np.int32), word[order], counts[order]
+        to = np.zeros(len(of), np.int32)
+        if (pieces > 1).any():
+            shares = np.where(word >= 0, hashed[np.maximum(word, 0)] >> np.uint64(8), 0)
+            to = (shares % pieces[of].astype(np.uint64)).astype(np.int32)
+            order = np.lexsort((to, of))
+            of, to, word, counts = of[order], to[order], word[order], counts[order]
         begin = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(to, prepend=-1) != 0))
         values = pa.array([REST, *names], pa.binary())
         offsets = pa.array(np.append(begin, len(of)), pa.int32())
@@ -193,10 +217,9 @@ def stripes(docs: DataFrame, size: int, frequent, cuts) -> DataFrame:
                 texts = [t for t in part.column(1).filter(pc.equal(langs, lang)).to_pylist() if t]
                 if len(texts) == 1:
                     for found, own in _slices(texts[0], size, PART):
-                        yield from rows(found, own, lang)
+                        yield from rows(pa.array(found, pa.large_binary()), own, lang)
                 elif texts:
-                    found = tokens(b"\n".join(texts))
-                    yield from rows(found, len(found), lang)
+                    yield from rows(_split(b"\n".join(texts)), None, lang)
 
     return docs.mapInArrow(run, _STRIPE)
 
@@ -210,46 +233,77 @@ def merged_stripes(found: DataFrame, least: int) -> DataFrame:
     """
 
     def run(batches):
-        key, stripe = None, {}
+        held = None
         for batch in batches:
-            named = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-            nexts, counts = batch.column(3), batch.column(4)
-            words, n = nexts.flatten().to_pylist(), counts.flatten().to_pylist()
-            ends = np.cumsum(pc.list_value_length(nexts).to_numpy(zero_copy_only=False)).tolist()
-            rows, begin = [], 0
-            for own, end in zip(named, ends):
-                if own != key:
-                    rows += _summed(key, stripe, least)
-                    key, stripe = own, {}
-                if stripe:
-                    for w, c in zip(words[begin:end], n[begin:end]):
-                        stripe[w] = stripe.get(w, 0) + c
-                else:
-                    stripe = dict(zip(words[begin:end], n[begin:end]))
-                begin = end
-            yield _entries(rows)
-        yield _entries(_summed(key, stripe, least))
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            rows = rows.combine_chunks()
+            number = _runs(rows)
+            open_ = int(np.searchsorted(number, number[-1]))
+            if open_:
+                yield _entries(_added_up(rows.slice(0, open_)), least)
+            # The last stripe may go on in the next batch; what there is of it is added up.
+            held = _as_rows(_added_up(rows.slice(open_)))
+        if held is not None:
+            yield _entries(_added_up(held), least)
 
     dealt = found.repartition("lang", "prefix", "slice").sortWithinPartitions("lang", "prefix", "slice")
     return dealt.mapInArrow(run, "lang string, prefix string, next string, f bigint, hash bigint")
 
 
-def _summed(key, stripe: dict[bytes, int], least: int):
-    if key is None:
-        return
-    lang, prefix, _ = key
-    yield lang, prefix, None, sum(stripe.values()), 0
-    first = prefix.split(b" ") if prefix else []
-    for w, f in stripe.items():
-        if f >= least and w != REST:
-            yield lang, prefix, w, f, phrase_hash([*first, w], lang)
-
-
-def _entries(rows) -> pa.RecordBatch:
-    langs, prefixes, nexts, f, hashes = zip(*rows) if rows else [()] * 5
-    signed = np.array(hashes, np.uint64).view(np.int64)
-    text = lambda values: pa.array(values, pa.binary()).cast(pa.string())
-    columns = [pa.array(langs, pa.string()), text(prefixes), text(nexts), pa.array(f, pa.int64()), pa.array(signed)]
+def _runs(rows: pa.Table) -> np.ndarray:
+    """The number of the stripe that each of the sorted rows belongs to."""
+    other = np.zeros(rows.num_rows, bool)
+    for name in ("lang", "prefix", "slice"):
+        column = rows[name].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        other[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return other.cumsum()
+
+
+def _added_up(rows: pa.Table):
+    """The stripes of some whole runs of rows, merged element by element: their keys (the first row
+    of each), and the number of the stripe, next word and count of each entry."""
+    number = _runs(rows)
+    lists, counts = rows["nexts"].combine_chunks(), rows["counts"].combine_chunks()
+    lists, counts = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (lists, counts))
+    of = np.repeat(number, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    words = lists.flatten().dictionary_encode()
+    size = max(1, len(words.dictionary))
+    keys, _, _ = _counted(joint := of * size + words.indices.to_numpy())
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, np.searchsorted(keys, joint), counts.flatten().to_numpy())
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    return rows.select(["lang", "prefix", "slice"]).take(pa.array(first)), keys // size, words.dictionary.take(pa.array(keys % size)), sums
+
+
+def _as_rows(merged) -> pa.Table:
+    keys, of, words, sums = merged
+    offsets = pa.array(np.searchsorted(of, np.arange(keys.num_rows + 1)), pa.int32())
+    lists = (pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(sums)))
+    return keys.append_column("nexts", lists[0]).append_column("counts", lists[1])
+
+
+def _entries(merged, least: int) -> pa.RecordBatch:
+    """A row for the sum of each stripe, and for each frequent entry."""
+    keys, of, words, sums = merged
+    total = np.add.reduceat(sums, np.searchsorted(of, np.arange(keys.num_rows)))
+    often = np.flatnonzero(sums >= least)
+    named = [(i, o, w) for i, o, w in zip(often.tolist(), of[often].tolist(), words.take(pa.array(often)).to_pylist()) if w != REST]
+    langs, prefixes = keys["lang"].to_pylist(), keys["prefix"].to_pylist()
+    hashes = [phrase_hash([*(prefixes[o].split(b" ") if prefixes[o] else []), w], langs[o]) for _, o, w in named]
+    n = keys.num_rows
+    which = np.concatenate([np.arange(n), np.array([o for _, o, _ in named], np.int64)])
+    chosen = keys.select(["lang", "prefix"]).take(pa.array(which)).combine_chunks()
+    columns = [
+        chosen["lang"].chunk(0),
+        chosen["prefix"].chunk(0).cast(pa.string()),
+        pa.array([None] * n + [w for *_, w in named], pa.binary()).cast(pa.string()),
+        pa.array(np.concatenate([total, sums[[i for i, *_ in named]] if named else np.zeros(0, np.int64)])),
+        pa.array(np.concatenate([np.zeros(n, np.int64), np.array(hashes, np.uint64).view(np.int64)])),
+    ]
     return pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "next", "f", "hash"])
 
 
@@ -258,18 +312,18 @@ def _frequent(entries: DataFrame, bits: int) -> np.ndarray:
     shift = 64 - (bits - 1).bit_length()
     at = entries.select(F.shiftrightunsigned("hash", shift).alias("at"))
     bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
-    words = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(bit).alias("b")).toPandas()
+    words = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(bit).alias("b")).toArrow()
     held = np.zeros(1 << max(0, (bits - 1).bit_length() - 6), np.uint64)
-    held[words["i"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    held[words["i"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return held
 
 
 def _cuts(entries: DataFrame) -> np.ndarray:
     """The number of slices for each bucket of prefixes, by its most frequent one."""
     bucket = F.col("hash").bitwiseAND(F.lit(BUCKETS - 1))
-    most = entries.filter(F.col("f") > SLICE).groupBy(bucket.alias("i")).agg(F.max("f").alias("f")).toPandas()
+    most = entries.filter(F.col("f") > SLICE).groupBy(bucket.alias("i")).agg(F.max("f").alias("f")).toArrow()
     out = np.ones(BUCKETS, np.int64)
-    out[most["i"].to_numpy(np.int64)] = -(-most["f"].to_numpy(np.int64) // SLICE)
+    out[most["i"].to_numpy()] = -(-most["f"].to_numpy() // SLICE)
     return out
 
 
