@@ -116,13 +116,13 @@ def _stripes(found: pa.Array, own: int | None, lang: str, size: int, frequent: _
     and ends of pieces, are counted under ``REST``, so that every stripe adds up to its prefix.
     """
     encoded = found.dictionary_encode()
-    names, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy().astype(np.int64)
+    names, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy().copy()
     number = {w: i for i, w in enumerate(names) if w in (b"", b"\n")}
     codes = codes[codes != number.get(b"", -1)]
     codes[codes == number.get(b"\n", -1)] = -1
     own = len(codes) if own is None else own
     # A phrase goes to the end of the tokens at most; behind them stands an end of a piece.
-    codes = np.concatenate([codes, np.full(size + 1, -1)])
+    codes = np.concatenate([codes, np.full(size + 1, -1, codes.dtype)])
     hashed = _word_hashes(names, lang)
     starts = np.flatnonzero(codes[:own] >= 0)
     for k in range(1, size):
@@ -133,7 +133,7 @@ def _stripes(found: pa.Array, own: int | None, lang: str, size: int, frequent: _
         held = held * _GOLD + hashed[c]
     if frequent is not None:
         likely = frequent.may_hold(_finished(held))
-        starts = starts[likely]
+        starts, held = starts[likely], None
         parts = [c[likely] for c in parts]
     follows = codes[starts + size]
     if frequent is not None:
@@ -142,6 +142,7 @@ def _stripes(found: pa.Array, own: int | None, lang: str, size: int, frequent: _
         for c in (*parts[1:], np.maximum(follows, 0)):
             inner = inner * _GOLD + hashed[c]
         follows = np.where(frequent.may_hold(_finished(inner)), follows, -1)
+        del inner
     base = len(names) + 1
     keys = np.zeros(len(starts), np.int64)
     for k, c in enumerate(parts):
@@ -171,7 +172,8 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sorted_[begin], order[begin], np.diff(np.append(begin, len(keys)))
 
 
-_STRIPE = "lang string, prefix binary, slice int, nexts array<binary>, counts array<bigint>"
+# A stripe in transit: its next words joined by spaces, which no word holds, and their counts as ints.
+_STRIPE = "lang string, prefix binary, slice int, nexts binary, counts binary"
 
 
 def stripes(docs: DataFrame, size: int, frequent, cuts) -> DataFrame:
@@ -198,14 +200,16 @@ def stripes(docs: DataFrame, size: int, frequent, cuts) -> DataFrame:
             of, to, word, counts = of[order], to[order], word[order], counts[order]
         begin = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(to, prepend=-1) != 0))
         values = pa.array([REST, *names], pa.binary())
-        offsets = pa.array(np.append(begin, len(of)), pa.int32())
+        offsets = np.append(begin, len(of)).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(offsets), values.take(pa.array(word + 1)))
+        packed = [None, pa.py_buffer(offsets * 4), pa.py_buffer(counts.astype("<i4"))]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([lang] * len(begin), pa.string()),
                 pa.array(spelled, pa.binary()).take(pa.array(of[begin])),
                 pa.array(to[begin]),
-                pa.ListArray.from_arrays(offsets, values.take(pa.array(word + 1))),
-                pa.ListArray.from_arrays(offsets, pa.array(counts)),
+                pc.binary_join(words, b" "),
+                pa.Array.from_buffers(pa.binary(), len(begin), packed),
             ],
             ["lang", "prefix", "slice", "nexts", "counts"],
         )
@@ -237,7 +241,7 @@ def merged_stripes(found: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch])
+            rows = _unpacked(batch)
             rows = rows if held is None else pa.concat_tables([held, rows])
             rows = rows.combine_chunks()
             number = _runs(rows)
@@ -253,6 +257,17 @@ def merged_stripes(found: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, "lang string, prefix string, next string, f bigint, hash bigint")
 
 
+def _unpacked(batch: pa.RecordBatch) -> pa.Table:
+    """Stripes in transit with lists of words and of counts."""
+    packed = batch.column(4)
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    counts = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<i4").astype(np.int64)
+    nexts = pc.split_pattern(batch.column(3), pattern=b" ")
+    nexts = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]) // 4), nexts.flatten())
+    lists = [nexts, pa.ListArray.from_arrays(nexts.offsets, pa.array(counts))]
+    return pa.Table.from_arrays([*batch.columns[:3], *lists], batch.schema.names)
+
+
 def _runs(rows: pa.Table) -> np.ndarray:
     """The number of the stripe that each of the sorted rows belongs to."""
     other = np.zeros(rows.num_rows, bool)
