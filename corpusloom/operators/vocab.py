@@ -164,7 +164,9 @@ def vectorize(
     """
     rows, size = lookup_size(vocab.select("term_id", "term"))
     if fits_inline(rows, size):
-        return vectorizer(terms_in_order(vocab), tokens, out).transform(docs)
+        # The model takes no null for tokens.
+        known = docs.withColumn("__tokens", F.coalesce(F.array_compact(F.col(tokens)), F.array().cast("array<string>")))
+        return vectorizer(terms_in_order(vocab), "__tokens", out).transform(known).drop("__tokens")
     return assemble_vectors(docs, vocab, rows, tokens, out, key)
 
 
@@ -174,7 +176,7 @@ def assemble_vectors(docs: DataFrame, vocab: DataFrame, size: int, tokens: str,
     Rows are told apart by key and tokens, as equal ones have equal vectors.
     """
     marked = docs.withColumn("__row", F.struct(F.col(key), F.xxhash64(tokens)))
-    once = marked.select("__row", F.col(tokens).alias("__tokens")).dropDuplicates(["__row"])
+    once = marked.select("__row", F.array_compact(F.col(tokens)).alias("__tokens")).dropDuplicates(["__row"])
     cells = bag_of_words(once, vocab, "__tokens", "__row")
     lists = cells.groupBy(F.col("__row").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("term_id", "tf"))).alias("__cells"))
     joined = marked.join(lists, F.col("__row").eqNullSafe(F.col("__key")), "left")

@@ -12,7 +12,7 @@ from corpusloom.operators.segment import segment_lines
 from corpusloom.operators.sentences import stop_statistics
 from corpusloom.plans.articles import article_table
 from corpusloom.queries.inputs import ARTICLES_CTE, URL_SQL, articles, table, urls, with_
-from corpusloom.session import scratch_path
+from corpusloom.session import scratch_path, spread
 from corpusloom.sources import articles as A
 from corpusloom.sources import dump as D
 
@@ -64,13 +64,14 @@ _BODY = "text || chr(10) || '  ' || chr(10) || ' mentions URL: inside '"
 _DUMP_CTE = f"dump AS (SELECT doc_id, url, {_BODY} AS body FROM articles JOIN documents USING (doc_id))"
 
 
-def _dump(spark, sf_dir: str) -> str:
-    """Write the documents as a raw dump and return its folder."""
+def _dump(spark, sf_dir: str, ordered: bool = False) -> str:
+    """Write the documents as a raw dump, if asked for in their order, and return its folder."""
     path = scratch_path(spark, "dump")
     docs = table(spark, sf_dir, "documents")
     record = F.concat(F.lit(C.ARTICLE_PREFIX), "url", F.lit("\n"), "body")
     parts = docs.select("doc_id", F.expr(URL_SQL).alias("url"), F.expr(_BODY).alias("body"))
-    parts.orderBy("doc_id").select(record.alias("value")).write.text(path)
+    parts = parts.orderBy("doc_id") if ordered else spread(parts, "doc_id")
+    parts.select(record.alias("value")).write.text(path)
     return path
 
 
@@ -83,7 +84,7 @@ def _day():
 
 
 def s1_dump_preview(spark, sf_dir):
-    first = D.preview(D.read_dump(spark, _dump(spark, sf_dir)))
+    first = D.preview(D.read_dump(spark, _dump(spark, sf_dir, ordered=True)))
     number = F.row_number().over(W.orderBy("file", "position")).cast("bigint")
     return first.select(number.alias("n"), "line")
 

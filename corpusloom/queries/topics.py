@@ -21,6 +21,7 @@ from corpusloom.config import (
     spark_trial_profile,
 )
 from corpusloom.functions import tokens as K
+from corpusloom.operators.chunked_topics import fit_by_chunks
 from corpusloom.operators.matching import match_topics
 from corpusloom.operators.topics import TopicModel, fit_topics
 from corpusloom.plans.topic_jobs import train_batch, train_multicore, train_spark
@@ -246,6 +247,37 @@ def m3_recovered_topics(spark, sf_dir):
     return _recovered(spark, sf_dir, train_batch, replace(BATCH_JOB, passes=12))
 
 
+@lru_cache(maxsize=2)
+def _chunked(spark, sf_dir: str, settings: TopicParams):
+    docs = _planted(spark, sf_dir).withColumn("tokens", F.split("text", " "))
+    return fit_by_chunks(docs, settings), docs
+
+
+def _by_chunks(spark, sf_dir, settings):
+    model, docs = _chunked(spark, sf_dir, replace(settings, topics=_THEMES, top_words=_THEME_WORDS, **_ALL_TERMS))
+    words = docs.select(F.col("theme").alias("topic"), F.explode("tokens").alias("term"))
+    matched = match_topics(words, model.describe())
+    main = model.mixtures(docs).join(docs.select("doc_id", F.col("theme").alias("left")), "doc_id")
+    return main.join(F.broadcast(matched), "left").groupBy(F.col("left").alias("theme"), F.col("common").alias("words")).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("dominant_topic") == F.col("right")).alias("recovered")
+    )
+
+
+_ALL_TERMS = dict(min_df_frac=0.001, max_df_frac=1.0, min_df_count=None, vocab_size=1000)
+
+
+def m2_chunked_topics(spark, sf_dir):
+    """The multicore profile trained in passes that meet every document once, on planted themes."""
+    return _by_chunks(spark, sf_dir, replace(MULTICORE_JOB, passes=5))
+
+
+def m2_chunk_visits(spark, sf_dir):
+    """How often a pass meets each document."""
+    settings = replace(MULTICORE_JOB, passes=5, topics=_THEMES, top_words=_THEME_WORDS, **_ALL_TERMS)
+    chunks = _chunked(spark, sf_dir, settings)[0].chunks
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("visits"))
+
+
 def m10_prepared_documents(spark, sf_dir):
     """The prepared documents that a model is trained on are written once and read again."""
     docs = _trained(spark, sf_dir, SPARK_TRIAL)[1]
@@ -271,7 +303,7 @@ QUERIES = {
         m4_share_sums, m5_quality, m6_top_terms, m6_topic_shape, m7_batch_keywords, m8_model_params,
         m9_topic_frequencies, m1_topic_facts, m2_topic_facts, m3_topic_facts, m5_quality_facts,
         m7_keyword_facts, m8_param_facts, m9_frequency_facts, m1_recovered_topics, m2_recovered_topics,
-        m3_recovered_topics, m10_prepared_documents, m_planted_topics,
+        m3_recovered_topics, m2_chunked_topics, m2_chunk_visits, m10_prepared_documents, m_planted_topics,
     )
 }
 
@@ -339,6 +371,8 @@ ORACLES = {
     "m1_recovered_topics": _RECOVERED,
     "m2_recovered_topics": _RECOVERED,
     "m3_recovered_topics": _RECOVERED,
+    "m2_chunked_topics": _RECOVERED,
+    "m2_chunk_visits": "SELECT doc_id, count(*) AS visits FROM documents GROUP BY doc_id",
     "m10_prepared_documents": with_(*ALL, _KEPT_CTE, _LEMMA_CTE)
     + "SELECT doc_id, count(lemma) AS n_tokens FROM documents LEFT JOIN lem USING (doc_id) GROUP BY doc_id",
     "m_planted_topics": f"SELECT doc_id % {_THEMES} AS theme, 1::BIGINT AS topics, count(*) AS documents, "

@@ -139,3 +139,16 @@ def test_build_stopwords(spark):
     built = L.build_stopwords(base, L.word_classes(spark), L.light_verb_roots(spark))
     words = [r["word"] for r in built.collect()]
     assert len(words) == len(set(words)) and {"the", "mr.", "monday", "think"} <= set(words)
+
+
+def test_vectors_by_joining_equal_those_of_the_model(spark, monkeypatch):
+    """Beyond the inline limits no term is collected; rows without known terms have empty vectors."""
+    rows = [(1, ["b", "a", "b", "z"]), (2, []), (3, None), (4, ["zz"]), (None, ["c", "a"]), (1, ["b", "a", "b", "z"]), (1, ["c", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    vocab = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "term_id int, term string")
+    small = sorted(map(str, V.vectorize(docs, vocab).collect()))
+    monkeypatch.setattr(V, "fits_inline", lambda rows, size: False)
+    monkeypatch.setattr(V, "terms_in_order", None)
+    joined = V.vectorize(docs, vocab)
+    assert joined.schema["features"].dataType.simpleString() == "vector"
+    assert sorted(map(str, joined.collect())) == small and len(small) == len(rows)
