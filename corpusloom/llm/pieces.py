@@ -21,7 +21,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\udc81"  # how a space is written; how that sign itself is, in a text
 UNIT = 1 << 16
 NEVER = -(1 << 60)
-CACHED_WORDS = 250_000
+CACHED_WORDS = 600_000
 CHUNK = 1 << 16
 
 
