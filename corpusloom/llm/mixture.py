@@ -61,8 +61,11 @@ def water_fill(sizes: list[int], weights: list[float], total: float, cap: float)
 
 
 def source_plan(docs: DataFrame, params: MixParams) -> DataFrame:
-    """One row per source: its number, words, target, blocks, slots and the parts it is ordered by.
+    """One row per source: its number, words, target, blocks, slots, the words its last slot takes
+    and the parts it is ordered by.
 
+    A source takes its target, rounded to a whole word, however few words it has: as many whole
+    turns of its blocks as fit, then single blocks, the last of them only as far as words are due.
     ``docs`` is ``(source, size)``. The table of sources is the only thing that reaches the driver;
     a mix of more than ``MAX_SOURCES`` sources is refused.
     """
@@ -77,13 +80,14 @@ def source_plan(docs: DataFrame, params: MixParams) -> DataFrame:
     plan = []
     for i, (row, size, target) in enumerate(zip(rows, sizes, targets)):
         blocks = ceil(size / params.block)
-        # The last block may be short, so slots are counted by the mean length.
-        slots = min(params.cap * blocks, round(target * blocks / size)) if size else 0
+        turns, rest = divmod(min(round(target), params.cap * size), size) if size else (0, 0)
+        slots = turns * blocks + ceil(rest / params.block)
+        due = (rest - 1) % params.block + 1 if rest else params.block
         parts = max(1, round(row["n"] ** 0.5))
-        plan.append((i, row["source"], size, float(target), blocks, slots, parts))
+        plan.append((i, row["source"], size, float(target), blocks, slots, due, parts))
     return docs.sparkSession.createDataFrame(
         plan,
-        "sid int, source string, source_size bigint, target double, blocks bigint, slots bigint, parts int",
+        "sid int, source string, source_size bigint, target double, blocks bigint, slots bigint, due int, parts int",
     )
 
 
@@ -110,21 +114,26 @@ def _rank(values: np.ndarray, seed: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def draw_slots(plan: DataFrame, params: MixParams) -> DataFrame:
-    """``(shard, position, sid, turn, block)``: what stands in every slot of the mix.
+    """``(shard, position, sid, turn, block, most)``: what stands in every slot of the mix.
 
     Each shard draws how many of its slots go to each source from a multinomial distribution; the
     draws of the shards before it, summed, give the index of a source's first slot in it. Slots
     beyond a source's quota pass to the sources that are short of theirs, so that the totals are
-    exact. A source's j-th slot is block ``permutation(j mod blocks)`` of its turn ``j div blocks``.
+    exact. A source's j-th slot is block ``permutation(j mod blocks)`` of its turn ``j div blocks``;
+    the permutation keeps the last block, which may be short, at its place. A slot takes the first
+    ``most`` words of its block, fewer than the whole block only in a source's last slot.
     """
     spark = plan.sparkSession
     rows = plan.orderBy("sid").collect()
     quota = np.array([r["slots"] for r in rows], dtype=np.int64)
     blocks = np.array([r["blocks"] for r in rows], dtype=np.int64)
+    due = np.array([r["due"] for r in rows], dtype=np.int32)
     total = int(quota.sum())
+    schema = "shard bigint, position int, sid int, turn int, block bigint, most int"
     if not total:
-        return spark.createDataFrame([], "shard bigint, position int, sid int, turn int, block bigint")
+        return spark.createDataFrame([], schema)
     n_shards, share, size, seed = ceil(total / params.shard), quota / total, params.shard, params.seed
+    whole = params.block
 
     def counts(shard: int) -> np.ndarray:
         here = min(size, total - shard * size)
@@ -167,15 +176,16 @@ def draw_slots(plan: DataFrame, params: MixParams) -> DataFrame:
                         sid[over] = to
                     turn, k = j // blocks[sid], j % blocks[sid]
                     keys = (sid * 1_000_003 + turn * 7919 + seed).astype(np.uint64)
+                    inner = np.flatnonzero(k < blocks[sid] - 1)
+                    k[inner] = _rank(k[inner], keys[inner], blocks[sid[inner]] - 1)
+                    most = np.where(j == quota[sid] - 1, due[sid], np.int32(whole))
                     order = np.random.default_rng([seed, shard, 1]).permutation(len(sid))
                     yield pd.DataFrame(
                         {"shard": shard, "position": order.astype("int32"), "sid": sid.astype("int32"),
-                         "turn": turn.astype("int32"), "block": _rank(k, keys, blocks[sid])}
+                         "turn": turn.astype("int32"), "block": k, "most": most.astype("int32")}
                     )
 
-    return spark.range(n_groups).mapInPandas(
-        fill, "shard bigint, position int, sid int, turn int, block bigint"
-    )
+    return spark.range(n_groups).mapInPandas(fill, schema)
 
 
 def place_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -204,14 +214,19 @@ def place_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def pieces(placed: DataFrame, block: int) -> DataFrame:
-    """``placed`` once for every block it has words in, with ``block`` and the words' range
-    ``[first, first + n)`` within the document."""
+    """``placed`` once for every block it has words in, with ``block``, the words' range
+    ``[first, first + n)`` within the document and ``at``, the place of the first one in the block."""
     end = F.col("start") + F.col("size") - 1
     spans = F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")
     out = placed.filter("size > 0").withColumn("block", F.explode(spans))
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(end + 1, (F.col("block") + 1) * block)
-    return out.withColumns({"first": low - F.col("start"), "n": high - low})
+    return out.withColumns({"first": low - F.col("start"), "n": high - low, "at": low - F.col("block") * block})
+
+
+def within_slots(joined: DataFrame) -> DataFrame:
+    """``pieces`` joined with slots: only the words of ``n`` that the slot takes, none left out whole."""
+    return joined.withColumn("n", F.least(F.col("n"), F.col("most") - F.col("at"))).filter("n > 0")
 
 
 def mix_counts(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -229,10 +244,11 @@ def mix_counts(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     plan = source_plan(sized, params)
     placed = write_scratch(place_documents(sized, plan).drop("source", "tie"), "places")
     # The slots come from a short range, from which Spark would take them to be few.
-    times = draw_slots(plan, params).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
+    times = draw_slots(plan, params).groupBy("sid", "block", "most").agg(F.count(F.lit(1)).alias("times"))
     taken = (
-        pieces(placed.select("sid", "start", "size"), params.block)
-        .join(times, ["sid", "block"])
+        within_slots(
+            pieces(placed.select("sid", "start", "size"), params.block).join(times.hint("merge"), ["sid", "block"])
+        )
         .groupBy("sid", "start")
         .agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
         .hint("merge")
@@ -250,7 +266,7 @@ def mix_counts(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 def mix_blocks(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The mix itself: ``(shard, position, source, turn, block, words)``, one row per slot.
 
-    ``words`` are ``params.block`` words, fewer only in a source's last block. Nulls, repeats and
+    ``words`` are ``params.block`` words, fewer only in a source's last block and last slot. Nulls, repeats and
     empty tables are treated as in ``mix_counts``.
     """
     sized = docs.select(
@@ -265,9 +281,9 @@ def mix_blocks(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         F.flatten(F.transform(ordered, lambda p: p["words"])).alias("words")
     )
     names = F.broadcast(plan.select("sid", "source"))
-    return draw_slots(plan, params).join(packed.hint("merge"), ["sid", "block"]).join(names, "sid").select(
-        "shard", "position", "source", "turn", "block", "words"
-    )
+    slots = draw_slots(plan, params).join(packed.hint("merge"), ["sid", "block"]).join(names, "sid")
+    taken = F.slice(F.col("words"), F.lit(1), F.col("most"))
+    return slots.select("shard", "position", "source", "turn", "block", taken.alias("words"))
 
 
 def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -290,11 +306,10 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame
     sized = keyed.select("doc_id", "source", "size", "tie", "key")
     plan = source_plan(sized, params)
     placed = write_scratch(place_documents(sized, plan).select("key", "sid", "start", "size"), "places")
-    slots = draw_slots(plan, params).select("sid", "turn", "block").hint("merge")
+    slots = draw_slots(plan, params).select("sid", "turn", "block", "most").hint("merge")
     runs = F.sort_array(F.collect_list(F.struct("first", "n")))
     taken = (
-        pieces(placed, params.block)
-        .join(slots, ["sid", "block"])
+        within_slots(pieces(placed, params.block).join(slots, ["sid", "block"]))
         .groupBy("key", "turn")
         .agg(runs.alias("runs"), F.sum("n").alias("taken"))
         .hint("merge")
