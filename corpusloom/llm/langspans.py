@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold, hash_share, letter_runs
@@ -38,11 +38,15 @@ def script(letter: str) -> str:
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """About ``sample`` documents of each language are learned from, chosen by a hash of their text;
-    ``grams`` bounds the table of letter n-grams, the most frequent ones of each language."""
+    """About ``sample`` different texts of each language are learned from, chosen by a hash of the
+    text; copies count once. The ``langs`` languages with most texts are learned, ties to the smaller name.
+    Of each the ``grams`` most frequent letter n-grams are kept, fewer where all languages together
+    would need more than ``cells`` scores."""
 
     sample: int = 1_500
+    langs: int = 200
     grams: int = 20_000
+    cells: int = 20_000_000
     order: int = 3
     switch: float = 8.0
     min_script_share: float = 0.01
@@ -69,13 +73,17 @@ def word_grams(word: str, order: int) -> list[str]:
 def fit_languages(docs: DataFrame, train: Column, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Learn from ``docs(text, lang)`` where ``train`` holds and ``lang`` is not null.
 
-    Grams, scripts and letters are counted over the whole texts of the sample by Spark; the tables
-    that reach the driver are bounded by ``params.grams`` for each language.
+    Grams, scripts and letters are counted over the whole texts of the sample by Spark, and the most
+    frequent grams of all languages are found in one job. The tables that reach the driver are
+    bounded by ``params.langs``, ``params.grams`` and ``params.cells``, however many values ``lang`` has.
     """
     known = docs.filter(train).filter("lang is not null and text is not null").select("lang", "text")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    texts = known.select("lang", F.xxhash64("text").alias("__text")).distinct()
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.orderBy(F.desc("__n"), "lang").limit(params.langs)
     shares = sizes.select("lang", F.least(F.lit(1.0), params.sample / F.col("__n")).alias("__share"))
     chosen = known.join(F.broadcast(shares), "lang").filter(hash_share(F.col("text"), F.col("__share")))
+    chosen = chosen.select("lang", "text").distinct()
     order = params.order
 
     def count(batches):
@@ -101,29 +109,34 @@ def fit_languages(docs: DataFrame, train: Column, params: LanguageParams = Langu
             )
 
     counted = (
-        chosen.select("lang", "text")
-        .mapInArrow(count, "lang string, kind string, item string, n bigint")
+        chosen.mapInArrow(count, "lang string, kind string, item string, n bigint")
         .groupBy("lang", "kind", "item")
         .agg(F.sum("n").alias("n"))
     )
     counted = write_scratch(counted, "grams")
-    langs = tuple(sorted(r["lang"] for r in counted.select("lang").distinct().collect()))
-    total = {r["lang"]: r["n"] for r in counted.filter("kind = 'g'").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sums = counted.filter("kind = 'g'").groupBy("lang").agg(F.sum("n").alias("n")).collect()
+    total = {r["lang"]: r["n"] for r in sums}
+    langs = tuple(sorted(total))
     scripts = counted.filter("kind = 's'").collect()
+    most: Counter = Counter()
+    for r in scripts:
+        most[r["lang"]] = max(most[r["lang"]], r["n"])
     used: dict[str, np.ndarray] = {}
     for r in scripts:
-        if r["n"] >= params.min_script_share * max(x["n"] for x in scripts if x["lang"] == r["lang"]):
+        if r["n"] >= params.min_script_share * most[r["lang"]]:
             used.setdefault(r["item"], np.zeros(len(langs), bool))[langs.index(r["lang"])] = True
-    rows: dict[str, list[tuple[str, int]]] = {}
-    for lang in langs:
-        top = counted.filter((F.col("kind") == "g") & (F.col("lang") == lang)).orderBy(F.desc("n"), "item")
-        rows[lang] = [(r["item"], r["n"]) for r in top.limit(params.grams).collect()]
+    each = min(params.grams, params.cells // max(1, len(langs)) ** 2)
+    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
+    top = counted.filter("kind = 'g'").withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= each)
+    rows: dict[str, list[tuple[str, int]]] = {lang: [] for lang in langs}
+    for r in top.select("lang", "item", "n").collect():
+        rows[r["lang"]].append((r["item"], r["n"]))
     grams = {g: i for i, g in enumerate(sorted({g for top in rows.values() for g, _ in top}))}
     counts = np.zeros((len(grams) + 1, len(langs)))
     for j, lang in enumerate(langs):
         for g, n in rows[lang]:
             counts[grams[g], j] = n
-    size = np.array([total.get(lang, 0) for lang in langs], dtype=float)
+    size = np.array([total[lang] for lang in langs], dtype=float)
     scores = np.log((counts + 0.5) / (size + 0.5 * (len(grams) + 1)))
     return LanguageModel(langs, grams, scores, used, order, params.switch)
 
@@ -235,7 +248,8 @@ def label_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ``lang_spans`` are ``(lang, first, words)`` over the text's words, its runs of letters, in
     order. ``lang_pred`` is the language of most letters (ties to the smaller name), ``lang_score``
     their share. A null text and one without a letter are ``und`` with score 0 and no spans, as is
-    every text if nothing was learned. Whole texts are labelled; equal texts alike.
+    every text if nothing was learned. Whole texts are labelled; equal texts alike. Columns of these
+    three names in ``docs`` are replaced, all others stay.
     """
     langs = np.array(model.langs, dtype=object)
 
@@ -261,9 +275,11 @@ def label_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     schema = "lang_pred string, lang_score double, lang_spans array<struct<lang string, first int, words int>>"
     label = F.pandas_udf(run, schema)
-    return docs.withColumn("__label", label(F.col("text"))).withColumns(
-        {c: F.col(f"__label.{c}") for c in ("lang_pred", "lang_score", "lang_spans")}
-    ).drop("__label")
+    new = ("lang_pred", "lang_score", "lang_spans")
+    own = [c for c in docs.columns if c.lower() not in new]
+    held = "__label" + "_" * max(map(len, own))  # longer than any other name
+    labelled = docs.select(*own, label(F.col("text")).alias(held))
+    return labelled.select(*own, *(F.col(held).getField(c).alias(c) for c in new))
 
 
 def train_part() -> Column:

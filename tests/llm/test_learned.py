@@ -90,6 +90,31 @@ def test_spans_of_mixed_text(spark, languages):
     assert {r["lang_pred"] for r in langspans.label_languages(docs, nothing).collect()} == {"und"}
 
 
+def test_copies_count_once_and_rare_languages_are_bounded(spark):
+    rows = [("kalo mira " * 5, "aa")] * 400 + [(f"sento{'x' * i} luma", "aa") for i in range(20)]
+    rows += [(f"wacht pfeil{'y' * i}", "bb") for i in range(30)] + [(f"schrum {i}", f"dirt{i:03d}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = langspans.fit_languages(docs, F.lit(True), langspans.LanguageParams(langs=3))
+    assert model.langs == ("aa", "bb", "dirt000")
+    # Of "aa" there are 21 texts: a text that stands 400 times has one share in the grams.
+    aa = np.exp(model.scores[:, 0])
+    assert aa[model.grams["kal"]] < aa[model.grams["sen"]]
+    whole = langspans.fit_languages(docs, F.lit(True), langspans.LanguageParams(cells=152 * 152 * 2))
+    assert len(whole.langs) == 152 and len(whole.grams) <= 2 * 152
+    few = langspans.fit_languages(docs, F.lit(True), langspans.LanguageParams(sample=5, langs=2))
+    assert few.langs == ("aa", "bb")
+
+
+def test_columns_with_the_names_of_results(spark, languages):
+    docs = spark.createDataFrame(
+        [(1, "kalo mira", 5, "s", 7, "l", "w")],
+        "doc_id int, text string, lang_score int, LANG_SPANS string, __label int, label string, row string",
+    )
+    got = langspans.label_languages(docs, languages)
+    assert got.columns == ["doc_id", "text", "__label", "label", "row", "lang_pred", "lang_score", "lang_spans"]
+    assert tuple(got.first())[:7] == (1, "kalo mira", 7, "l", "w", "aa", 1.0)
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(2)
     lengths = [0, 1, 5, 3, 0, 6]
