@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import hash_share
 
-# --- Fixed values: notices of each family, and sentences that only sound like one. ---
+# --- Fixed values: notices of each family, sentences that only sound like one, other licences. ---
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
+        "Licensed under the Apache License, Version 2",
         "Released under the Apache License 2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -29,6 +30,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3",
+        "Licensed under the GNU General Public License, version 2",
         "Licensed under the GPLv3",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
@@ -102,20 +104,35 @@ LOOKALIKES = (
     "The software comes with a license key",
     "Version 3 of the program was published in June",
 )
+OTHERS = (
+    "Licensed under the Apache License, Version 1.1",
+    "Licensed under the Mozilla Public License, version 1.1",
+    "Distributed under the Boost Software License, Version 1.0",
+    "Released under the zlib License",
+    "Licensed under the Eclipse Public License, version 2.0",
+    "Licensed under the Artistic License 2.0",
+    "Licensed under the European Union Public Licence, version 1.2",
+    "Released under the Python Software Foundation License",
+    "SPDX-License-Identifier: BSL-1.0",
+    "SPDX-License-Identifier: EPL-2.0",
+    "This program is licensed under a commercial license, all rights reserved",
+)
 # --- End of fixed values. ---
 
 TOKEN = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 PLACED = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
+VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*)")
 UNKNOWN = "unknown"
 
 
 @dataclass(frozen=True)
 class LicenseParams:
-    """About ``sample`` documents give the paragraphs without a notice that are learned from;
-    ``variants`` of each template are made up. A paragraph is reported if its family has at least
+    """About ``sample`` documents give the paragraphs without a notice that are learned from, ``lines``
+    different ones at most, chosen by hash; ``variants`` of each template are made up. A paragraph is reported if its family has at least
     ``least`` calibrated probability, confirmed if ``similar`` of a template's trigrams are in it."""
 
     sample: int = 400
+    lines: int = 8_000
     variants: int = 24
     least: float = 0.5
     similar: float = 0.6
@@ -179,8 +196,24 @@ class _Finder:
         return sorted(self.features[g] for g in held)
 
 
+def _version(word: str) -> str | None:
+    """A version number without a leading v and final zeros, or None."""
+    found = VERSION.fullmatch(word)
+    return re.sub(r"(\.0)+$", "", found[1]) if found else None
+
+
+def other_version(family: str, words: list[str]) -> bool:
+    """Whether the family is one version of a licence and the words only name others."""
+    own = _version(family.rpartition("-")[2])
+    named = {_version(b) for a, b in grams(words, 2) if a in ("version", "v", "license", "licence")} - {None}
+    return own is not None and bool(named) and own not in named
+
+
 def similarity(model: LicenseModel, family: str, words: list[str]) -> float:
-    """The largest share of a template's trigrams that the words hold, over the family's templates."""
+    """The largest share of a template's trigrams that the words hold, over the family's templates;
+    0 if they name another version of the licence."""
+    if other_version(family, words):
+        return 0.0
     own = {n: set(grams(words, n)) for n in (1, 2, 3)}
     best = 0.0
     for name, shingles in model.shingles:
@@ -198,8 +231,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> LicenseModel:
     """Fit on variants of the templates, look-alikes and paragraphs of a bounded sample of ``docs``.
 
-    Sampled paragraphs that hold a good part of a template are left out. Two thirds of all rows
-    train the weights, the others set the temperature that makes the probabilities honest.
+    Sampled paragraphs that hold a good part of a template are left out. The temperature that makes
+    the probabilities honest is set on rows that the weights have not seen: two halves are fitted,
+    each judged on the other, and a template lies with all its variants in one of them. The weights
+    themselves are then fitted on all rows.
     """
     features, shingles = _vocabulary(), _template_shingles()
     families = (*TEMPLATES, UNKNOWN)
@@ -217,41 +252,44 @@ def fit_licenses(docs: DataFrame, params: LicenseParams = LicenseParams()) -> Li
 
     n = max(1, docs.count())
     some = docs.select("text").filter("text is not null").filter(hash_share(F.col("text"), min(1.0, params.sample / n)))
-    ids = some.mapInPandas(sampled, "ids array<int>").distinct().orderBy("ids").limit(20 * params.sample).toPandas()["ids"]
+    ids = some.mapInPandas(sampled, "ids array<int>").distinct()
+    ids = ids.orderBy(F.xxhash64("ids"), "ids").limit(params.lines).toPandas()["ids"]
     rng = np.random.default_rng(params.seed)
-    rows: list[tuple[list[int], int, float]] = []
+    rows: list[tuple[list[int], int, int]] = []  # features, class, half
     for k, texts in enumerate(TEMPLATES.values()):
-        for text in texts:
+        for i, text in enumerate(texts):
             words = tokens(text)
             for v in range(params.variants):
                 keep = words if v % 4 == 0 or len(words) < 5 else [w for w in words if rng.random() > 0.12]
-                rows.append((finder(keep), k, 1.0))
-    for text in LOOKALIKES:
-        rows += [(finder(tokens(text)), len(TEMPLATES), 1.0)] * params.variants
-    rows += [(list(r), len(TEMPLATES), 1.0) for r in ids]
-    rows.append(([], len(TEMPLATES), float(params.variants)))
-    x = np.zeros((len(rows), len(features)), dtype=np.float32)
+                rows.append((finder(keep), k, i % 2))
+    for i, text in enumerate(LOOKALIKES + OTHERS):
+        rows += [(finder(tokens(text)), len(TEMPLATES), i % 2)] * params.variants
+    rows += [(list(r), len(TEMPLATES), i % 2) for i, r in enumerate(ids)]
+    rows += [([], len(TEMPLATES), half) for half in (0, 1) for _ in range(params.variants)]
+    x = np.zeros((len(rows), len(features)))
     for i, (held, _, _) in enumerate(rows):
         x[i, held] = 1
     y = np.eye(len(families))[[k for _, k, _ in rows]]
-    weight = np.array([w for _, _, w in rows])
-    train = np.arange(len(rows)) % 3 != 0
-    w, b = _descend(x[train], y[train], weight[train], params)
-    logits = x[~train] @ w + b
+    half = np.array([h for _, _, h in rows])
+    logits = np.zeros(y.shape)
+    for h in (0, 1):
+        w, b = _descend(x[half != h], y[half != h], params)
+        logits[half == h] = x[half == h] @ w + b
     losses = {
-        t: -float((weight[~train] * np.log((_softmax(logits / t) * y[~train]).sum(1) + 1e-12)).sum())
+        t: -float(np.log((_softmax(logits / t) * y).sum(1) + 1e-12).sum())
         for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
     }
+    w, b = _descend(x, y, params)
     return LicenseModel(families, features, w, b, min(losses, key=losses.get), shingles)
 
 
-def _descend(x, y, weight, params) -> tuple[np.ndarray, np.ndarray]:
+def _descend(x, y, params) -> tuple[np.ndarray, np.ndarray]:
     w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
-    w_seen, b_seen, t_seen, total = w, b, 1.0, weight.sum()
+    w_seen, b_seen, t_seen, total = w, b, 1.0, len(x)
     rate = 4.0 / max(1.0, float(x.sum(axis=1).mean()))
     w_now, b_now = w, b
     for _ in range(params.steps):
-        error = (_softmax(x @ w_now + b_now) - y) * weight[:, None] / total
+        error = (_softmax(x @ w_now + b_now) - y) / total
         w = w_now - rate * (x.T @ error + params.ridge * w_now)
         b = b_now - rate * error.sum(axis=0)
         t = (1 + (1 + 4 * t_seen * t_seen) ** 0.5) / 2
@@ -342,26 +380,29 @@ def notices(model: LicenseModel, finder: _Finder, windows: _Windows, text: str,
                 else:  # a letter whose lower case is another one
                     more.append((hit[0], start, end, *hit[1:], True))
     touch = lambda x, y: x[1] < y[2] and y[1] < x[2]
-    kept: list[tuple] = []
+    best: list[tuple] = []
     for w in sorted(more, key=lambda w: (-w[4], w[1], w[0])):
-        inside = any(n[5] and n[0] == w[0] and touch(n, w) for n in lines)
-        if not inside and not any(touch(w, k) for k in kept):
-            kept.append(w)
+        if not any(touch(w, k) for k in best):
+            best.append(w)
+    kept = [w for w in best if not any(n[5] and n[0] == w[0] and touch(n, w) for n in lines)]
     lines = [n for n in lines if n[5] or not any(n[0] == k[0] and touch(n, k) for k in kept)]
     return sorted(lines + kept, key=lambda n: (n[1], n[2], n[0]))
 
 
 def classify(model: LicenseModel, finder: _Finder, words: list[str], params: LicenseParams):
-    """Family, probability and similarity of a paragraph, or None if it is of the unknown class."""
+    """Family, probability and similarity of a paragraph, or None if it is of the unknown class.
+
+    The probability is that of the likeliest family against the unknown class."""
     held = finder(words)
     if not held:
         return None
     z = (model.weights[held].sum(axis=0) + model.bias) / model.temperature
     p = _softmax(z[None])[0]
     k = int(p[:-1].argmax())
-    if p[k] < params.least:
+    sure = float(p[k] / (p[k] + p[-1]))
+    if sure < params.least:
         return None
-    return model.families[k], float(p[k]), similarity(model, model.families[k], words)
+    return model.families[k], sure, similarity(model, model.families[k], words)
 
 
 FOUND = "array<struct<family string, start int, end int, probability double, similarity double, confirmed boolean>>"

@@ -184,3 +184,30 @@ def test_wrapped_notices_and_two_in_a_line(spark):
     assert families == [["bsd"], ["isc"], ["mit"], ["apache-2.0", "bsd"], []]
     found = [n for n in got[0]["licenses"] if n["confirmed"]]
     assert bsd[found[0]["start"] : found[0]["end"]].startswith("Redistribution and use")
+
+
+def test_other_licences_and_other_versions(spark):
+    """Notices worded as no template is: of the families, and of licences that are none of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.fit_licenses(docs)
+    assert model.temperature > 1  # templates not seen are judged with less certainty, not with more
+    mine = {
+        "apache-2.0": ["This project is licensed under the Apache License, Version 2.0 (see LICENSE)", "under the Apache License, Version 2"],
+        "mit": ["The code is released under the MIT License, see the file"],
+        "gpl": ["It is licensed under the GNU General Public License, version 2 or later"],
+        "bsd": ["Licensed under the BSD license, see COPYING"],
+        "cc-by": ["This work is licensed under a Creative Commons Attribution 3.0 International License"],
+        "mpl-2.0": ["This code is licensed under the Mozilla Public License, version 2.0"],
+    }
+    others = [
+        "Apache License, Version 1.1", "Licensed under the Apache Software License, Version 1.0", "Boost Software License",
+        "Licensed under the Mozilla Public License, version 1.0", "Common Development and Distribution License, Version 1.0",
+        "Licensed under the Microsoft Public License", "Open Software License 3.0", "Licensed under the Q Public License",
+        "SPDX-License-Identifier: Zlib", "She renewed the license under a new name", "The permission was granted free of charge",
+    ]
+    rows = [(i, t, f) for i, (f, t) in enumerate((f, t) for f, ts in mine.items() for t in ts)]
+    rows += [(100 + i, t, None) for i, t in enumerate(others)]
+    got = licenses.find_licenses(spark.createDataFrame(rows, "doc_id int, text string, family string"), model).collect()
+    found = {r["text"]: {n["family"] for n in r["licenses"] if n["confirmed"]} for r in got}
+    assert {t: f for t, f in found.items()} == {t: ({f} if f else set()) for _, t, f in rows}
+    assert not any(r["licenses"] for r in got if r["text"] in ("Apache License, Version 1.1", "Boost Software License"))
