@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,30 @@ class FormFilter:
         return F.when(key.isNotNull(), reduce(lambda a, b: a & b, tests))
 
 
+def replaced_forms(tokens: ColumnOrName, lookup: DataFrame) -> Column:
+    """Tokens found in ``lookup(form, lemma)`` replaced, the others as they are; one row a form.
+
+    The table is broadcast, so it must be within the broadcast limits; it is probed by Arrow, one batch
+    of rows at a time. No token leaves its row.
+    """
+    shared = lookup.sparkSession.sparkContext.broadcast(lookup.select("form", "lemma").toArrow().combine_chunks())
+
+    @F.arrow_udf("array<string>")
+    def replaced(lists: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        table = shared.value
+        words = lists.flatten()
+        at = pc.index_in(words, value_set=table["form"].cast(words.type), skip_nulls=True)
+        words = pc.coalesce(pc.take(table["lemma"].cast(words.type).combine_chunks(), at), words)
+        # Null rows may hide words, which flatten leaves out; sizes tell where the others lie.
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0))
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+        return pa.ListArray.from_arrays(offsets, words, mask=lists.is_null())
+
+    return replaced(_col(tokens))
+
+
 def count_terms(tokens: ColumnOrName) -> Column:
     """Distinct tokens with their counts: ``array<struct<term, tf>>``, NULL for no tokens.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom import config as C
 from corpusloom.functions import tokens as K
 from corpusloom.operators import lookups as J
-from corpusloom.session import fits_inline, lookup_size, write_scratch
+from corpusloom.session import fits_broadcast, fits_inline, lookup_size, write_scratch
 
 # Up to this many words a list is written into the plan as a hash set.
 INLINE_WORDS = 10_000
@@ -84,14 +84,16 @@ def lemmatize(
     """Replace tokens by their lemmas from ``(form, lemma)``; unknown tokens stay.
 
     Entries without a form or lemma are left out, and of several lemmas of a form the smallest is
-    taken. A dictionary within the inline limits is looked up inside each row. A larger one, or any
-    with ``strategy="join"``, is joined to the tokens that may be in it, by a shuffle of those by word
-    and one of the rows. Both give the same rows.
+    taken. A dictionary within the inline limits is looked up inside each row, one within the broadcast
+    limits in batches of rows. A larger one, or any with ``strategy="join"``, is joined to the tokens
+    that may be in it, by a shuffle of those by word and one of the rows. All give the same rows.
     """
     lemmas = write_scratch(J.one_lemma(lemmas), "lemma-table")
     rows, size = lookup_size(lemmas)
-    if strategy == "join" or not fits_inline(rows, size):
+    if strategy == "join" or not fits_broadcast(rows, size):
         return J.rewrite_tokens(docs, lemmas, tokens, out, key)
+    if not fits_inline(rows, size):
+        return docs.withColumn(out, K.replaced_forms(tokens, lemmas))
     table = K.InlineLookup(lemmas, "form", "lemma", rows)
     return docs.withColumn(
         out, F.transform(tokens, lambda token: F.coalesce(table.get(token), token))

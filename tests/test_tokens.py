@@ -7,6 +7,7 @@ from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
 from pyspark.sql import functions as F
 
 from corpusloom import config as C
+from corpusloom import session
 from corpusloom.functions import tokens as K
 from corpusloom.operators import lookups as J
 from corpusloom.operators import tokens as T
@@ -242,3 +243,19 @@ def test_all_paths_give_the_same_rows(spark, monkeypatch, limits):
         [(1, ["a", "b", "null", "g1"]), (1, ["b", "delta"]), (2, []), (3, None), (4, ["b", "b", "x"]), (4, ["b", "b", "x"]),
          (None, ["g1"]), (None, ["delta", "b"])], key=str
     )
+
+
+def test_a_dictionary_beyond_the_inline_limits_is_probed_without_a_shuffle(spark, monkeypatch):
+    """All three ways give the same rows; nulls, empty rows and equal keys included."""
+    monkeypatch.setattr(session, "INLINE_ROWS", 2)
+    rows = [(1, ["cats", None, "dog"]), (1, ["dogs"]), (None, []), (2, None), (3, ["cats"] * 3 + ["Cats", ""]), (None, ["mice"])]
+    docs = spark.createDataFrame(rows, "doc_id long, words_filtered array<string>").coalesce(1)
+    lemmas = spark.createDataFrame(
+        [("cats", "cat"), ("dogs", "dog"), ("dogs", "hound"), ("mice", "mouse"), (None, "x"), ("dog", None)], "form string, lemma string"
+    )
+    probed = T.lemmatize(docs, lemmas)
+    assert "Exchange" not in probed._jdf.queryExecution().executedPlan().toString()
+    got = sorted((repr(r["doc_id"]), repr(r["tokens"])) for r in probed.collect())
+    want = [(1, ["cat", None, "dog"]), (1, ["dog"]), (None, []), (2, None), (3, ["cat"] * 3 + ["Cats", ""]), (None, ["mouse"])]
+    assert got == sorted((repr(k), repr(t)) for k, t in want)
+    assert probed.dtypes == T.lemmatize(docs, lemmas, strategy="join").dtypes
