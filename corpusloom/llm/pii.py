@@ -299,16 +299,30 @@ def _lessons(number: int, seen: Column) -> Column:
 
 
 def _seen(text: Column, base: Column) -> Column:
-    """``array<struct<kind, value, before, after>>``: up to four base spans of each kind of a text."""
-    of = lambda number: F.slice(F.filter(base, lambda b: b["kind"] == number), 1, 4)
-    before = lambda b: F.greatest(b["start"] - 24, F.lit(0))
-    cut = lambda b: F.struct(
-        b["kind"].alias("kind"),
-        F.substr(text, b["start"] + 1, b["end"] - b["start"]).alias("value"),
-        F.substr(text, before(b) + 1, b["start"] - before(b)).alias("before"),
-        F.substr(text, b["end"] + 1, F.lit(1)).alias("after"),
-    )
-    return F.transform(F.concat(*(of(number) for number in range(len(KINDS)))), cut)
+    """``array<struct<kind, value, before, after>>``: every base span of a text, with its context."""
+    def cut(own: Column, begin: Column, b: Column) -> Column:
+        before = F.greatest(b["start"] - 24, F.lit(0))
+        return F.struct(
+            b["kind"].alias("kind"),
+            F.substr(own, b["start"] - begin + 1, b["end"] - b["start"]).alias("value"),
+            F.substr(own, before - begin + 1, b["start"] - before).alias("before"),
+            F.substr(own, b["end"] - begin + 1, F.lit(1)).alias("after"),
+        )
+
+    def part(block: Column) -> Column:
+        # A block's own stretch of the text, so that a long text is not read from its start for each span.
+        begin = F.greatest(F.get(block, 0)["start"] - 24, F.lit(0))
+        own = F.substr(text, begin + 1, F.element_at(block, -1)["end"] + 1 - begin)
+        held = F.struct(own.alias("own"), begin.alias("begin"))
+        return _let(held, lambda v: F.transform(block, lambda b: cut(v["own"], v["begin"], b)))
+
+    def of(number: int) -> Column:
+        spans = F.filter(base, lambda b: b["kind"] == number)
+        none = F.array().cast("array<struct<kind:int,value:string,before:string,after:string>>")
+        cuts = _let(_blocks(spans), lambda blocks: F.flatten(F.transform(blocks, part)))
+        return F.when(F.size(spans) > 0, cuts).otherwise(none)
+
+    return F.concat(*(of(number) for number in range(len(KINDS))))
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -340,8 +354,9 @@ def _described(number: int, base: Column):
 def accepted_vectors(found: DataFrame, params: PiiParams) -> list[str]:
     """The feature combinations whose candidates are redacted.
 
-    ``_lessons`` of the base spans seen and of ``_SEEDS`` are counted by combination; candidates of
-    the corpus have no label. For each kind trees are boosted on one half of the lessons, by the text
+    ``_lessons`` of all base spans and of ``_SEEDS`` are counted by combination; spans that agree in
+    value and context make theirs once and count as often as they occur. Candidates of the corpus have
+    no label. For each kind trees are boosted on one half of the lessons, by the text
     they come from, and calibrated on the other: a kind's threshold is the lowest score above which
     ``params.precision`` of at least ``params.least`` lessons are right. No such score: nothing of
     the kind is added.
@@ -351,16 +366,18 @@ def accepted_vectors(found: DataFrame, params: PiiParams) -> list[str]:
     base = found.select("half", F.explode("seen").alias("s")).select("half", "s.*").unionByName(
         spark.createDataFrame(seeds, "half long, kind int, value string, before string, after string")
     )
+    base = base.groupBy("half", "kind", "value", "before", "after").agg(F.count(F.lit(1)).alias("times"))
     seen = F.struct("value", "before", "after")
     by_kind = lambda of: F.coalesce(*(F.when(F.col("kind") == n, of(n)) for n in range(len(KINDS))))
-    made = base.select("half", "kind", F.explode(by_kind(lambda n: _lessons(n, seen))).alias("m"))
+    made = base.select("half", "kind", "times", F.explode(by_kind(lambda n: _lessons(n, seen))).alias("m"))
     whole = by_kind(lambda n: F.col("m.value").rlike(rf"^(?:{WIDE[KINDS[n]]})$"))
     vec = by_kind(lambda n: _features(n, F.col("m")))
-    rows = made.filter(whole).select("half", vec.alias("vec"), "m.label", F.lit(0).alias("real"))
+    rows = made.filter(whole).select("half", vec.alias("vec"), "m.label", "times", F.lit(0).alias("real"))
     real = found.select("half", F.explode("cands").alias("c")).filter("c.free")
-    rows = rows.unionByName(real.select("half", "c.vec", F.lit(None).cast("int").alias("label"), F.lit(1).alias("real")))
+    rows = rows.unionByName(real.select("half", "c.vec", F.lit(None).cast("int").alias("label"), F.lit(1).alias("times"), F.lit(1).alias("real")))
+    counted = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("label") == y), F.col("times")).otherwise(0))
     vectors = rows.groupBy("vec").agg(
-        *(F.count(F.when((F.col("half") == h) & (F.col("label") == y), 1)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)),
+        *(counted(h, y).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)),
         F.max("real").alias("real"),
     )
     split = F.split("vec", "[|]")

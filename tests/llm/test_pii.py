@@ -142,3 +142,20 @@ def test_variants_are_redacted_however_many(spark):
     assert not wrong, (len(wrong), wrong[:8])
     few = docs.filter("doc_id < 4")
     assert {r["doc_id"]: r["text"] for r in pii.redact_documents(few).collect()} == {i: want[i] for i in range(4)}
+
+
+def test_all_base_spans_are_learned_from(spark, monkeypatch):
+    """A text with many spans of a kind gives lessons for each, and repeats count."""
+    kept = {}
+    write = pii.write_scratch
+    monkeypatch.setattr(pii, "write_scratch", lambda df, name: kept.setdefault(name, write(df, name)))
+
+    def lessons(texts):
+        kept.clear()
+        pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+        return sum(r["n"] for r in kept["candidate-kinds"].select(F.expr("n00 + n01 + n10 + n11").alias("n")).collect())
+
+    none = lessons([""])
+    one = lessons(["server 10.1.2.3 x"]) - none
+    assert one > 0
+    assert lessons([" ".join(["server 10.1.2.3 x"] * 9)]) - none == 9 * one
