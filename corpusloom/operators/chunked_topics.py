@@ -24,12 +24,13 @@ from corpusloom.operators.topics import fit_tasks
 from corpusloom.session import write_scratch
 
 BLOCK = 4096  # terms whose sums travel together
+CELLS = 1 << 19  # topics by terms of the documents that are inferred together
 ROUNDS, CLOSE = 100, 1e-3  # of a document's inference: rounds at most, mean change at which it ends
 
 
-def _inference():
-    """``(digamma, infer)``, nested so that tasks get their code and need not have this package."""
-    rounds, close = ROUNDS, CLOSE
+def _together():
+    """``(digamma, infer_all, blocks)``, nested so that tasks get their code and need not have this package."""
+    rounds, close, cells_at_once = ROUNDS, CLOSE, CELLS
 
     def digamma(x):
         """By the recurrence up to 6, then by the asymptotic series."""
@@ -41,20 +42,58 @@ def _inference():
         y = 1 / (x * x)
         return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
 
+    def infer_all(beta, alpha, ids, counts, lengths):
+        """Topic weights of some documents, and their terms' shares of them: ``(gamma, theta, norm)``.
+
+        The terms of the documents, ``lengths`` of each and none of 0, stand one after another. A
+        document ends by itself, so its result does not depend on those beside it.
+        """
+        k, n = len(beta), len(lengths)
+        out, out_theta, out_norm = np.empty((k, n)), np.empty((k, n)), np.empty(len(ids))
+        docs, cells, open_ = np.arange(n), np.arange(len(ids)), np.ones(n, dtype=bool)
+        own, doc = beta[:, ids], np.repeat(docs, lengths)
+        gamma = np.ones((k, n))
+        theta = np.exp(digamma(gamma) - digamma(gamma.sum(axis=0)))
+        norm = (theta[:, doc] * own).sum(axis=0) + 1e-100
+        for round_ in range(rounds):
+            before, starts = gamma, np.cumsum(lengths) - lengths
+            gamma = alpha + theta * np.add.reduceat(own * (counts / norm), starts, axis=1)
+            theta = np.exp(digamma(gamma) - digamma(gamma.sum(axis=0)))
+            norm = (theta[:, doc] * own).sum(axis=0) + 1e-100
+            ends = open_ & ((np.abs(gamma - before).mean(axis=0) < close) | (round_ == rounds - 1))
+            if ends.any():
+                out[:, docs[ends]], out_theta[:, docs[ends]] = gamma[:, ends], theta[:, ends]
+                out_norm[cells[ends[doc]]] = norm[ends[doc]]
+                open_ = open_ & ~ends
+                if not open_.any():
+                    break
+                if 4 * open_.sum() <= 3 * len(open_):
+                    left = open_[doc]
+                    own, counts, norm, cells = own[:, left], counts[left], norm[left], cells[left]
+                    gamma, theta, docs, lengths = gamma[:, open_], theta[:, open_], docs[open_], lengths[open_]
+                    doc, open_ = np.repeat(np.arange(len(docs)), lengths), np.ones(len(docs), dtype=bool)
+        return out, out_theta, out_norm
+
+    def blocks(frame, k):
+        """``(rows, ids, counts, lengths)`` of the documents with terms, some cells at a time."""
+        sizes = np.array([len(i) for i in frame["ids"]], dtype=np.int64)
+        rows = np.flatnonzero(sizes)
+        parts = np.cumsum(sizes[rows]) * k // cells_at_once
+        for own in np.split(rows, np.flatnonzero(np.diff(parts)) + 1) if len(rows) else ():
+            lists = [np.concatenate([np.asarray(frame[c].iloc[r]) for r in own]) for c in ("ids", "counts")]
+            yield own, lists[0], lists[1].astype(float), sizes[own]
+
+    return digamma, infer_all, blocks
+
+
+def _inference():
+    """``(digamma, infer)`` for one document."""
+    digamma, infer_all, _ = _together()
+
     def infer(beta, alpha, ids, counts):
         """A document's topic weights, and its terms' shares of them: ``(gamma, theta, counts / norm)``."""
-        own = beta[:, ids]
-        gamma = np.ones(len(beta))
-        theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-        norm = theta @ own + 1e-100
-        for _ in range(rounds):
-            before = gamma
-            gamma = alpha + theta * (own @ (counts / norm))
-            theta = np.exp(digamma(gamma) - digamma(gamma.sum()))
-            norm = theta @ own + 1e-100
-            if np.abs(gamma - before).mean() < close:
-                break
-        return gamma, theta, counts / norm
+        gamma, theta, norm = infer_all(beta, alpha, ids, counts, np.array([len(ids)]))
+        return gamma[:, 0], theta[:, 0], counts / norm
 
     return digamma, infer
 
@@ -76,26 +115,24 @@ class ChunkedModel:
 
     def _inferred(self, docs: DataFrame, key: str, with_bound: bool) -> DataFrame:
         shared, alpha = docs.sparkSession.sparkContext.broadcast(self._beta), 1.0 / self.settings.topics
-        digamma, infer = _inference()
+        digamma, infer_all, blocks = _together()
         log_gamma = lgamma
 
         def run(frames):
             beta = shared.value
             k = len(beta)
             for frame in frames:
-                shares, bounds, mass = [], [], []
-                for ids, counts in zip(frame["ids"], frame["counts"]):
-                    if not len(ids):
-                        shares.append(np.zeros(k)), bounds.append(0.0), mass.append(0.0)
-                        continue
-                    gamma, theta, ratio = infer(beta, alpha, np.asarray(ids), np.asarray(counts, dtype=float))
-                    shares.append(gamma / gamma.sum())
-                    mass.append(float(sum(counts)))
-                    log_theta = digamma(gamma) - digamma(gamma.sum())
-                    fit = float((np.asarray(counts) * np.log(np.asarray(counts) / ratio)).sum())
-                    prior = float(((alpha - gamma) * log_theta).sum()) + sum(map(log_gamma, gamma)) - k * log_gamma(alpha)
-                    bounds.append(fit + prior + log_gamma(k * alpha) - log_gamma(float(gamma.sum())))
-                yield pd.DataFrame({key: frame[key], "topicDistribution": shares, "bound": bounds, "mass": mass})
+                shares, bounds, mass = np.zeros((len(frame), k)), np.zeros(len(frame)), np.zeros(len(frame))
+                for rows, ids, counts, lengths in blocks(frame, k):
+                    gamma, _, norm = infer_all(beta, alpha, ids, counts, lengths)
+                    total, starts = gamma.sum(axis=0), np.cumsum(lengths) - lengths
+                    shares[rows], mass[rows] = (gamma / total).T, np.add.reduceat(counts, starts)
+                    if with_bound:
+                        log_theta = digamma(gamma) - digamma(total)
+                        fit = np.add.reduceat(counts * np.log(norm), starts) + ((alpha - gamma) * log_theta).sum(axis=0)
+                        prior = [sum(map(log_gamma, g)) - log_gamma(t) for g, t in zip(gamma.T, total)]
+                        bounds[rows] = fit + prior + (log_gamma(k * alpha) - k * log_gamma(alpha))
+                yield pd.DataFrame({key: frame[key], "topicDistribution": list(shares), "bound": bounds, "mass": mass})
 
         kind = docs.schema[key].dataType.simpleString()
         out = term_lists(docs.select(key, "tokens"), self.vocab, key).mapInPandas(
@@ -194,18 +231,20 @@ def fit_by_chunks(
 def _summed(rows: DataFrame, shared, k: int, size: int, settings: TopicParams) -> np.ndarray:
     """The sums over a chunk's documents of their topics' shares in each term."""
     alpha, block = 1.0 / settings.topics, BLOCK
-    _, infer = _inference()
+    _, infer_all, blocks = _together()
 
     def run(frames):
         beta = shared.value
         sums, seen, first = np.zeros((k, size)), False, 0
         for frame in frames:
             first = int(frame["part"].iloc[0]) if not seen and len(frame) else first
-            for ids, counts in zip(frame["ids"], frame["counts"]):
-                if len(ids):
-                    _, theta, ratio = infer(beta, alpha, np.asarray(ids), np.asarray(counts, dtype=float))
-                    sums[:, ids] += np.outer(theta, ratio)
-                    seen = True
+            for _, ids, counts, lengths in blocks(frame, k):
+                _, theta, norm = infer_all(beta, alpha, ids, counts, lengths)
+                terms, at = np.unique(ids, return_inverse=True)
+                ratio, doc = counts / norm, np.repeat(np.arange(len(lengths)), lengths)
+                for topic in range(k):
+                    sums[topic, terms] += np.bincount(at, weights=theta[topic, doc] * ratio, minlength=len(terms))
+                seen = True
         for b in range(0, size if seen else 0, block):
             yield pd.DataFrame({"block": [b], "part": [first], "sums": [sums[:, b : b + block].tobytes()]})
 

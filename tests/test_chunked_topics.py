@@ -3,6 +3,7 @@
 from math import lgamma
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,28 @@ def test_awkward_documents(spark, planted):
     shares = model.mixtures(odd).collect()
     assert sorted(r["dominant_topic"] is None for r in shares) == [False, False, True, True]
     assert model.quality(odd.filter("doc_id = 7")).first()["perplexity"] is None
+
+
+def test_documents_inferred_together_have_the_results_of_each_alone():
+    """Each document ends by itself; against one plain loop a document."""
+    digamma, infer_all, blocks = O._together()
+    rng = np.random.default_rng(3)
+    beta, alpha = rng.gamma(1.0, 1.0, (4, 50)) / 50, 0.25
+    lengths = rng.integers(0, 30, 200)
+    lists = [rng.choice(50, n, replace=False) for n in lengths]
+    frame = pd.DataFrame({"ids": lists, "counts": [rng.integers(1, 9, n).astype(float) for n in lengths]})
+    done = []
+    for rows, ids, counts, sizes in blocks(frame, 2000):
+        gamma, theta, norm = infer_all(beta, alpha, ids, counts, sizes)
+        ends = np.cumsum(sizes)
+        for i, (row, end, n) in enumerate(zip(rows, ends, sizes)):
+            own, c, g = beta[:, lists[row]], frame["counts"][row], np.ones(4)
+            t = np.exp(digamma(g) - digamma(g.sum()))
+            for _ in range(O.ROUNDS):
+                before, g = g, alpha + t * (own @ (c / (t @ own + 1e-100)))
+                t = np.exp(digamma(g) - digamma(g.sum()))
+                if np.abs(g - before).mean() < O.CLOSE:
+                    break
+            assert np.allclose(gamma[:, i], g) and np.allclose(theta[:, i], t) and np.allclose(norm[end - n : end], t @ own)
+            done.append(row)
+    assert done == list(np.flatnonzero(lengths))
