@@ -108,7 +108,11 @@ class PieceTable:
         return out
 
     def encode_part(self, text: str) -> bytes:
-        return b"".join([ids for ids, _ in self.parts(text)])
+        """The ids of a word, which ``encode`` keeps; one of a single part is not kept a second time."""
+        parts = self.parts(text)
+        if len(parts) == 1:
+            self.known.pop(text, None)
+        return b"".join([ids for ids, _ in parts])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; parts that recur are encoded once."""
