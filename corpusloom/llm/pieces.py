@@ -21,7 +21,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\udc81"  # how a space is written; how that sign itself is, in a text
 UNIT = 1 << 16
 NEVER = -(1 << 60)
-CACHED_WORDS = 600_000
+# Of the words met last, and of their parts, up to twice as many are kept: about 250 bytes each.
+CACHED_WORDS, CACHED_PARTS = 150_000, 75_000
 CHUNK = 1 << 16
 
 
@@ -40,6 +41,8 @@ class PieceTable:
     pairs: frozenset[str]  # neighbouring characters of pieces; between others no piece lies
     seen: dict[str, bytes] = field(default_factory=dict)
     known: dict[str, tuple[bytes, int]] = field(default_factory=dict)
+    seen_before: dict[str, bytes] = field(default_factory=dict)
+    known_before: dict[str, tuple[bytes, int]] = field(default_factory=dict)
 
     def forward(self, text: str, entries: list[tuple[int, int]], limit: int):
         """Best scores of the positions of ``text`` reached by pieces that begin before ``limit``,
@@ -90,12 +93,15 @@ class PieceTable:
         """The ids and the score of a text that no piece reaches out of; kept for the next time."""
         found = self.known.get(text)
         if found is None:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-            best, back = self.forward(text, [(0, 0)], len(text))
-            pieces, _ = self.chain(text, back, len(text))
-            ids = np.array([i for ids in pieces for i in ids], "<i4").tobytes()
-            found = self.known[text] = ids, best[len(text)]
+            if len(self.known) >= CACHED_PARTS:
+                # Parts that recur come back from the older dict; the others go with it.
+                self.known, self.known_before = {}, self.known
+            found = self.known_before.get(text)
+            if found is None:
+                best, back = self.forward(text, [(0, 0)], len(text))
+                pieces, _ = self.chain(text, back, len(text))
+                found = np.array([i for ids in pieces for i in ids], "<i4").tobytes(), best[len(text)]
+            self.known[text] = found
         return found
 
     def parts(self, text: str) -> list[tuple[bytes, int]]:
@@ -115,23 +121,22 @@ class PieceTable:
         return b"".join([ids for ids, _ in parts])
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text; parts that recur are encoded once."""
+        """The ids of a text; parts that recur are encoded once, and kept without their first space."""
         if not text:
             return np.zeros(0, "<i4")
         parts = text.split(" ")
         if "" in parts or SPACE in text:
             # Runs of spaces may be pieces, so they stay with the word that follows.
-            parts = re.findall(f"{SPACE}*[^{SPACE}]*", written(text))[:-1]
-        else:
-            parts = [SPACE + p for p in parts]
-        seen = self.seen
-        if len(seen) > CACHED_WORDS:
-            seen.clear()
+            parts = [p[1:] for p in re.findall(f"{SPACE}+[^{SPACE}]*", written(text))]
+        if len(self.seen) >= CACHED_WORDS:
+            self.seen, self.seen_before = {}, self.seen
+        seen, before = self.seen, self.seen_before
         try:
             return np.frombuffer(b"".join([seen[p] for p in parts]), "<i4")
         except KeyError:
             for part in {p for p in parts if p not in seen}:
-                seen[part] = self.encode_part(part)
+                ids = before.get(part)
+                seen[part] = self.encode_part(SPACE + part) if ids is None else ids
         return np.frombuffer(b"".join([seen[p] for p in parts]), "<i4")
 
     def decode(self, ids) -> str:
@@ -145,10 +150,13 @@ def written(text: str) -> str:
     return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
+_CACHES = ("seen", "known", "seen_before", "known_before")
+
+
 def shared_table(spark, table: PieceTable):
     """A broadcast of plain dicts and lists, a few MB whatever the corpus: a broadcast is pickled by
     name, so an object would need this package on the executors."""
-    plain = {f.name: getattr(table, f.name) for f in fields(table) if f.name not in ("seen", "known")}
+    plain = {f.name: getattr(table, f.name) for f in fields(table) if f.name not in _CACHES}
     return spark.sparkContext.broadcast(plain)
 
 

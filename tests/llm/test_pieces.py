@@ -129,3 +129,20 @@ def _java() -> dict[str, str]:
     import os
 
     return {k: v for k, v in os.environ.items() if k in ("JAVA_HOME", "PATH", "SPARK_LOCAL_IP")}
+
+
+def test_kept_words_are_bounded_and_recent_ones_stay(monkeypatch):
+    """Whatever is read, no more than twice the words of a dict are held, and results do not change."""
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 50)
+    monkeypatch.setattr(pieces, "CACHED_PARTS", 20, raising=False)
+    table, fresh = pieces.load_pieces(), pieces.load_pieces()
+    rng = random.Random(5)
+    for i in range(60):
+        text = "again " + " ".join("".join(rng.choices("abcé1中", k=rng.randint(1, 9))) for _ in range(10))
+        text += rng.choice(["", "  ", " ▁ x"])
+        fresh = pieces.PieceTable(**{f: getattr(fresh, f) for f in list(fresh.__dataclass_fields__)[:8]})
+        assert table.encode(text).tolist() == fresh.encode(text).tolist()
+        assert table.decode(table.encode(text).tolist()) == text
+        assert "again" in table.seen or "again" in table.seen_before
+        assert len(table.seen) + len(table.seen_before) <= 2 * 65
+        assert len(table.known) + len(table.known_before) <= 2 * 20
