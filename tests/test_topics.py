@@ -134,3 +134,20 @@ def test_the_best_of_some_fits_is_kept(spark, monkeypatch):
     monkeypatch.setattr(O.TopicModel, "quality", figure)
     assert O.fit_best(docs, settings).settings.seed == 8
     assert seen == [(7, False), (8, True), (9, True)]
+
+
+def test_the_optimizer_keeps_the_vectors_itself(docs, monkeypatch):
+    """It does so only for a table that is not cached; a cached one is decoded whole in every step."""
+    from corpusloom.operators import topics as O
+
+    levels, made = [], O._lda
+
+    def watched(settings):
+        lda = made(settings)
+        fit = lda.fit
+        monkeypatch.setattr(lda, "fit", lambda rows: levels.append(rows.storageLevel) or fit(rows), raising=False)
+        return lda
+
+    monkeypatch.setattr(O, "_lda", watched)
+    fit_topics(docs, replace(SETTINGS, max_iter=2))
+    assert [(level.useMemory, level.useDisk) for level in levels] == [(False, False)]
