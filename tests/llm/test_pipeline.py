@@ -71,3 +71,32 @@ def test_extra_columns_of_any_name_are_carried(spark, tmp_path, name):
     assert rows
     for r in rows:
         assert [r[c] for c in INNER] == [r["doc_id"] * 100 + k for k in range(len(INNER))]
+
+
+def test_texts_go_to_workers_in_small_batches(spark, sf_dir):
+    """A task of 12 MB of texts comes in several batches, short rows still come ten thousand at once; a
+    setting of the session's own stays."""
+    import pyarrow as pa
+
+    name = corpus_pipeline.BATCH_SETTING
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "n"])
+
+    def seen(rows):
+        return rows.coalesce(1).mapInArrow(sizes, "bytes bigint, n bigint").collect()
+
+    docs = spark.createDataFrame([(1, "a text", "en", "a", 6)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    try:
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.near_dedup, corpus_pipeline.mix, corpus_pipeline.encode):
+            spark.conf.unset(name)
+            stage(spark, docs, sf_dir)
+            got = seen(spark.range(3000).select(F.repeat(F.lit("x"), 4000).alias("text")))
+            assert sum(r["n"] for r in got) == 3000 and max(r["bytes"] for r in got) < 5 << 20
+            assert max(r["n"] for r in seen(spark.range(20_000))) == 10_000
+        spark.conf.set(name, "2m")
+        corpus_pipeline.encode(spark, docs, sf_dir)
+        assert spark.conf.get(name) == "2m"
+    finally:
+        spark.conf.unset(name)
