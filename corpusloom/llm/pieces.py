@@ -21,8 +21,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\udc81"  # how a space is written; how that sign itself is, in a text
 UNIT = 1 << 16
 NEVER = -(1 << 60)
-# Of the words met last, and of their parts, up to twice as many are kept: about 250 bytes each.
+# Of the words met last, and of the parts of long ones, up to twice as many are kept: about 250 bytes each.
 CACHED_WORDS, CACHED_PARTS = 150_000, 75_000
+LONG_WORD = 64  # characters of the words that are cut into parts
+TOGETHER = 1 << 20  # characters of the texts whose words are encoded together
 CHUNK = 1 << 16
 
 
@@ -43,6 +45,7 @@ class PieceTable:
     known: dict[str, tuple[bytes, int]] = field(default_factory=dict)
     seen_before: dict[str, bytes] = field(default_factory=dict)
     known_before: dict[str, tuple[bytes, int]] = field(default_factory=dict)
+    tails: dict[str, list] = field(default_factory=dict)
 
     def forward(self, text: str, entries: list[tuple[int, int]], limit: int):
         """Best scores of the positions of ``text`` reached by pieces that begin before ``limit``,
@@ -114,30 +117,92 @@ class PieceTable:
         return out
 
     def encode_part(self, text: str) -> bytes:
-        """The ids of a word, which ``encode`` keeps; one of a single part is not kept a second time."""
+        """The ids of a long word, which ``encode`` keeps; one of a single part is not kept a second time."""
         parts = self.parts(text)
         if len(parts) == 1:
             self.known.pop(text, None)
         return b"".join([ids for ids, _ in parts])
 
+    def backwards(self) -> dict[str, list]:
+        """The pieces from their last character on: ``[what stands before it, score, id]`` by character."""
+        if not self.tails:
+            for name, i in self.pieces.items():
+                level = self.tails
+                for c in reversed(name):
+                    node = level.setdefault(c, [{}, None, None])
+                    level = node[0]
+                node[1:] = self.scores[i], np.array([i], "<i4").tobytes()
+        return self.tails
+
+    def encode_words(self, words) -> dict[str, bytes]:
+        """The ids of different short words, each with a space before it.
+
+        The best chain to a position depends on nothing behind it, so in sorted order a word goes on
+        from the characters that it has in common with the one before.
+        """
+        tails, unknown, out = self.backwards(), self.unknown, {}
+        best, ids, last = [0], [b""], ""
+        for word in sorted(words):
+            text = SPACE + word
+            shared, most = 0, min(len(last), len(text))
+            while shared < most and last[shared] == text[shared]:
+                shared += 1
+            del best[shared + 1 :], ids[shared + 1 :]
+            for end in range(shared, len(text)):
+                begin, node = end, tails.get(text[end])
+                if node is None or node[1] is None:
+                    # No piece is this character alone: it is written as bytes.
+                    top, at, own = best[end] + unknown, end, np.array(self.ids(text[end]), "<i4").tobytes()
+                else:
+                    top = NEVER
+                while node is not None:
+                    before, score, piece = node
+                    if score is not None:
+                        score += best[begin]
+                        if score >= top:
+                            top, at, own = score, begin, piece
+                    if not begin:
+                        break
+                    begin -= 1
+                    node = before.get(text[begin])
+                best.append(top)
+                ids.append(ids[at] + own)
+            out[word] = ids[-1]
+            last = text
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text; parts that recur are encoded once, and kept without their first space."""
-        if not text:
-            return np.zeros(0, "<i4")
-        parts = text.split(" ")
-        if "" in parts or SPACE in text:
-            # Runs of spaces may be pieces, so they stay with the word that follows.
-            parts = [p[1:] for p in re.findall(f"{SPACE}+[^{SPACE}]*", written(text))]
-        if len(self.seen) >= CACHED_WORDS:
-            self.seen, self.seen_before = {}, self.seen
-        seen, before = self.seen, self.seen_before
-        try:
-            return np.frombuffer(b"".join([seen[p] for p in parts]), "<i4")
-        except KeyError:
-            for part in {p for p in parts if p not in seen}:
-                ids = before.get(part)
-                seen[part] = self.encode_part(SPACE + part) if ids is None else ids
-        return np.frombuffer(b"".join([seen[p] for p in parts]), "<i4")
+        """The ids of a text, see ``encode_all``."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; words that recur are encoded once, and kept without their first space."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(words_of(text))
+            size += len(text or "")
+            if size >= TOGETHER:
+                out += self._encode_group(group)
+                group, size = [], 0
+        return out + self._encode_group(group)
+
+    def _encode_group(self, group: list[list[str]]) -> list[np.ndarray]:
+        needed = set().union(*group)
+        new = needed - self.seen.keys()
+        if len(self.seen) + len(new) > CACHED_WORDS:
+            # Words that recur come back from the older dict; the others go with it.
+            self.seen, self.seen_before, new = {}, self.seen, needed
+        seen, before, short = self.seen, self.seen_before, []
+        for word in new:
+            ids = before.get(word)
+            if ids is not None:
+                seen[word] = ids
+            elif len(word) > LONG_WORD:
+                seen[word] = self.encode_part(SPACE + word)
+            else:
+                short.append(word)
+        seen.update(self.encode_words(short))
+        return [np.frombuffer(b"".join([seen[w] for w in words]), "<i4") for words in group]
 
     def decode(self, ids) -> str:
         known = self.written
@@ -150,7 +215,18 @@ def written(text: str) -> str:
     return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
-_CACHES = ("seen", "known", "seen_before", "known_before")
+def words_of(text: str | None) -> list[str]:
+    """A text cut before its spaces, each word without the first space before it."""
+    if not text:
+        return []
+    words = text.split(" ")
+    if "" in words or SPACE in text:
+        # Runs of spaces may be pieces, so they stay with the word that follows.
+        words = [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", written(text))]
+    return words
+
+
+_CACHES = ("seen", "known", "seen_before", "known_before", "tails")
 
 
 def shared_table(spark, table: PieceTable):
@@ -413,7 +489,7 @@ def encode_documents(docs: DataFrame, table: PieceTable, chunk: int = CHUNK) ->
         table = _rebuilt(shared)
         for part in _parts_of(batches):
             texts = part.column(len(keep)).to_pylist()
-            yield _with_ids(part, len(keep), [table.encode(t) for t in texts], texts, table)
+            yield _with_ids(part, len(keep), table.encode_all(texts), texts, table)
 
     length = F.coalesce(F.length("text"), F.lit(0))
     rows = docs.select(*keep, "text")

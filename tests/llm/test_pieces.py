@@ -146,3 +146,25 @@ def test_kept_words_are_bounded_and_recent_ones_stay(monkeypatch):
         assert "again" in table.seen or "again" in table.seen_before
         assert len(table.seen) + len(table.seen_before) <= 2 * 65
         assert len(table.known) + len(table.known_before) <= 2 * 20
+
+
+def test_words_read_together_share_their_beginnings(table):
+    """What words have in common at their begin is walked once; the ids are those of words read alone."""
+
+    class Counted(dict):
+        walked = 0
+
+        def get(self, key, default=None):
+            self.walked += 1
+            return super().get(key, default)
+
+    rng = random.Random(11)
+    texts = [" ".join("interrelationship" + "".join(rng.choices("aeé▁日th", k=rng.randint(0, 2))) for _ in range(20)) for _ in range(9)]
+    texts += ["", None, "x" * 200 + " " + "inter" * 30, "  inter  interr", texts[0]]
+    own = pieces.PieceTable(**{f: getattr(table, f) for f in list(table.__dataclass_fields__)[:8]})
+    own.tails = Counted(own.backwards())
+    got = [ids.tolist() for ids in own.encode_all(texts)]
+    assert got == [brute(table, t) for t in texts]
+    short = {w for t in texts for w in pieces.words_of(t) if len(w) <= pieces.LONG_WORD}
+    beginnings = {(pieces.SPACE + w)[:n] for w in short for n in range(1, len(w) + 2)}
+    assert own.tails.walked == len(beginnings) < sum(map(len, short)) / 4
