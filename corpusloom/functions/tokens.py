@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +80,11 @@ class InlineLookup:
 
 
 class FormFilter:
-    """A Bloom filter over the keys of a table, written into the expression as an array of longs.
+    """A Bloom filter over the keys of a table, broadcast and tested by Arrow in batches of hashes.
 
     It has 16 bits a key, ``MAX_BITS`` (2 MB) at most: beyond 131,072 keys a growing share of other keys
-    passes, up to all of them. Nothing is ever missed, so a test may only save work.
+    passes, up to all of them. Nothing is ever missed, so a test may only save work. The plan names it
+    and does not hold it, as the driver writes every plan out, and again for each stage that ends.
     """
 
     MAX_BITS = 1 << 24
@@ -95,22 +96,62 @@ class FormFilter:
         words = held.groupBy(F.shiftright("at", 6).alias("i")).agg(
             F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("b")
         )
-        array = [0] * (self.bits // 64)
-        for row in words.collect():  # one row for each long of the array at most
-            array[row["i"]] = row["b"]
-        self._literal = json.dumps(array)
+        array, found = np.zeros(self.bits // 64, dtype=np.int64), words.toArrow()  # one row for each long at most
+        array[found["i"].to_numpy()] = found["b"].to_numpy()
+        self._shared = lookup.sparkSession.sparkContext.broadcast(array)
 
     def _places(self, key: Column) -> list[Column]:
         hashed = F.xxhash64(key)
         low, step = hashed.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hashed, 32).bitwiseOR(F.lit(1))
         return [(low + step * j).bitwiseAND(F.lit(self.bits - 1)) for j in range(self.probes)]
 
+    def _test(self):
+        shared, bits, probes = self._shared, self.bits, self.probes
+
+        def test(hashes: pa.Array) -> pa.Array:
+            hashed, array = hashes.fill_null(0).to_numpy(zero_copy_only=False), shared.value
+            low, step = hashed & 0xFFFFFFFF, ((hashed >> 32) & 0xFFFFFFFF) | 1
+            out = np.ones(len(hashed), dtype=bool)
+            for j in range(probes):
+                at = (low + step * j) & (bits - 1)
+                out &= (array[at >> 6] >> (at & 63)) & 1 == 1
+            return pa.array(out, mask=hashes.is_null().to_numpy(zero_copy_only=False))
+
+        return test
+
     def may_hold(self, key: Column) -> Column:
         """False only for keys that the table does not have; null for null."""
-        array = F.from_json(F.lit(self._literal), "array<bigint>")
-        bit = lambda at: F.getbit(F.get(array, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-        tests = [bit(at) for at in self._places(key)]
-        return F.when(key.isNotNull(), reduce(lambda a, b: a & b, tests))
+        test = self._test()
+
+        @F.arrow_udf("boolean")
+        def tested(hashes: pa.Array) -> pa.Array:
+            return test(hashes)
+
+        return tested(F.when(key.isNotNull(), F.xxhash64(key)))
+
+    def may_hold_each(self, keys: Column) -> Column:
+        """``may_hold`` of each element of an array; null for a null array."""
+        test, same_lists = self._test(), _lists()
+
+        @F.arrow_udf("array<boolean>")
+        def tested(lists: pa.Array) -> pa.Array:
+            return same_lists(lists, test(lists.flatten()))
+
+        return tested(F.transform(keys, lambda key: F.when(key.isNotNull(), F.xxhash64(key))))
+
+
+def _lists():
+    """``same_lists``, nested so that tasks get its code and need not have this package."""
+
+    def same_lists(lists: pa.Array, values: pa.Array) -> pa.Array:
+        """``values`` in lists of the sizes of ``lists``. Null rows may hide values, which ``flatten`` leaves out."""
+        import pyarrow.compute as pc
+
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0))
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+        return pa.ListArray.from_arrays(offsets, values, mask=lists.is_null())
+
+    return same_lists
 
 
 def replaced_forms(tokens: ColumnOrName, lookup: DataFrame) -> Column:
@@ -120,6 +161,7 @@ def replaced_forms(tokens: ColumnOrName, lookup: DataFrame) -> Column:
     of rows at a time. No token leaves its row.
     """
     shared = lookup.sparkSession.sparkContext.broadcast(lookup.select("form", "lemma").toArrow().combine_chunks())
+    same_lists = _lists()
 
     @F.arrow_udf("array<string>")
     def replaced(lists: pa.Array) -> pa.Array:
@@ -128,11 +170,7 @@ def replaced_forms(tokens: ColumnOrName, lookup: DataFrame) -> Column:
         table = shared.value
         words = lists.flatten()
         at = pc.index_in(words, value_set=table["form"].cast(words.type), skip_nulls=True)
-        words = pc.coalesce(pc.take(table["lemma"].cast(words.type).combine_chunks(), at), words)
-        # Null rows may hide words, which flatten leaves out; sizes tell where the others lie.
-        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0))
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
-        return pa.ListArray.from_arrays(offsets, words, mask=lists.is_null())
+        return same_lists(lists, pc.coalesce(pc.take(table["lemma"].cast(words.type).combine_chunks(), at), words))
 
     return replaced(_col(tokens))
 

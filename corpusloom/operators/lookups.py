@@ -59,14 +59,14 @@ def rewrite_tokens(
     entries = docs.sparkSession.createDataFrame([tuple(r) for r in often if r["lemma"] is not None], "form string, lemma string")
     inline = K.InlineLookup(entries, "form", "lemma", len(often))
     held = K.FormFilter(lookup, "form", rows)
-    leaves = lambda t: F.coalesce(held.may_hold(form(t)) & ~form(t).isin(heavy), F.lit(False))
+    leaves = lambda t, i: F.coalesce(F.get("__may", i) & ~form(t).isin(heavy), F.lit(False))
     stays = lambda t: F.when(~F.coalesce(form(t).isin(dropped), F.lit(False)), F.coalesce(inline.get(form(t)), t))
-    marked = docs.withColumns(
+    marked = docs.withColumn("__may", held.may_hold_each(F.transform(tokens, form))).withColumns(
         {
             "__row": F.struct(F.col(key), F.xxhash64(tokens)),
-            "__parts": F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("token"), leaves(t).alias("leaves"))),
+            "__parts": F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("token"), leaves(t, i).alias("leaves"))),
         }
-    )
+    ).drop("__may")
     leaving = marked.select("__row", F.filter("__parts", lambda p: p["leaves"]).alias("__parts")).filter(F.size("__parts") > 0)
     tokens_ = leaving.dropDuplicates(["__row"]).select("__row", F.explode("__parts").alias("p"))
     tokens_ = tokens_.select("__row", "p.pos", "p.token", form(F.col("p.token")).alias("form"))

@@ -259,3 +259,23 @@ def test_a_dictionary_beyond_the_inline_limits_is_probed_without_a_shuffle(spark
     want = [(1, ["cat", None, "dog"]), (1, ["dog"]), (None, []), (2, None), (3, ["cat"] * 3 + ["Cats", ""]), (None, ["mouse"])]
     assert got == sorted((repr(k), repr(t)) for k, t in want)
     assert probed.dtypes == T.lemmatize(docs, lemmas, strategy="join").dtypes
+
+
+def test_the_plan_of_a_lookup_by_join_does_not_grow_with_the_dictionary(spark):
+    """The driver writes plans out again and again; a filter of 2 MB in the expression made them 200 MB."""
+    docs = spark.createDataFrame([(1, ["w5", "x"]), (2, None), (3, [None, "w7"])], "doc_id long, tokens array<string>")
+    sizes = []
+    for n in (10, 50_000):
+        lookup = spark.range(n).select(F.concat(F.lit("w"), "id").alias("form"), F.concat(F.lit("l"), "id").alias("lemma"))
+        out = J.rewrite_tokens(docs, lookup, "tokens", "out")
+        assert {r["doc_id"]: r["out"] for r in out.collect()} == {1: ["l5", "x"], 2: None, 3: ["l7"]}
+        sizes.append(len(out._jdf.queryExecution().toString()))
+    assert sizes[1] < 1.5 * sizes[0]
+
+
+def test_a_form_filter_tests_lists_as_it_tests_words(spark):
+    forms = spark.range(500).select(F.concat(F.lit("form"), "id").alias("form"))
+    held = K.FormFilter(forms, "form", 500)
+    rows = spark.createDataFrame([(["form1", None, "other", "form499"],), ([],), (None,)], "words array<string>").coalesce(1)
+    got = [r["held"] for r in rows.select(held.may_hold_each(F.col("words")).alias("held")).collect()]
+    assert got[0][:2] == [True, None] and got[0][3] is True and got[1:] == [[], None]
